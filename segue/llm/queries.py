@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, quality, simhash, toxicity, urls
+from . import bpe, chat, decontaminate, html_text, langid, pii, quality, simhash, toxicity, urls
 from ._common import is_held_out, sha_hex, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -119,6 +119,19 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+#: The key of the surrogates in the query and the pipeline; a real run passes its own.
+PII_KEY = "segue"
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY).select("doc_id", "text", F.col("__n_entities").alias("n_entities"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = decontaminate.covered()
@@ -150,6 +163,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_simhash": op1_simhash, "op2_url_filter": op2_url_filter, "op3_language": op3_language, "op4_quality": op4_quality, "op8_decontaminate": op8_decontaminate, "op10_toxicity": op10_toxicity,
+    "op1_simhash": op1_simhash, "op2_url_filter": op2_url_filter, "op3_language": op3_language, "op4_quality": op4_quality, "op5_html_text": op5_html_text, "op6_pii": op6_pii,
+    "op8_decontaminate": op8_decontaminate, "op10_toxicity": op10_toxicity,
     "op7_chat_format": op7_chat_format, "op9_bpe": op9_bpe}
 ORACLES = {"op2_url_filter": OP2_SQL, "op8_decontaminate": OP8_SQL, "op7_chat_format": OP7_SQL}
