@@ -32,11 +32,12 @@ BEGINNINGS = (4, 5, 6)
 #: Plain insults, second-person words, and what digits and symbols stand for in disguised words.
 INSULTS = ["idiot", "moron", "stupid", "trash", "scum", "loser", "clown", "pathetic", "worthless", "disgusting", "dumb", "garbage", "imbecile", "jerk"]
 SECOND_PERSON = {"you", "your", "yours", "yourself", "u", "ur", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "te", "toi", "ton", "ta", "tes", "vous", "votre", "tú", "ti", "tus", "usted", "vosotros"}
-DISGUISE = str.maketrans("013457@$!|", "oleastasil")
+DISGUISES = [str.maketrans("013457@$!|", "oieastasil"), str.maketrans("013457@$!|", "oleastasil")]
 NEAR = 5
 WORD = re.compile(r"[^\W_]+")
-MIXED = re.compile(r"[^\W\d_]+[0-9@$!|*]+[^\W\d_]+")
-SPELT = re.compile(r"(?:[^\W\d_][.\-*_ ]){3,}[^\W\d_]\b")
+# Possessive runs from the start of a token: linear in texts of any kind.
+MIXED = re.compile(r"(?<![\w@$!|*])[0-9@$!|*]*+[^\W\d_]++[0-9@$!|*]++[^\W\d_][\w@$!|*]*+")
+SPELT = re.compile(r"(?<![^\W_])(?:[^\W\d_][.\-*_ ]){3,}[^\W\d_]\b")
 FEATURES = ["log_words", "hits", "hit_rate", "top_weight", "weight_rate", "weight_sum", "near_you", "you_rate", "upper_rate", "shout_rate", "mark_rate", "punct_rate", "mixed_rate", "disguised_hits"]
 
 
@@ -67,7 +68,7 @@ def features(text: str | None, lex: Lexicon) -> list[float]:
     places = np.array(you)
     near = sum(1 for i, _ in hits if len(you) and np.abs(places - i).min() <= NEAR)
     mixed = MIXED.findall(low)
-    disguised = sum(1 for w in mixed if weight(w.translate(DISGUISE).replace("*", "")) > 0)
+    disguised = sum(1 for w in mixed if any(weight(w.translate(d).replace("*", "")) > 0 for d in DISGUISES))
     disguised += sum(1 for w in SPELT.findall(low) if weight(re.sub(r"[.\-*_ ]", "", w)) > 0)
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     size = max(1, len(cp))
