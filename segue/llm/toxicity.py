@@ -38,7 +38,7 @@ WORD = re.compile(r"[^\W_]+")
 # Possessive runs from the start of a token: linear in texts of any kind.
 MIXED = re.compile(r"(?<![\w@$!|*])[0-9@$!|*]*+[^\W\d_]++[0-9@$!|*]++[^\W\d_][\w@$!|*]*+")
 SPELT = re.compile(r"(?<![^\W_])(?:[^\W\d_][.\-*_ ]){3,}[^\W\d_]\b")
-FEATURES = ["log_words", "hits", "hit_rate", "top_weight", "weight_rate", "weight_sum", "near_you", "you_rate", "upper_rate", "shout_rate", "mark_rate", "punct_rate", "mixed_rate", "disguised_hits"]
+FEATURES = ["hits", "hit_rate", "top_weight", "weight_rate", "weight_sum", "near_you", "you_rate", "upper_rate", "shout_rate", "mark_rate", "punct_rate", "mixed_rate", "disguised_hits"]
 
 
 class Lexicon:
@@ -78,7 +78,7 @@ def features(text: str | None, lex: Lexicon) -> list[float]:
     punct = int((((cp >= 33) & (cp <= 47)) | ((cp >= 58) & (cp <= 64))).sum())
     total = sum(x for _, x in hits)
     return [
-        np.log1p(len(words)), len(hits), len(hits) / n, max((x for _, x in hits), default=0.0), total / n, total, near, len(you) / n,
+        len(hits), len(hits) / n, max((x for _, x in hits), default=0.0), total / n, total, near, len(you) / n,
         upper / max(1, letters), float(upper > 0.6 * max(1, letters)), marks / n, punct / size, len(mixed) / n, disguised,
     ]
 
