@@ -29,8 +29,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(own, model).filter(F.col("predicted") == 0).select("row.*")
 
 
+#: Shingles of five words; fingerprints of 64 bits within TAU, and of 256 within WIDE_TAU. 38 of 256 bits is the angle of
+#: equally long texts with a shingle similarity of 0.8.
+WIDTH, TAU, WIDE_TAU = 5, 10, 38
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, TAU, WIDTH, WIDE_TAU)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

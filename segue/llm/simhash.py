@@ -14,6 +14,10 @@ fingerprints is dealt into blocks, which are probed by separate tasks. A block r
 spanning forest of its links instead of the links, so groups of any size give few edges;
 components are those of all links.
 
+A stricter second look is optional: `wide_tau` also asks that of 256 bits (the 64 and three more words
+made of the same shingle hashes) at most so many differ. That estimates the shingle similarity closely
+enough to tell near-copies from chance at any size of corpus, so `tau` may then be large.
+
 Defined results: text without words has fingerprint zero, linked like any other; null text
 counts as empty; repeated rows and null ids are rows of their group (a component's id is the
 smallest id that is not null, if any); an empty table gives an empty result.
@@ -41,40 +45,63 @@ BITS = 64
 BLOCK = 2048
 #: Shingle hashes that are counted at a time.
 STEP = 1 << 14
-#: Cost of making and moving a probe, in verified candidates.
-PROBE_COST = 20.0
+#: Cost of making and moving a probe, in verified candidates (microseconds against nanoseconds).
+PROBE_COST = 500.0
 #: Counts of partitions that are considered.
-PARTITIONS = (2, 3, 4, 5)
+PARTITIONS = (2, 3, 4, 5, 6, 7, 8)
+#: Words of a wide fingerprint after the first.
+WIDE = ["fp1", "fp2", "fp3"]
+
+
+def mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Independent 64-bit words of hashes, for k = 1, 2, 3 (a finaliser of splitmix64 with another start each)."""
+    with np.errstate(over="ignore"):
+        z = h + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+
+def wide_fingerprint(text: bytes | None, width: int = 4) -> list[int]:
+    """The fingerprint and its three further words."""
+    return _words(text, width, 1 + len(WIDE))
 
 
 def fingerprint(text: bytes | None, width: int = 4) -> int:
     """The SimHash of a text's word shingles, A-Z lower-cased (bytes.lower and bytes.split know ASCII only)."""
+    return _words(text, width, 1)[0]
+
+
+def _words(text: bytes | None, width: int, n_words: int) -> list[int]:
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return [0] * n_words
     joined, n = b" ".join(words), max(1, len(words) - width + 1)
     ends = np.cumsum([len(w) + 1 for w in words])
     begin = np.concatenate(([0], ends[:-1]))[:n].tolist()
     stop = (ends[-n:] - 1).tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
+    digest, ones = xxhash.xxh64_intdigest, np.zeros((n_words, BITS), np.int64)
     for at in range(0, n, STEP):
-        h = np.array([digest(joined[a:b], 42) for a, b in zip(begin[at : at + STEP], stop[at : at + STEP])], ">u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+        h = np.array([digest(joined[a:b], 42) for a, b in zip(begin[at : at + STEP], stop[at : at + STEP])], np.uint64)
+        for k in range(n_words):
+            own = (mixed(h, k) if k else h).astype(">u8")
+            ones[k] += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return [int.from_bytes(np.packbits(2 * o > n).tobytes(), "big") for o in ones]
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "fp", width: int = 4) -> DataFrame:
-    """`docs` with the fingerprint of each whole text as a (signed) long in `out_col`, in place of the text's column."""
+def fingerprints(docs: DataFrame, text_col: str = "text", width: int = 4, wide: bool = False) -> DataFrame:
+    """`docs` with the fingerprint of each whole text as a (signed) long fp, and fp1, fp2, fp3 if wide, in place of the text's column."""
     bounded_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in (text_col, out_col)]
+    made = ["fp", *(WIDE if wide else [])]
+    kept = [c for c in docs.columns if c not in (text_col, *made)]
     d = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("binary").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), width) for t in b.column(len(kept))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(fp, pa.int64())], [*kept, out_col])
+            fp = np.array([_words(t.as_py(), width, len(made)) for t in b.column(len(kept))], np.uint64).reshape(-1, len(made)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *[pa.array(fp[:, k], pa.int64()) for k in range(len(made))]], [*kept, *made])
 
-    return d.mapInArrow(run, T.StructType([*d.schema.fields[:-1], T.StructField(out_col, T.LongType())]))
+    return d.mapInArrow(run, T.StructType([*d.schema.fields[:-1], *[T.StructField(m, T.LongType()) for m in made]]))
 
 
 # ---- partitions and thresholds
@@ -133,7 +160,8 @@ def estimate(n: int, both: np.ndarray, bits: list[int], equal_pairs: float, most
     Pairs that are equal in the partition are counted; the share that differs in k bits is that of
     independent bits with the partition's frequencies.
     """
-    p = np.clip(np.diag(both)[bits] / max(n, 1), 0, 1)
+    n = max(n, 1)  # an empty table has costs too: they keep the thresholds low
+    p = np.clip(np.diag(both)[bits] / n, 0, 1)
     differ = np.array([1.0])
     for q in 2 * p * (1 - p):
         differ = np.append(differ * (1 - q), 0) + np.append(0, differ * q)
@@ -179,10 +207,13 @@ def plan(fps: DataFrame, tau: int) -> list[tuple[list[int], int]]:
 # ---- probing
 
 
-def forest(a: np.ndarray, b: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, smallest node of its component) of the links between fingerprints a and b."""
-    left, right = np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= tau)
-    nodes, at = np.unique(np.concatenate((a[left], b[right])), return_inverse=True)
+def forest(a: np.ndarray, b: np.ndarray, tau: int, wide_tau: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, smallest node of its component) of the links between a and b: rows of node, fingerprint and further words."""
+    left, right = np.nonzero(np.bitwise_count(a[:, 1][:, None] ^ b[:, 1][None, :]) <= tau)
+    if wide_tau is not None:
+        apart = np.bitwise_count(a[left, 1:] ^ b[right, 1:]).sum(axis=1, dtype=np.int64)
+        left, right = left[apart <= wide_tau], right[apart <= wide_tau]
+    nodes, at = np.unique(np.concatenate((a[left, 0], b[right, 0])).view(np.int64), return_inverse=True)
     u, v = at[: len(left)], at[len(left) :]
     root = np.arange(len(nodes))
     while True:
@@ -199,15 +230,14 @@ def forest(a: np.ndarray, b: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarr
     return nodes[other], nodes[root[other]]
 
 
-def _links(tau: int):
+def _links(tau: int, wide_tau: int | None, n_words: int):
     """Rows sorted by (i, value, block, side): the index side of a block, then its probes in any number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, index = None, np.empty(0, np.uint64)
+        key, index = None, np.empty((0, 1 + n_words), np.uint64)
         for b in batches:
-            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
-            i, value, block, side, fp = cols
-            fp = fp.view(np.uint64)
+            i, value, block, side = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            rows = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(4, 5 + n_words)], axis=1).view(np.uint64)
             new = np.flatnonzero((i[1:] != i[:-1]) | (value[1:] != value[:-1]) | (block[1:] != block[:-1])) + 1
             edges = [0, *new.tolist(), len(i)]
             got_u, got_v = [], []
@@ -217,65 +247,75 @@ def _links(tau: int):
                 own = (i[a], value[a], block[a])
                 here = a + int(np.searchsorted(side[a:z], 1))
                 if own != key:
-                    key, index = own, fp[a:here]
+                    key, index = own, rows[a:here]
                 elif here > a:
-                    index = np.concatenate((index, fp[a:here]))
+                    index = np.concatenate((index, rows[a:here]))
                 if len(index) and here < z:
                     for at in range(here, z, BLOCK):
-                        u, v = forest(index, fp[at : min(z, at + BLOCK)], tau)
+                        u, v = forest(index, rows[at : min(z, at + BLOCK)], tau, wide_tau)
                         got_u.append(u)
                         got_v.append(v)
             if got_u:
-                u, v = np.concatenate(got_u), np.concatenate(got_v)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got_u), pa.int64()), pa.array(np.concatenate(got_v), pa.int64())], ["u", "v"])
 
     return run
 
 
-def link(fps: DataFrame, tau: int = 4) -> DataFrame:
-    """Edges (u, v) whose components are those of all pairs of distinct fingerprints `fps` (fp) at `tau` or fewer differing bits."""
-    bounded_batches(fps.sparkSession)
-    parts = plan(fps, tau)
+def link(nodes: DataFrame, tau: int = 4, wide_tau: int | None = None) -> DataFrame:
+    """Edges (u, v) whose components are those of all linked pairs of nodes (node: a distinct long, fp, and fp1, fp2, fp3 if wide)."""
+    bounded_batches(nodes.sparkSession)
+    carried = ["node", "fp", *(WIDE if wide_tau is not None else [])]
+    nodes = nodes.select(*carried)
+    parts = plan(nodes.select("fp").distinct() if wide_tau is not None else nodes.select("fp"), tau)
     value = lambda i: F.col("fp").bitwiseAND(F.lit(signed(mask_of(parts[i][0]))))
-    index = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), value(i).alias("value")) for i in range(len(parts))])).alias("k")).select("fp", "k.i", "k.value")
+    index = nodes.select(*carried, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), value(i).alias("value")) for i in range(len(parts))])).alias("k")).select(*carried, "k.i", "k.value")
     probes = None
     for i, (bits, t) in enumerate(parts):
         flips = [signed(mask_of(list(c))) for k in range(t + 1) for c in combinations(bits, k)]
-        one = fps.select("fp", F.lit(i).alias("i"), F.explode(F.transform(F.lit(flips), lambda x: x.bitwiseXOR(value(i)))).alias("value"))
+        one = nodes.select(*carried, F.lit(i).alias("i"), F.explode(F.transform(F.lit(flips), lambda x: x.bitwiseXOR(value(i)))).alias("value"))
         probes = one if probes is None else probes.unionByName(one)
     # Values with many fingerprints are dealt into blocks; each probe goes to all blocks of its value.
     hot = cut(index.groupBy("i", "value").agg(F.count("*").alias("c")).filter(F.col("c") > BLOCK).select("i", "value", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")))
     spread = lambda d: d.join(hot, ["i", "value"], "left") if not hot.isEmpty() else d.withColumn("blocks", F.lit(None).cast("int"))
-    placed = spread(index).select("i", "value", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("blocks"))).cast("int").alias("block"), F.lit(0).alias("side"), "fp")
-    sent = spread(probes).select("i", "value", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("block"), F.lit(1).alias("side"), "fp")
+    block = F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks"))).cast("int")
+    placed = spread(index).select("i", "value", block.alias("block"), F.lit(0).alias("side"), *carried)
+    everywhere = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = spread(probes).select("i", "value", everywhere.alias("block"), F.lit(1).alias("side"), *carried)
     order = ["i", "value", "block"]
-    return placed.unionByName(sent).repartition(*order).sortWithinPartitions(*order, "side").mapInArrow(_links(tau), "u long, v long")
+    return placed.unionByName(sent).repartition(*order).sortWithinPartitions(*order, "side").mapInArrow(_links(tau, wide_tau, len(carried) - 1), "u long, v long")
 
 
-def components(ids: DataFrame, tau: int = 4) -> DataFrame:
-    """fp, root (the component's smallest fingerprint), component_id for each distinct fingerprint of ids (doc_id, fp)."""
-    distinct = cut(ids.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(link(distinct.select("fp"), tau))
-    of = cut(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+def components(ids: DataFrame, tau: int = 4, wide_tau: int | None = None) -> DataFrame:
+    """node, root (the component's smallest node), component_id for each distinct fingerprint of ids (doc_id, node, fp, ..)."""
+    distinct = cut(ids.groupBy(*[c for c in ids.columns if c != "doc_id"]).agg(F.min("doc_id").alias("least")))
+    roots = connected_components(link(distinct, tau, wide_tau))
+    of = cut(distinct.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     ids_of = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return of.join(ids_of, "root").select("fp", "root", "component_id")
+    return of.join(ids_of, "root").select("node", "root", "component_id")
+
+
+def _with_node(fps: DataFrame) -> DataFrame:
+    """A long for each distinct fingerprint: itself, or a hash of the wide one's words."""
+    return fps.withColumn("node", F.xxhash64("fp", *WIDE) if "fp1" in fps.columns else F.col("fp"))
 
 
-def near_duplicates(docs: DataFrame, tau: int = 4, width: int = 4) -> DataFrame:
-    """doc_id, fp, root, component_id for each row of docs (doc_id, text)."""
-    ids = cut(fingerprints(docs.select("doc_id", "text"), width=width))
-    return ids.join(components(ids, tau), "fp").select("doc_id", "fp", "root", "component_id")
+def near_duplicates(docs: DataFrame, tau: int = 4, width: int = 4, wide_tau: int | None = None) -> DataFrame:
+    """doc_id, fp, node, root, component_id for each row of docs (doc_id, text)."""
+    ids = cut(_with_node(fingerprints(docs.select("doc_id", "text"), width=width, wide=wide_tau is not None)))
+    return ids.select("doc_id", "fp", "node").join(components(ids, tau, wide_tau), "node").select("doc_id", "fp", "node", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, tau: int = 4, width: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, tau: int = 4, width: int = 4, wide_tau: int | None = None) -> DataFrame:
     """The rows of docs of which each group of near-duplicates keeps one: one row with the group's smallest id."""
     names = docs.columns
-    groups = near_duplicates(docs, tau, width)
-    one = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("k"))
+    groups = near_duplicates(docs, tau, width, wide_tau)
+    one = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("k"))
     # Ids may be null or repeated, so the fingerprint is a part of the key.
     key = lambda i, f: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), f.cast("string"))
-    keys = one.select(key(F.col("k.doc_id"), F.col("k.fp")).alias("__key")).distinct()
-    own = fingerprints(docs.withColumn("__copy", F.col("text")), text_col="__copy", out_col="__fp", width=width)
-    kept = own.withColumn("__key", key(F.col("doc_id"), F.col("__fp"))).join(keys, "__key", "left_semi")
-    rank = F.row_number().over(W.partitionBy("__key").orderBy(F.length("text").desc_nulls_last(), "text"))
-    return kept.withColumn("__rank", rank).filter(F.col("__rank") == 1).select(*[F.col(f"`{c}`") for c in names])
+    keys = one.select(key(F.col("k.doc_id"), F.col("k.node")).alias("__key")).distinct()
+    # The row travels as one value beside its fingerprint, so none of its columns can clash.
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col("doc_id"), F.col("text"))
+    own = _with_node(fingerprints(row, width=width, wide=wide_tau is not None))
+    kept = own.select("__row", key(F.col("doc_id"), F.col("node")).alias("__key")).join(keys, "__key", "left_semi")
+    rank = F.row_number().over(W.partitionBy("__key").orderBy(F.length("__row.text").desc_nulls_last(), "__row.text"))
+    return kept.withColumn("__rank", rank).filter(F.col("__rank") == 1).select("__row.*")

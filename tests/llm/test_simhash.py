@@ -39,6 +39,10 @@ def test_fingerprints():
         assert simhash.fingerprint((t or "").encode()) == plain_fingerprint(t), t
 
 
+def nodes(spark, rows):
+    return simhash._with_node(spark.createDataFrame(rows, "doc_id long, fp long"))
+
+
 def test_groups_equal_brute_force(spark):
     r = random.Random(3)
     fps = []
@@ -56,7 +60,7 @@ def test_groups_equal_brute_force(spark):
         for (i, _), f in zip(rows, fps):
             if i is not None:
                 least[want[f]] = min(i, least.get(want[f], i))
-        got = {x.fp: x.component_id for x in simhash.components(spark.createDataFrame(rows, "doc_id long, fp long"), tau).collect()}
+        got = {x.node: x.component_id for x in simhash.components(nodes(spark, rows), tau).collect()}
         assert got == {simhash.signed(f): least.get(want[f]) for f in fps}
 
 
@@ -65,7 +69,7 @@ def test_hot_values_are_dealt_into_blocks(spark, monkeypatch):
     r = random.Random(4)
     base = r.getrandbits(64)
     fps = {base ^ sum(1 << b for b in r.sample(range(40), 3)) for _ in range(150)}
-    got = simhash.components(spark.createDataFrame([(i, simhash.signed(f)) for i, f in enumerate(sorted(fps))], "doc_id long, fp long"), 4).collect()
+    got = simhash.components(nodes(spark, [(i, simhash.signed(f)) for i, f in enumerate(sorted(fps))]), 4).collect()
     want = plain_components(sorted(fps), 4)
     assert len({x.root for x in got}) == len(set(want.values()))
 
@@ -74,7 +78,7 @@ def test_forest_spans_all_links():
     r = np.random.default_rng(0)
     a = r.integers(0, 1 << 8, 60).astype(np.uint64)
     b = r.integers(0, 1 << 8, 50).astype(np.uint64)
-    u, v = simhash.forest(a, b, 1)
+    u, v = simhash.forest(np.stack([a, a], axis=1), np.stack([b, b], axis=1), 1)
     want = {}
     for x in a:
         for y in b:
@@ -120,3 +124,24 @@ def test_one_of_each_group_stays(spark):
     got = sorted(((r.doc_id, r.fp) for r in kept.collect()), key=str)
     assert got == sorted([(3, 2), (None, 3), (None, 4), (7, 5), (8, 6)], key=str)
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_wide_fingerprints_find_near_copies_only(spark):
+    r = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    base = [r.choices(vocabulary, k=200) for _ in range(40)]
+    rows, want = [], {}
+    for g, words in enumerate(base):
+        for c in range(3):
+            w = list(words)
+            for at in r.sample(range(200), 3 * c):  # 5-word shingles: similarity of 0.86 and 0.73 at least
+                w[at] = r.choice(vocabulary)
+            rows.append((g * 10 + c, " ".join(w)))
+            want[g * 10 + c] = g
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.component_id // 10 for x in simhash.near_duplicates(docs, tau=10, width=5, wide_tau=38).collect()}
+    assert all(got[i] in (g, i // 10) for i, g in want.items())
+    firsts = [got[g * 10 + 1] == g and got[g * 10] == g for g in range(40)]
+    assert sum(firsts) >= 34
+    first = simhash.wide_fingerprint(rows[0][1].encode(), 4)
+    assert first[0] == simhash.fingerprint(rows[0][1].encode(), 4) and len(set(first)) == 4
