@@ -46,6 +46,9 @@ TYPES = {
     "name": rf"(?<!\p{{L}})(?:{'|'.join(GIVEN)}) \p{{Lu}}\p{{Ll}}++(?!\p{{L}})",
 }
 ANY = "|".join(TYPES.values())
+#: What any entity has: a digit or an at sign, a word that names a secret, a key's prefix, a run of hex letters, or a given name.
+KEYWORDS = ["password", "passwd", "secret", "api_key", "apikey", "token", "AKIA", "ASIA", "sk-", "sk_", "pk-", "pk_", "ghp", "gho", "xox"]
+INITIALS = "".join(sorted({g[0] for g in GIVEN}))
 #: Halves are mixed so many times.
 ROUNDS = 4
 
@@ -55,6 +58,14 @@ def entities(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)), F.array().cast("array<string>"))
 
 
+def may_have(text: Column) -> Column:
+    """False only for texts without entities; scans for single characters and words, so that few texts meet the full pattern."""
+    out = text.rlike("[0-9@]") | text.rlike(f"(?=[{INITIALS}])(?:{'|'.join(GIVEN)}) ") | text.rlike("[a-f]{32}")
+    for word in KEYWORDS:
+        out = out | F.contains(text, F.lit(word))
+    return out
+
+
 def type_of(entity: Column) -> Column:
     """By the entity alone; the context that made it a secret is gone, so what fits nothing else is one."""
     out = F.lit("secret")
@@ -185,7 +196,7 @@ def pseudonymise(docs: DataFrame, secret: str, text_col: str = "text") -> DataFr
     """`docs` with the entities of its whole texts replaced, and __n_entities (long), how many there were."""
     names = docs.columns
     found = entities(F.col(f"`{text_col}`"))
-    has = F.coalesce(F.col(f"`{text_col}`").rlike(ANY), F.lit(False))
+    has = F.coalesce(may_have(F.col(f"`{text_col}`")) & F.col(f"`{text_col}`").rlike(ANY), F.lit(False))
     hit = docs.filter(has)
     known = cut(hit.select(F.explode(found).alias("entity")).distinct())
     again = checked(known, secret).filter(F.col("attempt") > 0).select("entity", "attempt")
