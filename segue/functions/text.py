@@ -18,14 +18,15 @@ def normalise(c: Column) -> Column:
     return F.lower(strip(F.coalesce(c, F.lit(""))))
 
 
+def _grams_of(c: Column, n: int) -> Column:
+    # sequence() runs backwards when its end is below its start, so short texts are kept out.
+    at = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.substring(c, i, F.lit(n)))
+
+
 def char_grams(c: Column, lo: int, hi: int) -> Column:
     """All n-grams of lo..hi characters, repeats included."""
-    parts = []
-    for n in range(lo, hi + 1):
-        # sequence() runs backwards when its end is below its start, so short texts are kept out.
-        at = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(at, lambda i, n=n: F.substring(c, i, F.lit(n))))
-    return F.concat(*parts)
+    return F.concat(*[_grams_of(c, n) for n in range(lo, hi + 1)])
 
 
 def char_wb_grams(c: Column, lo: int, hi: int) -> Column:

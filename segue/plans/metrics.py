@@ -11,41 +11,51 @@ ARTIST_CREDIT = 0.25
 PAGE, MISSED = 10, 51
 
 
-def evaluate(recs: DataFrame, holdout: DataFrame, cases: DataFrame, tracks: DataFrame | None = None) -> DataFrame:
+def evaluate(recs: DataFrame, holdout: DataFrame, cases: DataFrame, tracks: DataFrame | None = None, models: list[str] | None = None) -> DataFrame:
     """case_id, scenario, r_precision, ndcg, clicks of recs (case_id, rank from 1, track) against holdout (case_id, track).
 
+    With `models`, recs have a column model too, and all of them are judged in one pass.
+
     R-precision looks at the first R predictions, R the length of the hold-out with repeats; a prediction that is no hit
     earns a quarter if its artist (tracks: track, artist) has hold-out entries that were not hit, each used once.
     The artist credit is .25 * sum over artists of least(supply, demand), so order does not matter.
     """
+    key = ["case_id", "model"] if models else ["case_id"]
     gt = holdout.groupBy("case_id", "track").agg(F.count("*").alias("times"))
     size = gt.groupBy("case_id").agg(F.sum("times").alias("R"), F.count("*").alias("distinct"))
-    r = recs.select("case_id", "rank", "track").join(size, "case_id").join(gt, ["case_id", "track"], "left")
-    first = F.row_number().over(W.partitionBy("case_id", "track").orderBy("rank"))
+    r = recs.select(*key, "rank", "track").join(size, "case_id").join(gt, ["case_id", "track"], "left")
+    first = F.row_number().over(W.partitionBy(*key, "track").orderBy("rank"))
     r = r.withColumn("hit", F.col("times").isNotNull() & (first == 1)).withColumn("is_gt", F.col("times").isNotNull())
-    per = r.groupBy("case_id").agg(
+    per = r.groupBy(*key).agg(
         F.sum(F.when(F.col("hit") & (F.col("rank") <= F.col("R")), 1).otherwise(0)).cast("double").alias("hits"),
         F.sum(F.when(F.col("hit"), 1 / F.log2(F.col("rank") + 1.0))).alias("dcg"),
         F.min(F.when(F.col("is_gt"), F.col("rank") - 1)).alias("first"),
     )
-    out = size.join(per, "case_id", "left")
+    asked = cases.select("case_id", "scenario")
+    if models:
+        asked = asked.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+    out = asked.join(size, "case_id", "left").join(per, key, "left")
     credit = F.lit(0.0)
     if tracks is not None:
         art = tracks.select("track", "artist")
-        hit = r.filter(F.col("is_gt") & (F.col("rank") <= F.col("R"))).select("case_id", "track").distinct()
-        demand = gt.join(hit, ["case_id", "track"], "left_anti").join(art, "track").groupBy("case_id", "artist").agg(F.sum("times").alias("demand"))
-        supply = r.filter(~F.col("is_gt") & (F.col("rank") <= F.col("R"))).join(art, "track").groupBy("case_id", "artist").agg(F.count("*").alias("supply"))
-        soft = supply.join(demand, ["case_id", "artist"]).groupBy("case_id").agg((ARTIST_CREDIT * F.sum(F.least("supply", "demand"))).alias("soft"))
-        out = out.join(soft, "case_id", "left")
+        # Demand is what the hold-out has of an artist less what the first R predictions hit of it.
+        all_of = gt.join(art, "track").groupBy("case_id", "artist").agg(F.sum("times").alias("all"))
+        top = r.filter(F.col("rank") <= F.col("R")).join(art, "track").groupBy(*key, "artist").agg(
+            F.sum(F.when(F.col("hit"), F.col("times"))).alias("got"), F.sum(F.when(~F.col("is_gt"), 1)).alias("supply")
+        )
+        demand = F.col("all") - F.coalesce("got", F.lit(0))
+        soft = top.filter(F.col("supply") > 0).join(all_of, ["case_id", "artist"]).groupBy(*key).agg((ARTIST_CREDIT * F.sum(F.least(F.col("supply"), demand))).alias("soft"))
+        out = out.join(soft, key, "left")
         credit = F.coalesce("soft", F.lit(0.0))
     ideal = F.aggregate(F.sequence(F.lit(1), F.col("distinct").cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
-    out = out.withColumn("r_precision", F.least(F.lit(1.0), (F.coalesce("hits", F.lit(0.0)) + credit) / F.col("R")))
-    out = out.withColumn("ndcg", F.coalesce("dcg", F.lit(0.0)) / ideal)
-    out = out.withColumn("clicks", F.coalesce(F.floor(F.col("first") / PAGE), F.lit(MISSED)).cast("double"))
     # A case with nothing held out scores nothing.
-    return cases.select("case_id", "scenario").join(out.select("case_id", "r_precision", "ndcg", "clicks"), "case_id", "left").select(
-        "case_id", "scenario", F.round(F.coalesce("r_precision", F.lit(0.0)), 9).alias("r_precision"), F.round(F.coalesce("ndcg", F.lit(0.0)), 9).alias("ndcg"), F.coalesce("clicks", F.lit(float(MISSED))).alias("clicks")
-    )
+    none = lambda c: F.when(F.col("R").isNull(), 0.0).otherwise(c)
+    return out.select(
+        *key, "scenario",
+        F.round(none(F.least(F.lit(1.0), (F.coalesce("hits", F.lit(0.0)) + credit) / F.col("R"))), 12).alias("r_precision"),
+        F.round(none(F.coalesce("dcg", F.lit(0.0)) / ideal), 12).alias("ndcg"),
+        F.coalesce(F.floor(F.col("first") / PAGE), F.lit(MISSED)).cast("double").alias("clicks"),
+    )
 
 
 def summarise(per_case: DataFrame) -> DataFrame:

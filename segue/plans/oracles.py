@@ -76,8 +76,8 @@ CTE["trecs"] = ranked("tscore")
 
 
 def metrics(recs: str) -> str:
-    return f"""SELECT c.case_id, c.scenario, round(coalesce(least(1.0, (coalesce(hits, 0) + coalesce(soft, 0)) / R), 0), 9) AS r_precision,
-      round(coalesce(coalesce(dcg, 0) / list_sum([1 / log2(i + 1.0) FOR i IN range(1, d + 1)]), 0), 9) AS ndcg, CAST(coalesce(floor(first / 10), 51) AS DOUBLE) AS clicks
+    return f"""SELECT c.case_id, c.scenario, round(coalesce(least(1.0, (coalesce(hits, 0) + coalesce(soft, 0)) / R), 0), 12) AS r_precision,
+      round(coalesce(coalesce(dcg, 0) / list_sum([1 / log2(i + 1.0) FOR i IN range(1, d + 1)]), 0), 12) AS ndcg, CAST(coalesce(floor(first / 10), 51) AS DOUBLE) AS clicks
     FROM cases c LEFT JOIN (SELECT case_id, CAST(count(*) AS DOUBLE) AS R, count(DISTINCT track) AS d FROM holdout GROUP BY case_id) s USING (case_id)
     LEFT JOIN (SELECT case_id, sum(CASE WHEN rank <= n THEN 1.0 ELSE 0 END) AS hits, sum(1 / log2(rank + 1.0)) AS dcg, min(rank) - 1 AS first
       FROM {recs} r JOIN (SELECT DISTINCT case_id, track FROM holdout) USING (case_id, track) JOIN (SELECT case_id, count(*) AS n FROM holdout GROUP BY case_id) USING (case_id) GROUP BY case_id) h USING (case_id)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -49,7 +50,7 @@ class Run:
         return made
 
     def make_pop(self):
-        return ranking.popularity(self.train.interactions, self.tracks)
+        return ranking.popularity(self.train.interactions, self.tracks).cache()
 
     def make_near(self):
         return itemcf.fit(self.train.interactions, self.pop, topk=TOPK_SIM)
@@ -75,7 +76,7 @@ class Run:
 
     def make_pop_recs(self):
         none = self.seeds.select("case_id", "track", F.lit(0.0).alias("score")).limit(0)
-        return ranking.with_backfill(none, self.cases, self.seeds, self.pop, K)
+        return ranking.with_backfill(none, self.cases, self.seeds, self.pop, K).cache()
 
     def make_cf_recs(self):
         return itemcf.recommend(self.near, self.cases, self.seeds, self.pop, K).cache()
@@ -84,10 +85,9 @@ class Run:
         return title.recommend(self.train.playlists, self.train.interactions, self.cases, self.seeds, self.pop, K, NEIGHBOURS).cache()
 
     def make_summary(self):
-        per = None
-        for name, recs in (("popularity", self.pop_recs), ("item_cf", self.cf_recs), ("title", self.title_recs)):
-            m = M.evaluate(recs, self.holdout, self.cases, self.tracks).withColumn("model", F.lit(name))
-            per = m if per is None else per.unionByName(m)
+        parts = {"popularity": self.pop_recs, "item_cf": self.cf_recs, "title": self.title_recs}
+        recs = reduce(DataFrame.unionByName, [r.select("case_id", "rank", "track").withColumn("model", F.lit(m)) for m, r in parts.items()])
+        per = M.evaluate(recs, self.holdout, self.cases, self.tracks, list(parts)).cache()
         return M.summarise(per)
 
 
@@ -133,16 +133,18 @@ def a8(spark, d):
     return got.select("track", at(0, "tempo"), at(1, "energy"), at(5, "g0"), at(14, "g9"))
 
 
-AUDIO_SQL = """SELECT CAST(p_partkey AS VARCHAR) AS id, 30 + p_size * 5.0 AS tempo, p_retailprice / 2000 AS energy, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_size / 40.0 END AS valence,
-  CASE WHEN p_size % 11 = 0 THEN CAST('nan' AS DOUBLE) ELSE 0.25 END AS acousticness, p_size / 100.0 AS instrumentalness FROM part WHERE p_size % 3 <> 0"""
+#: Parts that have audio values, as a table of features covers a part of a catalogue.
+HAS_AUDIO = "p_size >= 15"
+AUDIO_SQL = """SELECT CAST(p_partkey AS VARCHAR) AS id, 30 + p_size * 5.0 AS tempo, p_retailprice / 2000 AS energy, CASE WHEN p_size > 45 THEN NULL ELSE p_size / 40.0 END AS valence,
+  CASE WHEN p_size = 20 THEN CAST('nan' AS DOUBLE) ELSE 0.25 END AS acousticness, p_size / 100.0 AS instrumentalness FROM part WHERE p_size >= 15"""
 
 
 def _audio(spark, d):
-    p = C.table(spark, d, "part").filter("p_size % 3 <> 0")
+    p = C.table(spark, d, "part").filter(HAS_AUDIO)
     size = F.col("p_size").cast("double")
     return p.select(
-        F.col("p_partkey").cast("string").alias("id"), (30 + size * 5).alias("tempo"), (F.col("p_retailprice") / 2000).alias("energy"), F.when(F.col("p_size") % 7 != 0, size / 40).alias("valence"),
-        F.when(F.col("p_size") % 11 == 0, F.lit(float("nan"))).otherwise(0.25).alias("acousticness"), (size / 100).alias("instrumentalness"),
+        F.col("p_partkey").cast("string").alias("id"), (30 + size * 5).alias("tempo"), (F.col("p_retailprice") / 2000).alias("energy"), F.when(F.col("p_size") <= 45, size / 40).alias("valence"),
+        F.when(F.col("p_size") == 20, F.lit(float("nan"))).otherwise(0.25).alias("acousticness"), (size / 100).alias("instrumentalness"),
     )
 
 
@@ -159,16 +161,16 @@ def a9(spark, d):
     return f.select("track", *[F.round(F.get("axes", F.lit(i)), 9).alias(a) for i, a in enumerate(SCALAR_AXES)])
 
 
-@query("a11_feature_match", "SELECT count(*) AS n_tracks, count(*) FILTER (p_size % 3 <> 0) AS n_matched, round(avg(CASE WHEN p_size % 3 <> 0 THEN 1.0 ELSE 0 END), 6) AS rate FROM part")
+@query("a11_feature_match", "SELECT count(*) AS n_tracks, count(*) FILTER (p_size >= 15) AS n_matched, round(avg(CASE WHEN p_size >= 15 THEN 1.0 ELSE 0 END), 6) AS rate FROM part")
 def a11(spark, d):
     tracks = C.table(spark, d, "part").select(F.concat(F.lit("x:"), F.col("p_partkey").cast("string")).alias("track"))
     return feature_sources.matched(tracks, feature_sources.attach_audio(tracks, _audio(spark, d)))
 
 
-@query("a12_feature_covered", "SELECT pid, row_number() OVER (PARTITION BY pid ORDER BY pos) - 1 AS pos, track FROM inter JOIN part ON p_partkey = track WHERE p_size % 3 <> 0")
+@query("a12_feature_covered", "SELECT pid, row_number() OVER (PARTITION BY pid ORDER BY pos) - 1 AS pos, track FROM inter JOIN part ON p_partkey = track WHERE p_size >= 15")
 def a12(spark, d):
     c = C.from_orders(spark, d)
-    covered = C.table(spark, d, "part").filter("p_size % 3 <> 0").select(F.col("p_partkey").alias("track"))
+    covered = C.table(spark, d, "part").filter(HAS_AUDIO).select(F.col("p_partkey").alias("track"))
     return C.restrict_to_features(C.Corpus(c.interactions, c.playlists, c.tracks, covered)).interactions
 
 
@@ -188,10 +190,10 @@ def b1(spark, d):
     return e.join(C.table(spark, d, "part").select(F.col("p_partkey").alias("track")), "track").select("event_id", "track")
 
 
-@query("b4_feature_matrix", "SELECT track, coalesce(axes, [0.0 FOR i IN range(15)])[1] AS a0, coalesce(axes, [0.0 FOR i IN range(15)])[8] AS a7 FROM (SELECT track, CASE WHEN track % 5 = 0 THEN NULL ELSE axes END AS axes FROM feats)")
+@query("b4_feature_matrix", "SELECT track, coalesce(axes, [0.0 FOR i IN range(15)])[1] AS a0, coalesce(axes, [0.0 FOR i IN range(15)])[8] AS a7 FROM (SELECT track, CASE WHEN axes[1] < 0.2 THEN NULL ELSE axes END AS axes FROM feats)")
 def b4(spark, d):
     f = C.order_features(spark, d)
-    x = f.select("track").join(f.filter("track % 5 <> 0"), "track", "left").select("track", F.coalesce("axes", F.array_repeat(F.lit(0.0), len(AXES))).alias("axes"))
+    x = f.select("track").join(f.filter(F.get("axes", F.lit(0)) >= 0.2), "track", "left").select("track", F.coalesce("axes", F.array_repeat(F.lit(0.0), len(AXES))).alias("axes"))
     return x.select("track", F.get("axes", F.lit(0)).alias("a0"), F.get("axes", F.lit(7)).alias("a7"))
 
 
@@ -533,15 +535,15 @@ def g9f(spark, d):
 _W = "[(i % 5 - 2.0) * (case_id % 3 + 1) / 6 FOR i IN range(0, 15)]"
 
 
-@query("g9g_taste_score", f"""SELECT case_id, track, round(1.0 * CASE WHEN hi > lo THEN (axis - lo) / (hi - lo) ELSE 0 END + 0.6 * CASE WHEN chi > clo THEN (cf - clo) / (chi - clo) ELSE 0 END, 4) AS score FROM (
+@query("g9g_taste_score", f"""SELECT case_id, track, round(1.0 * CASE WHEN hi > lo THEN (axis - lo) / (hi - lo) ELSE 0 END + 0.6 * CASE WHEN chi > clo THEN (cf - clo) / (chi - clo) ELSE 0 END, 6) AS score FROM (
   SELECT *, min(axis) OVER w AS lo, max(axis) OVER w AS hi, min(cf) OVER w AS clo, max(cf) OVER w AS chi FROM (
-    SELECT case_id, track, round(list_sum([z[i] * w[i] FOR i IN range(1, 16)]), 6) AS axis, coalesce(score, 0) AS cf FROM (SELECT case_id, {_W} AS w FROM cases WHERE scenario = 'title_5') CROSS JOIN ({_Z}) LEFT JOIN cfscore USING (case_id, track)) WINDOW w AS (PARTITION BY case_id))""")
+    SELECT case_id, track, round(list_sum([z[i] * w[i] FOR i IN range(1, 16)]), 9) AS axis, coalesce(score, 0) AS cf FROM (SELECT case_id, {_W} AS w FROM cases) CROSS JOIN ({_Z}) LEFT JOIN cfscore USING (case_id, track)) WINDOW w AS (PARTITION BY case_id))""")
 def g9g(spark, d):
     r = Run(spark, d)
-    q = r.cases.filter("scenario = 'title_5'").select("case_id", F.transform(F.sequence(F.lit(0), F.lit(14)), lambda i: (i % 5 - 2.0) * (F.col("case_id") % 3 + 1) / 6).alias("w"))
+    q = r.cases.select("case_id", F.transform(F.sequence(F.lit(0), F.lit(14)), lambda i: (i % 5 - 2.0) * (F.col("case_id") % 3 + 1) / 6).alias("w"))
     cf = ranking.without(itemcf.scores(r.seeds, r.near).filter("score > 0"), r.seeds)
     z = r.z.withColumn("z", F.transform("z", lambda x: F.round(x, 6)))
-    return taste.score(q, z, cf.join(q.select("case_id"), "case_id", "left_semi")).withColumn("score", F.round("score", 4))
+    return taste.score(q, z, cf.join(q.select("case_id"), "case_id", "left_semi"))
 
 
 @query("c16_support", "SELECT r.case_id, r.track, count(DISTINCT s.track) AS n FROM cfrecs r JOIN seeds s ON s.case_id = r.case_id JOIN near n ON n.i = s.track AND n.j = r.track GROUP BY r.case_id, r.track")
