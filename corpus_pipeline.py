@@ -56,7 +56,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     path, pattern = P.path(VOCABULARY), P.PATTERN
-    back = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    back = bpe.decode(bpe.encode(docs, path, pattern), path)
     names = [c for c in docs.columns if c not in ("ids", "decoded", "n_tokens")]
     text = F.when(F.col("text").isNotNull(), F.col("decoded").cast("string")).alias("text")
     return back.select(*[text if c == "text" else F.col(f"`{c}`") for c in names], F.size("ids").cast("long").alias("n_tokens"), "ids")

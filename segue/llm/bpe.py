@@ -29,10 +29,10 @@ from ._common import bounded_batches
 #: Characters of a chunk, and of what it shares with the next one.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
 #: Pieces of up to so many bytes, and so many of them, are remembered by a worker.
-CACHE_BYTES, CACHE_PIECES = 64, 400_000
+CACHE_BYTES, CACHE_PIECES = 32, 100_000
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -48,7 +48,6 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})._core_bpe
         self.pieces: dict[str, list[int]] = {}
-        self.bytes_of = {i: b for b, i in self.ranks.items()}
 
     def encode_pieces(self, pieces: list[str]) -> list[int]:
         known, out = self.pieces, []
@@ -64,15 +63,26 @@ class Codec:
     def encode(self, text: str | None) -> list[int]:
         return self.encode_pieces(self.pattern.findall(text or ""))
 
-    def decode(self, ids: list[int]) -> bytes:
-        of = self.bytes_of
-        return b"".join([of[i] for i in ids])
-
     def boundaries(self, text: str) -> list[tuple[int, int]]:
         return [m.span() for m in self.pattern.finditer(text)]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
+def tokens_of(path: str) -> list[bytes]:
+    """The bytes of each id; all that decoding needs (it runs in workers of its own)."""
+    with open(path, "rb") as f:
+        rows = [line.split() for line in f]
+    out = [b""] * (1 + max(int(i) for _, i in rows))
+    for token, i in rows:
+        out[int(i)] = base64.b64decode(token)
+    return out
+
+
+def decode_ids(ids: list[int], tokens: list[bytes]) -> bytes:
+    return b"".join([tokens[i] for i in ids])
+
+
+@lru_cache(maxsize=1)
 def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
@@ -169,7 +179,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
     return short.unionByName(stitched)
 
 
-def decode(docs: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+def decode(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """`docs` with the bytes of its ids in `out_col` (binary; null ids: empty)."""
     bounded_batches(docs.sparkSession)
     docs = docs.drop(out_col)
@@ -177,9 +187,9 @@ def decode(docs: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_c
     at = names.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
+        tokens = tokens_of(path)
         for b in batches:
-            got = pa.array([c.decode(i or []) for i in b.column(at).to_pylist()], pa.binary())
+            got = pa.array([decode_ids(i or [], tokens) for i in b.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, got], [*names, out_col])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.BinaryType())]))

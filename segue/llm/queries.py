@@ -56,7 +56,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = P.path(VOCABULARY), P.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = bpe.encode(docs, path, pattern).drop("text")
-    back = bpe.decode(ids, path, pattern)
+    back = bpe.decode(ids, path)
     return back.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         sha_hex(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), sha_hex(F.col("decoded")).alias("decoded_sha256"),
