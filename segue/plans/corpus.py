@@ -76,7 +76,7 @@ def corpus_stats(interactions: DataFrame) -> DataFrame:
     per_list = interactions.groupBy("pid").agg(F.count("*").alias("n"))
     lists = per_list.agg(F.count("*").alias("n_playlists"), F.sum("n").cast("long").alias("n_interactions"), F.round(F.avg("n"), 6).alias("mean_length"))
     tracks = interactions.select("track").distinct().agg(F.count("*").alias("n_tracks"))
-    return lists.withColumn("n_tracks", F.lit(tracks.first()[0]))
+    return lists.withColumn("n_tracks", F.lit(tracks.first()[0]).cast("long"))
 
 
 def tail_histogram(interactions: DataFrame, at_least: tuple[int, ...] = (1, 2, 3, 5, 10, 20, 50)) -> DataFrame:

@@ -218,7 +218,7 @@ def b11(spark, d):
     return C.from_orders(spark, d).playlists.filter(F.exists(words, lambda w: F.contains("title", w))).select("pid", "title")
 
 
-@query("b7_payload_axes", "SELECT * FROM (VALUES ('tempo', 0.5), ('genre:rap', 1.0)) AS v(axis, value)")
+@query("b7_payload_axes", "SELECT * FROM (VALUES ('tempo', 0.5::DOUBLE), ('genre:rap', 1.0::DOUBLE)) AS v(axis, value)")
 def b7(spark, d):
     got = taste.payload({"tempo": 0.5, "energy": 1e-12, "unknown": 3.0}, ["rap", "polka"])
     return spark.createDataFrame(list(got.items()), "axis string, value double")
@@ -392,14 +392,14 @@ def e9(spark, d):
     return r.cf_recs.join(r.holdout, ["case_id", "track"]).groupBy("case_id").agg((F.min("rank") - 1).alias("first"))
 
 
-@query("e11_top_axes", f"""SELECT track, a[1].axis AS axis1, round(a[1].value, 6) AS value1, a[2].axis AS axis2, a[3].axis AS axis3 FROM (
-  SELECT track, list_sort([{{'o': -abs(round(z[i] * (i % 4 - 1.5), 6)), 'i': i, 'axis': (['{"','".join(AXES)}'])[i], 'value': z[i] * (i % 4 - 1.5)}} FOR i IN range(1, 16)]) AS a FROM ({_Z}))""")
+@query("e11_top_axes", f"""SELECT track, a[1].axis AS axis1, round(a[1].value, 8) AS value1, a[2].axis AS axis2, a[3].axis AS axis3 FROM (
+  SELECT track, list_sort([{{'o': -abs(round(z[i] * (i % 4 - 1.5), 8)), 'i': i, 'axis': (['{"','".join(AXES)}'])[i], 'value': z[i] * (i % 4 - 1.5)}} FOR i IN range(1, 16)]) AS a FROM ({_Z}))""")
 def e11(spark, d):
     z = Run(spark, d).z.withColumn("z", F.transform("z", lambda x: F.round(x, 6)))
     w = F.array(*[F.lit((i + 1) % 4 - 1.5) for i in range(len(AXES))])
-    top = z.select("track", F.transform(F.sequence(F.lit(0), F.lit(14)), lambda i: F.struct((-F.abs(F.round(F.get("z", i) * F.get(w, i), 6))).alias("o"), i.alias("i"), F.get(F.array(*[F.lit(a) for a in AXES]), i).alias("axis"), (F.get("z", i) * F.get(w, i)).alias("v"))).alias("p"))
+    top = z.select("track", F.transform(F.sequence(F.lit(0), F.lit(14)), lambda i: F.struct((-F.abs(F.round(F.get("z", i) * F.get(w, i), 8))).alias("o"), i.alias("i"), F.get(F.array(*[F.lit(a) for a in AXES]), i).alias("axis"), (F.get("z", i) * F.get(w, i)).alias("v"))).alias("p"))
     s = F.slice(F.array_sort("p"), 1, 3)
-    return top.select("track", s[0]["axis"].alias("axis1"), F.round(s[0]["v"], 6).alias("value1"), s[1]["axis"].alias("axis2"), s[2]["axis"].alias("axis3"))
+    return top.select("track", s[0]["axis"].alias("axis1"), F.round(s[0]["v"], 8).alias("value1"), s[1]["axis"].alias("axis2"), s[2]["axis"].alias("axis3"))
 
 
 @query("e12_winners", "SELECT scenario, max(model) FILTER (r = 1) AS winner, max(model) FILTER (r = 2) AS runner_up FROM (SELECT scenario, model, row_number() OVER (PARTITION BY scenario ORDER BY r_precision DESC, model) AS r FROM summary WHERE scenario <> 'OVERALL') GROUP BY scenario")
