@@ -35,7 +35,7 @@ def lines(recs: DataFrame, team: str, contact: str) -> DataFrame:
 
 def write(recs: DataFrame, path: str, team: str, contact: str, gzip: bool = False) -> None:
     """One text file in the folder `path`: the format asks for one, its rows are sorted by case."""
-    out = lines(recs, team, contact).orderBy("at").select("value").coalesce(1).write.mode("overwrite")
+    out = lines(recs, team, contact).repartition(1).sortWithinPartitions("at").select("value").write.mode("overwrite")
     (out.option("compression", "gzip") if gzip else out).text(path)
 
 
@@ -46,7 +46,7 @@ def validate(spark: SparkSession, path: str, seeds: DataFrame | None = None) ->
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
     """line (from 1), value. A file is one text, cut into its lines by place, so the numbers are exact."""
-    return spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("p", "value")).select((F.col("p") + 1).cast("long").alias("line"), "value")
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("p", "value")).select((F.col("p") + 1).cast("long").alias("line"), "value")
 
 
 def validate_lines(numbered: DataFrame, seeds: DataFrame | None = None) -> DataFrame:

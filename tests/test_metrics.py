@@ -65,7 +65,7 @@ def test_random_cases_equal_the_loop(spark):
 def test_coverage_similarity_buckets(spark):
     recs = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 1, "b"), (2, 2, "c"), (2, 3, "d")], "case_id long, rank long, track string")
     assert M.coverage(recs, 8, 3).first().coverage == 0.5 and M.coverage(recs, 8, 1).first().coverage == 0.25
-    axes = {"a": [1.0, 0, 0], "b": [0, 1.0, 0], "c": [1.0, 1.0, 0], "d": [0.0, 0, 0]}
+    axes = {"a": [1.0, 0.0, 0.0], "b": [0.0, 1.0, 0.0], "c": [1.0, 1.0, 0.0], "d": [0.0, 0.0, 0.0]}
     v = spark.createDataFrame(list(axes.items()), "track string, axes array<double>")
     got = {r.case_id: r.ils for r in M.intra_list_similarity(recs, v, 3).collect()}
     assert abs(got[1] - (0 + 2 * math.sqrt(0.5)) / 3) < 1e-6 and abs(got[2] - math.sqrt(0.5) / 3) < 1e-6

@@ -21,6 +21,15 @@ def db():
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_steps():
+    """Fitted tables are shared by the queries of this module."""
+    own, runs = Q.Run, {}
+    Q.Run = lambda spark, d: runs.setdefault(d, own(spark, d)) if d not in runs else runs[d]
+    yield
+    Q.Run = own
+
+
 def text(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else f"{v:.6g}"
