@@ -2,6 +2,7 @@
 
 import math
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -19,6 +20,7 @@ K = 30
 @pytest.fixture(scope="module")
 def world(spark):
     c = generate.make(spark, 200, 150, seed=5)
+    c = replace(c, tracks=c.tracks.cache(), playlists=c.playlists.cache(), features=c.features.cache())
     inter = c.interactions.cache()
     some = [r.track for r in inter.filter("pid = 3").orderBy("pos").collect()]
     cases = spark.createDataFrame([(1, "gym workout"), (2, None), (3, ""), (4, "chill vibes"), (5, None)], "case_id long, title string").cache()
@@ -152,7 +154,7 @@ def test_hybrid(spark, world):
     feats = hybrid.features(cand, src, cases, seeds, pop, c.tracks).cache()
     assert feats.filter("case_id = 2 and title > 0").count() == 0
     assert hybrid.features(cand, src, cases, seeds, pop, c.tracks, drop=("pop",)).agg(F.max("pop")).first()[0] == 0
-    tc, ts, held = hybrid.training_cases(inter, c.playlists, 30)
+    tc, ts, held = hybrid.training_cases(inter, c.playlists, 8)
     tsrc = make(tc.cache(), ts.cache())
     rows = hybrid.training_rows(hybrid.features(hybrid.candidates(tsrc, ts, 20), tsrc, tc, ts, pop, c.tracks), held).cache()
     for kind in ("equal", "logreg", "gbt"):
