@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again.
 
-1. toxicity: documents predicted toxic go; 2. SimHash near-duplicates: one document of each group
-stays; 3. decontamination: documents that hold a benchmark window go; 4. PII: entities are replaced
+1. toxicity: documents predicted toxic go; 2. near-duplicates by exact shingle similarity (min-hash
+bands find them; the stage keeps its name): one document of each group stays; 3. decontamination: documents that hold a benchmark window go; 4. PII: entities are replaced
 by surrogates; 5. byte-level BPE: texts are encoded, and the texts returned are decoded from the ids.
 All stages but the last return the columns of documents. Null and empty texts, null ids, repeated
 rows and further columns pass as each operator defines; a column whose name clashes with one that an
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segue.llm import bpe, decontaminate, pii, simhash, toxicity
+from segue.llm import bpe, decontaminate, pii, similar, toxicity
 from segue.llm._common import shared_folder, table
 from segue.llm.queries import PII_KEY, VOCABULARY
 
@@ -29,13 +29,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(own, model).filter(F.col("predicted") == 0).select("row.*")
 
 
-#: Shingles of five words; fingerprints of 64 bits within TAU, and of 256 within WIDE_TAU. 38 of 256 bits is the angle of
-#: equally long texts with a shingle similarity of 0.8.
-WIDTH, TAU, WIDE_TAU = 5, 10, 38
+#: Shingles of five words, and the similarity from which texts are near-copies.
+WIDTH, SIMILARITY = 5, 0.8
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, TAU, WIDTH, WIDE_TAU)
+    return similar.keep_one(docs, WIDTH, SIMILARITY)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
