@@ -5,8 +5,8 @@ slots, and equal streams of a host are counted as one shape. A host's wrapper st
 frequent shape; each other shape is aligned with it, and mismatches become optional groups, while
 a group that repeats in either becomes a repeated group. Slots carry statistics over all pages of
 the host: how much text they hold and whether it varies. The wrapper names the container of the
-main text (its article or main elements, else the container whose varying slots hold most text)
-and the fixed template texts outside it. Extraction reads the wrapper's container from each page
+main text (its article or main elements, else the container of all slots but the fixed) and the
+fixed template texts: equal on all of three or more pages. A slot of one page, repeated or not, counts as varying. Extraction reads the wrapper's container from each page
 and leaves out menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 comments; a page that lacks the container is read by its own elements.
 
@@ -46,6 +46,8 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Numbers in names, such as ids of posts, differ from page to page: they are one in labels.
+NUMBER = re.compile(r"\d{2,}")
 #: Elements by their part in a page, and names that mark what is not main text.
 CONTAINERS = {"html", "head", "body", "main", "article", "section", "div", "nav", "header", "footer", "aside", "form", "ul", "ol", "dl", "table", "blockquote", "figure", "dialog", "menu", "button", "fieldset", "details", "center"}
 BLOCKS = CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "pre", "hr", "figcaption", "address", "summary", "option", "legend"}
@@ -84,7 +86,7 @@ class Reader:
         marks |= {p for x in marks for p in re.split(r"[-_]", x)}
         inside = main_prefix(path) is not None
         header = not inside and (name == "header" or marks & HEADER_NAMES)
-        label = name + ("." + ".".join(sorted(named.split())) if named else "")
+        label = name + ("." + ".".join(sorted(NUMBER.sub("0", named).split())) if named else "")
         self.stack.append((name, f"{path}/{label}", bool(aside or name in ASIDE or marks & ASIDE_NAMES or header)))
 
     def close(self, name: str) -> None:
@@ -202,15 +204,12 @@ def infer(shapes: list[tuple[str, int]], slots: list[tuple[str, int, int, bool]]
     fixed: list[str] = []
     if not regions and slots:
         varied = any(v for *_, v in slots)
-        weight: dict[str, int] = {}
-        for path, _, chars, varies in slots:
-            parts = path.split("/")
-            for k in range(2, len(parts) + 1):
-                up = "/".join(parts[:k])
-                weight[up] = weight.get(up, 0) + (chars if varies or not varied else 0)
-        most = max(weight.values(), default=0)
-        regions = [max((p for p, w in weight.items() if w >= 0.8 * most), key=lambda p: (p.count("/"), weight[p], p))] if weight else []
         fixed = sorted(path for path, pages, _, varies in slots if varied and not varies and pages >= 3)
+        # All slots that are not fixed stay: the region is their common container.
+        free = [path.split("/") for path in {s[0] for s in slots} - set(fixed)]
+        low, high = min(free), max(free)
+        same = next((k for k, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
+        regions = ["/".join(low[:same])]
     return {"regex": " ".join(f"({t})?" if o else t for t, o in wrapper), "regions": regions, "fixed": fixed}
 
 
@@ -260,17 +259,19 @@ def wrappers(pages: DataFrame) -> DataFrame:
             found: dict[tuple, list] = {}
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 shape, slots = summary(page or "")
+                own = xxhash.xxh64_intdigest(page or "") >> 1
                 for key, n, h in [((host, True, shape), 0, 0), *[((host, False, p), *x) for p, x in slots.items()]]:
-                    s = found.setdefault(key, [0, 0, h, h])
+                    s = found.setdefault(key, [0, 0, h, h, own, own])
                     s[0] += 1
                     s[1] += n
                     s[2], s[3] = min(s[2], h), max(s[3], h)
+                    s[4], s[5] = min(s[4], own), max(s[5], own)
             cols = [pa.array([k[i] for k in found], kind) for i, kind in enumerate((pa.string(), pa.bool_(), pa.string()))]
-            cols += [pa.array([v[i] for v in found.values()], pa.int64()) for i in range(4)]
-            yield pa.RecordBatch.from_arrays(cols, ["host", "is_shape", "key", "pages", "chars", "lo", "hi"])
+            cols += [pa.array([v[i] for v in found.values()], pa.int64()) for i in range(6)]
+            yield pa.RecordBatch.from_arrays(cols, ["host", "is_shape", "key", "pages", "chars", "lo", "hi", "first", "last"])
 
-    rows = pages.select("host", "html").mapInArrow(measure, "host string, is_shape boolean, key string, pages long, chars long, lo long, hi long")
-    rows = rows.groupBy("host", "is_shape", "key").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), (F.min("lo") != F.max("hi")).alias("varies"))
+    rows = pages.select("host", "html").mapInArrow(measure, "host string, is_shape boolean, key string, pages long, chars long, lo long, hi long, first long, last long")
+    rows = rows.groupBy("host", "is_shape", "key").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), ((F.min("lo") != F.max("hi")) | (F.min("first") == F.max("last"))).alias("varies"))
     rank = F.row_number().over(W.partitionBy("host", "is_shape").orderBy(F.desc("pages"), F.desc("chars"), "key"))
     rows = rows.withColumn("__rank", rank).filter(F.col("__rank") <= SHAPES).drop("__rank")
     per_host = rows.groupBy("host").agg(F.collect_list(F.struct("is_shape", "key", "pages", "chars", "varies")).alias("x"))

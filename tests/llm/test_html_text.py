@@ -46,3 +46,18 @@ def test_operator_and_edges(spark):
         want = sorted([("1", TEXT, len(TEXT)), ("2", TEXT, len(TEXT)), ("2", TEXT, len(TEXT)), ("3", "", 0), ("None", "", 0), ("5", ("long text " * 200_000).strip(), 1_999_999)])
         assert got == want
     assert H.main_text(pages.limit(0)).count() == 0
+
+
+def texts(spark, pages):
+    rows = [(i, f"http://h.org/{i}", p) for i, p in enumerate(pages)]
+    return {r.page_id: r.text for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_all_varying_text_stays(spark):
+    body = lambda i: " ".join(f"word{i}x{k}" for k in range(40))
+    page = lambda i: f"<body><div class='top'>Site name</div><h1>Title {i}</h1><div class='intro'>intro {i}</div><div class='content'><p>{body(i)}</p></div></body>"
+    assert texts(spark, [page(i) for i in range(5)]) == {i: f"Title {i}\nintro {i}\n{body(i)}" for i in range(5)}
+    post = lambda i: f"<body><div class='top'>Site name</div><div class='byline'>by author {i}</div><div id='post-{100 + i}'><p>{body(i)}</p><div class='end'>Thanks all</div></div></body>"
+    assert texts(spark, [post(i) for i in range(5)]) == {i: f"by author {i}\n{body(i)}" for i in range(5)}
+    named = lambda i: f"<body><div class='top'>Site name</div><div class='byline'>by author {i}</div><div id='{'abcde'[i]}'>{body(i)}</div></body>"
+    assert texts(spark, [named(i) for i in range(5)] + [named(0)] * 3).items() >= {i: f"by author {i}\n{body(i)}" for i in range(5)}.items()
