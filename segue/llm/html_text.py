@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 from ._common import bounded_batches, cut
 from .urls import split_url
 
-#: Shapes of a host that its wrapper is made of, the most frequent first; pages of other shapes are still read by the
-#: wrapper's container, or by their own elements.
+#: Shapes of a host that its regular expression is made of, the most frequent first. The expression describes the host
+#: and decides no text: regions and fixed slots do, which come from all slots of all pages.
 SHAPES = 200
 #: Bytes of all wrappers up to which they are broadcast.
 BROADCAST_BYTES = 32 << 20
@@ -273,7 +273,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     rows = pages.select("host", "html").mapInArrow(measure, "host string, is_shape boolean, key string, pages long, chars long, lo long, hi long, first long, last long")
     rows = rows.groupBy("host", "is_shape", "key").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), ((F.min("lo") != F.max("hi")) | (F.min("first") == F.max("last"))).alias("varies"))
     rank = F.row_number().over(W.partitionBy("host", "is_shape").orderBy(F.desc("pages"), F.desc("chars"), "key"))
-    rows = rows.withColumn("__rank", rank).filter(F.col("__rank") <= SHAPES).drop("__rank")
+    rows = rows.withColumn("__rank", rank).filter(~F.col("is_shape") | (F.col("__rank") <= SHAPES)).drop("__rank")
     per_host = rows.groupBy("host").agg(F.collect_list(F.struct("is_shape", "key", "pages", "chars", "varies")).alias("x"))
 
     def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -61,3 +61,9 @@ def test_all_varying_text_stays(spark):
     assert texts(spark, [post(i) for i in range(5)]) == {i: f"by author {i}\n{body(i)}" for i in range(5)}
     named = lambda i: f"<body><div class='top'>Site name</div><div class='byline'>by author {i}</div><div id='{'abcde'[i]}'>{body(i)}</div></body>"
     assert texts(spark, [named(i) for i in range(5)] + [named(0)] * 3).items() >= {i: f"by author {i}\n{body(i)}" for i in range(5)}.items()
+
+
+def test_slots_of_a_host_have_no_cap(spark, monkeypatch):
+    monkeypatch.setattr(H, "SHAPES", 2)
+    page = lambda i: "<body>" + "".join(f"<div class='{c}'>{c} {i}</div>" for c in "abcd") + "".join(f"<div class='f{c}'>fixed {c}</div>" for c in "abcd") + "</body>"
+    assert texts(spark, [page(i) for i in range(4)]) == {i: "\n".join(f"{c} {i}" for c in "abcd") for i in range(4)}
