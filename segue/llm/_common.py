@@ -1,13 +1,12 @@
-"""Helpers shared by the corpus operators: tables, spooling, batches, samples."""
+"""Helpers shared by the corpus operators: tables, batches, samples."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import cut, shared_folder  # noqa: F401  used by the operators
+
 #: Rows and bytes of one Arrow batch that a Python worker holds at a time.
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
@@ -16,22 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Take the cluster's shared folder; set one only where none is set (local tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="segue-ckpt-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write a table to the shared checkpoint folder and go on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small: texts may be long, so rows alone bound nothing."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Keep Arrow batches small: texts may be long, so rows alone bound nothing. These are settings of the session, read
+    when a plan starts, so they stay; a smaller number of rows that is set already is left."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
@@ -44,24 +33,30 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(crc_fold(doc_id) == 0, F.lit(False))
 
 
-def unit_hash(*cols: str) -> Column:
-    """A number in [0, 1) that depends on the columns only."""
-    return F.pmod(F.xxhash64(F.lit("segue-sample"), *[F.col(c) for c in cols]), F.lit(1 << 30)) / float(1 << 30)
+def sample_key(*cols: str) -> Column:
+    """A long that depends on the columns only, whatever their types; rows in its order are in random order."""
+    return F.xxhash64(F.lit("segue-sample"), *[F.col(c).cast("string") for c in cols])
+
+
+#: Folds of training rows; not those of crc32, which deals out the held-out rows.
+FOLDS = 5
+
+
+def training_fold(key: Column) -> Column:
+    """The fold, 0 to FOLDS - 1, of a sample key: fold 0 calibrates."""
+    return F.pmod(F.shiftright(key, 7), F.lit(FOLDS)).cast("int")
 
 
 def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
-    """At most `bound` rows (and about that many if there are more), chosen by a hash of the key."""
+    """At most `bound` rows: the first in the order of the key's hash, so the same however the rows are dealt out."""
     n = df.count()
     if n <= bound:
         return df
-    return df.filter(unit_hash(key) < 0.98 * bound / n).limit(bound)
+    h = sample_key(key)
+    # The first look keeps somewhat more than the bound, so that few rows are ordered.
+    few = df.filter(F.pmod(h, F.lit(1 << 30)) < int(min(1.0, 1.2 * bound / n + 200 / n) * (1 << 30)))
+    return few.orderBy(F.pmod(h, F.lit(1 << 30)), key, *[c for c in df.columns if c != key]).limit(bound)
 
 
 def sha_hex(c: Column) -> Column:
     return F.sha2(c, 256)
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
