@@ -23,8 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bounded_batches, bounded_sample, is_held_out
-from .toxicity import hash_fold
+from ._common import bounded_batches, is_held_out, sample_key, training_fold
 
 SAMPLE, BUCKETS, DIM, GRAMS = 4_000, 1 << 13, 16, (1, 2, 3, 4)
 EPOCHS, BATCH, RATE = 10, 32, 0.05
@@ -107,36 +106,39 @@ def fit(x: np.ndarray, y: np.ndarray, classes: int, seed: int = 7) -> tuple[np.n
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """From documents (doc_id, text, lang) outside fold 0 with a lang."""
     bounded_batches(docs.sparkSession)
-    known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & ~is_held_out())
-    known = bounded_sample(known, "doc_id", sample)
+    known = docs.filter(F.col("lang").isNotNull() & ~is_held_out()).select(sample_key("doc_id").alias("k"), "text", F.col("lang").cast("string").alias("lang"))
+    n = known.count()
+    if n > sample:  # texts are long: a first look by hash keeps somewhat more than the bound, and bags are cut to it
+        known = known.filter(F.pmod("k", F.lit(1 << 30)) < int(min(1.0, 1.2 * sample / n + 200 / n) * (1 << 30)))
+    known = known.select("k", training_fold(F.col("k")).alias("fold"), "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, lang, at, count = [], [], [], []
-            for i, t, la in zip(*(b.column(k).to_pylist() for k in range(3))):
+            rows, at, count = [], [], []
+            for row, t in enumerate(b.column(3).to_pylist()):
                 bag = np.zeros(BUCKETS, np.int64)
                 for got in buckets_of(t):
                     bag += np.bincount(got, minlength=BUCKETS)
                 if bag.any():
                     k = np.flatnonzero(bag)
-                    ids.append(i), lang.append(la), at.append(k.astype(np.int16)), count.append((bag[k] / bag.sum()).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lang, pa.string()), pa.array(at, pa.list_(pa.int16())), pa.array(count, pa.list_(pa.float32()))], ["doc_id", "lang", "at", "share"])
+                    rows.append(row), at.append(k.astype(np.int16)), count.append((bag[k] / bag.sum()).astype(np.float32))
+            took = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(took) for c in range(3)], pa.array(at, pa.list_(pa.int16())), pa.array(count, pa.list_(pa.float32()))], ["k", "fold", "lang", "at", "share"])
 
-    got = known.mapInArrow(run, "doc_id long, lang string, at array<smallint>, share array<float>").toArrow()  # at most `sample` bags of at most BUCKETS entries
+    made = known.mapInArrow(run, "k long, fold int, lang string, at array<smallint>, share array<float>")
+    got = made.orderBy(F.pmod("k", F.lit(1 << 30)), "k", "lang", "at", "share").limit(sample).toArrow()  # at most `sample` bags of at most BUCKETS entries
     if not len(got):
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
-    ids = np.array([i or 0 for i in got.column("doc_id").to_pylist()])
-    order = np.argsort(ids, kind="stable")
     names = got.column("lang").to_pylist()
     langs = sorted(set(names))
-    y = np.array([langs.index(v) for v in names])[order]
+    y = np.array([langs.index(v) for v in names])
     x = np.zeros((len(names), BUCKETS), np.float32)
     at, share = got.column("at").combine_chunks(), got.column("share").combine_chunks()
     offs, at_v, share_v = at.offsets.to_numpy(), at.flatten().to_numpy(), share.flatten().to_numpy()
-    for row, k in enumerate(order):
-        a, z = offs[k] - offs[0], offs[k + 1] - offs[0]
+    for row in range(len(names)):
+        a, z = offs[row] - offs[0], offs[row + 1] - offs[0]
         x[row, at_v[a:z]] = share_v[a:z]
-    apart = np.array([hash_fold(int(i)) == 0 for i in ids[order]])
+    apart = np.array(got.column("fold").to_pylist()) == 0
     if apart.all() or not apart.any():
         apart[:] = False
     rows, bias = fit(x[~apart], y[~apart], len(langs))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import gbt
-from ._common import bounded_batches, bounded_sample
+from ._common import bounded_batches, bounded_sample, sample_key
 
 SAMPLE = 16_000
 SYMBOLS = "#*$%&|<>"
@@ -72,7 +72,7 @@ def base_failed(counts: list[int]) -> bool:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> gbt.Trees:
-    """From documents (doc_id, text) and labels (doc_id, quality)."""
+    """From documents (doc_id, text) and labels (doc_id, quality); ids of any type that casts to text."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     known = bounded_sample(known, "doc_id", sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "y")  # at most `sample` short rows
@@ -80,9 +80,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> gbt.Trees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [measure(t)[1] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.list_(pa.float64()))], ["k", "y", "x"])
 
-    rows = texts.mapInArrow(run, "doc_id long, y int, x array<double>").orderBy("doc_id", "y").collect()  # at most `sample` rows of a few numbers
+    made = texts.select(sample_key("doc_id").alias("k"), "text", "y").mapInArrow(run, "k long, y int, x array<double>")
+    rows = made.orderBy("k", "y", "x").limit(sample).collect()  # ids may repeat in documents: at most `sample` rows of a few numbers
     x = np.array([r["x"] for r in rows], float).reshape(-1, len(STATS))
     return gbt.fit(x, np.array([r["y"] for r in rows], float), {STATS.index(k): v for k, v in MONOTONE.items()})
 

@@ -110,7 +110,7 @@ FROM parts LEFT JOIN fits USING (host, path) JOIN h USING (host)
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.predict(docs.select("doc_id", "text"), langid.train(docs))
-    return found.select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import gbt
-from ._common import bounded_batches, bounded_sample, is_held_out
+from ._common import bounded_batches, bounded_sample, is_held_out, sample_key, training_fold
 
 #: Labelled rows used for training, mined lexicon entries, least toxic texts and odds of an entry.
 SAMPLE, ENTRIES, LEAST_TEXTS, LEAST_ODDS = 16_000, 600, 6, 8.0
@@ -35,9 +35,9 @@ SECOND_PERSON = {"you", "your", "yours", "yourself", "u", "ur", "du", "dich", "d
 DISGUISES = [str.maketrans("013457@$!|", "oieastasil"), str.maketrans("013457@$!|", "oleastasil")]
 NEAR = 5
 WORD = re.compile(r"[^\W_]+")
-# Possessive runs from the start of a token: linear in texts of any kind.
+# Possessive runs from the start of a token, and single letters that either go on or end: linear in texts of any kind.
 MIXED = re.compile(r"(?<![\w@$!|*])[0-9@$!|*]*+[^\W\d_]++[0-9@$!|*]++[^\W\d_][\w@$!|*]*+")
-SPELT = re.compile(r"(?<![^\W_])(?:[^\W\d_][.\-*_ ]){3,}[^\W\d_]\b")
+SPELT = re.compile(r"(?<![^\W_])[^\W\d_](?:[.\-*_ ][^\W\d_](?![^\W_])){3,}+")
 FEATURES = ["hits", "hit_rate", "top_weight", "weight_rate", "weight_sum", "near_you", "you_rate", "upper_rate", "shout_rate", "mark_rate", "punct_rate", "mixed_rate", "disguised_hits"]
 
 
@@ -65,8 +65,8 @@ def features(text: str | None, lex: Lexicon) -> list[float]:
     at = [i for i, w in enumerate(words) if w[:3] in first]
     hits = [(i, x) for i in at if (x := weight(words[i])) > 0]
     you = [i for i, w in enumerate(words) if w in SECOND_PERSON]
-    places = np.array(you)
-    near = sum(1 for i, _ in hits if len(you) and np.abs(places - i).min() <= NEAR)
+    places, hit_at = np.array(you, int), np.array([i for i, _ in hits], int)
+    near = int((np.searchsorted(places, hit_at + NEAR, side="right") > np.searchsorted(places, hit_at - NEAR)).sum())
     mixed = MIXED.findall(low)
     disguised = sum(1 for w in mixed if any(weight(w.translate(d).replace("*", "")) > 0 for d in DISGUISES))
     disguised += sum(1 for w in SPELT.findall(low) if weight(re.sub(r"[.\-*_ ]", "", w)) > 0)
@@ -109,7 +109,7 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """From documents (doc_id, text) and labels (doc_id, toxic) outside fold 0."""
+    """From documents (doc_id, text) and labels (doc_id, toxic) outside fold 0; ids of any type that casts to text."""
     known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out())
     known = bounded_sample(known, "doc_id", sample)
     # At most `sample` short rows: small enough for each executor, by the bound.
@@ -118,24 +118,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [features(t, lex) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+            x = [features(t, lex) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(x, pa.list_(pa.float64()))], ["k", "fold", "y", "x"])
 
-    rows = texts.mapInArrow(run, "doc_id long, y int, x array<double>").orderBy("doc_id", "y").collect()  # at most `sample` rows of a few numbers
+    key = sample_key("doc_id")
+    made = texts.select(key.alias("k"), training_fold(key).alias("fold"), "text", "y").mapInArrow(run, "k long, fold int, y int, x array<double>")
+    rows = made.orderBy("k", "y", "x").limit(sample).collect()  # ids may repeat in documents: at most `sample` rows of a few numbers
     x = np.array([r["x"] for r in rows], float).reshape(-1, len(FEATURES))
     y = np.array([r["y"] for r in rows], float)
-    apart = np.array([hash_fold(r["doc_id"]) == 0 for r in rows], bool)
+    apart = np.array([r["fold"] == 0 for r in rows], bool)
     rising = {FEATURES.index(f): 1 for f in ("hits", "hit_rate", "top_weight", "weight_rate", "weight_sum", "disguised_hits")}
     trees = gbt.fit(x[~apart], y[~apart], rising)
     points = gbt.isotonic(trees.probability(x[apart]), y[apart]) if apart.any() and y[apart].min() != y[apart].max() else (np.zeros(0), np.zeros(0))
     return Model(lex, trees, points)
 
 
-def hash_fold(i: int, folds: int = 5) -> int:
-    """A fold of the training rows that does not follow crc32 (which deals out the held-out rows)."""
-    return ((i * 2654435761) & 0xFFFFFFFF) % 8191 % folds
-
-
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """`docs` with score (double, 0 to 1) of its whole texts and predicted (1 if 0.5 or more)."""
     bounded_batches(docs.sparkSession)

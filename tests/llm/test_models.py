@@ -1,6 +1,7 @@
 """Trees, toxicity, quality and language on small tables."""
 
 import random
+import time
 
 import numpy as np
 
@@ -87,6 +88,105 @@ def test_disguises():
     assert f("zarklings")["hits"] == 1 and f("nothing here")["hits"] == 0
 
 
+def test_features_are_linear_in_hostile_texts():
+    lex = toxicity.Lexicon({"idiot": 4.0}, {"zark": 3.0})
+    f = lambda t: dict(zip(toxicity.FEATURES, toxicity.features(t, lex)))
+    began = time.time()
+    for bit in ("a_", "a_a_a_ ", "1a1", "a1", "@$!", "you idiot ", "a.b.c", "aa_b_", "**a", "é-"):
+        f(bit * ((1 << 20) // len(bit)))
+    assert time.time() - began < 120
+    assert f("i_d_i_o_t")["disguised_hits"] == f("so i d i o t here")["disguised_hits"] == 1 and f("i.d.i.ot")["disguised_hits"] == 0
+    words = "idiot x you x x x x x x x idiot".split()
+    assert f(" ".join(words))["near_you"] == 1 and f("you x x x x idiot")["near_you"] == 1 and f("you x x x x x idiot")["near_you"] == 0
+
+
+def test_ids_of_text_and_repeated_labelled_rows(spark):
+    docs, labels = toxic_docs()
+    d = spark.createDataFrame([(f"d{i}", t, "en" if i % 2 else "de") for i, t, _ in docs] + [("d0", docs[0][1], "de")] * 300, "doc_id string, text string, lang string")
+    lab = spark.createDataFrame([(f"d{i}", q, t) for i, q, t in labels], "doc_id string, quality int, toxic int")
+    m = toxicity.train(d, lab, sample=250)
+    out = toxicity.score(d, m).collect()
+    want = {f"d{i}": t for i, _, t in labels}
+    assert np.mean([r.predicted == want[r.doc_id] for r in out]) > 0.9
+    again = toxicity.train(d.repartition(7), lab.repartition(5), sample=250)
+    assert (again.trees.value == m.trees.value).all() and again.lex.words == m.lex.words
+    assert quality.judge(d, quality.train(d, lab, sample=100)).count() == len(out)
+    assert langid.predict(d, langid.train(d, sample=100)).filter("lang_pred in ('en', 'de')").count() == len(out)
+
+
+def test_toxicity_query_equals_brute_force(spark):
+    """Trees walked node by node and calibration by hand, over the operator's whole table."""
+    docs, labels = toxic_docs()
+    d = spark.createDataFrame(docs, "doc_id long, text string, x string")
+    m = toxicity.train(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    t, (px, pp) = m.trees, m.points
+
+    def plain(text):
+        x, z = toxicity.features(text, m.lex), t.base
+        for n in t.roots:
+            while t.left[n] != n:
+                n = t.left[n] if x[t.feature[n]] <= t.threshold[n] else t.right[n]
+            z += t.value[n]
+        p = 1 / (1 + np.exp(-z))
+        if not len(px):
+            return p
+        k = int(np.searchsorted(px, p))
+        if k == 0 or k == len(px):
+            return pp[min(k, len(px) - 1)]
+        return pp[k - 1] + (pp[k] - pp[k - 1]) * (p - px[k - 1]) / (px[k] - px[k - 1])
+
+    for r in toxicity.score(d, m).collect():
+        assert abs(r.score - plain(r.text)) < 1e-9 and r.predicted == int(r.score >= 0.5)
+
+
+def test_quality_verdict_equals_brute_force(spark):
+    r = random.Random(4)
+    docs = [(i, " ".join("".join(r.choices("abcdefghij", k=5)) + ("###" if i % 3 == 0 else "") for _ in range(r.randint(30, 90)))) for i in range(150)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    t = quality.train(d, spark.createDataFrame([(i, int(i % 3 > 0), 0) for i, _ in docs], "doc_id long, quality int, toxic int"))
+
+    def plain(text):
+        counts, x = quality.measure(text)
+        z = t.base
+        for n in t.roots:
+            while t.left[n] != n:
+                n = t.left[n] if x[t.feature[n]] <= t.threshold[n] else t.right[n]
+            z += t.value[n]
+        return counts[0] >= 50 and 100 * counts[4] <= 50 * counts[0] and z >= 0
+
+    got = {r.doc_id: r.kept for r in quality.judge(d, t).collect()}
+    assert got == {i: plain(x) for i, x in docs} and len(set(got.values())) == 2
+
+
+def test_language_equals_brute_force_and_ties(spark):
+    """Class scores added up n-gram by n-gram from the hash's definition; equal scores go to the first language."""
+    docs = [(i, ("der die und " if i % 2 else "the and of ") * (3 + i % 5) + str(i), "de" if i % 2 else "en") for i in range(120)]
+    d = spark.createDataFrame(docs + docs[:3], "doc_id long, text string, lang string")
+    m = langid.train(d)
+
+    def grams(text):
+        cp = [32 if c < 97 or 122 < c < 0xAA else c for c in map(ord, " " + text.lower() + " ")]
+        for n in langid.GRAMS:
+            for i in range(len(cp) - n + 1):
+                h = 0
+                for c in cp[i : i + n]:
+                    h = (h * 0x01000193 & 0xFFFFFFFF) ^ (c * 0x9E3779B1 & 0xFFFFFFFF)
+                h = ((h ^ h >> 15) * 0x85EBCA6B + n) & 0xFFFFFFFF
+                yield h >> 19
+
+    for text in ("der und die katze", "the cat and the hat", "x"):
+        own = [m.rows[g] for g in grams(text)]
+        z = (np.sum(own, axis=0, dtype=float) / len(own) + m.bias) / m.heat
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        lang, score = m.predict([text])
+        assert lang == [m.langs[int(p.argmax())]] and abs(score[0] - p.max()) < 1e-6
+    got = langid.predict(d, m).collect()
+    assert len(got) == 123 and len({(r.doc_id, r.lang_pred, r.score) for r in got}) == 120
+    assert langid.Model(["aa", "bb"], np.zeros((langid.BUCKETS, 2)), np.zeros(2), 1.0, 0.6).predict(["word"])[0] == ["aa"]
+    flat = langid.predict(d.limit(2), langid.Model(["aa", "bb"], np.zeros((langid.BUCKETS, 2)), np.zeros(2), 1.0, 0.6)).collect()
+    assert all(r.rejected and r.lang_pred == "aa" for r in flat)
+
+
 def plain_counts(t):
     t = t or ""
     ws = " \t\n\x0b\x0c\r"
