@@ -58,5 +58,22 @@ def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
     return few.orderBy(F.pmod(h, F.lit(1 << 30)), key, *[c for c in df.columns if c != key]).limit(bound)
 
 
+#: Of keys with more rows than a share of 1 / HOT_KEYS of all (and than HOT_ROWS) there are at most HOT_KEYS: small enough to broadcast.
+HOT_KEYS, HOT_ROWS = 10_000, 256
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, sizes: DataFrame, total: int, salt: str, how: str = "inner") -> DataFrame:
+    """`big` joined with `small` (one row for each key), with the rows of a hot key dealt over several tasks by `salt`.
+
+    sizes (key, c) says how many rows of big (of `total`) a key has; the row of a hot key is copied to each of its parts.
+    """
+    part = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot = F.broadcast(sizes.filter(F.col("c") > part).select(key, F.ceil(F.col("c") / part).cast("int").alias("__parts")))
+    n = F.coalesce("__parts", F.lit(1))
+    left = big.join(hot, key, "left").withColumn("__part", F.pmod(F.xxhash64(salt), n).cast("int")).drop("__parts")
+    right = small.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), n - 1))).drop("__parts")
+    return left.join(right, [key, "__part"], how).drop("__part")
+
+
 def sha_hex(c: Column) -> Column:
     return F.sha2(c, 256)

@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bounded_batches, cut
+from ._common import bounded_batches, cut, spread_join
 from .components import connected_components
 
 BITS = 64
@@ -89,6 +89,14 @@ def _words(text: bytes | None, width: int, n_words: int) -> list[int]:
     return [int.from_bytes(np.packbits(2 * o > n).tobytes(), "big") for o in ones]
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(h), STEP):
+        ones += np.unpackbits(h[at : at + STEP].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+
+
 def fingerprints(docs: DataFrame, text_col: str = "text", width: int = 4, wide: bool = False) -> DataFrame:
     """`docs` with the fingerprint of each whole text as a (signed) long fp, and fp1, fp2, fp3 if wide, in place of the text's column."""
     bounded_batches(docs.sparkSession)
@@ -290,8 +298,8 @@ def components(ids: DataFrame, tau: int = 4, wide_tau: int | None = None) -> Dat
     distinct = cut(ids.groupBy(*[c for c in ids.columns if c != "doc_id"]).agg(F.min("doc_id").alias("least")))
     roots = connected_components(link(distinct, tau, wide_tau))
     of = cut(distinct.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
-    ids_of = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return of.join(ids_of, "root").select("node", "root", "component_id")
+    ids_of = of.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("c"))
+    return spread_join(of, ids_of.select("root", "component_id"), "root", ids_of.select("root", "c"), of.count(), "node").select("node", "root", "component_id")
 
 
 def _with_node(fps: DataFrame) -> DataFrame:
@@ -302,20 +310,22 @@ def _with_node(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, tau: int = 4, width: int = 4, wide_tau: int | None = None) -> DataFrame:
     """doc_id, fp, node, root, component_id for each row of docs (doc_id, text)."""
     ids = cut(_with_node(fingerprints(docs.select("doc_id", "text"), width=width, wide=wide_tau is not None)))
-    return ids.select("doc_id", "fp", "node").join(components(ids, tau, wide_tau), "node").select("doc_id", "fp", "node", "root", "component_id")
+    sizes = ids.groupBy("node").agg(F.count("*").alias("c"))
+    own = ids.select("doc_id", "fp", "node")
+    return spread_join(own, components(ids, tau, wide_tau), "node", sizes, ids.count(), "doc_id").select("doc_id", "fp", "node", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, tau: int = 4, width: int = 4, wide_tau: int | None = None) -> DataFrame:
     """The rows of docs of which each group of near-duplicates keeps one: one row with the group's smallest id."""
     names = docs.columns
-    groups = near_duplicates(docs, tau, width, wide_tau)
-    one = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("k"))
-    # Ids may be null or repeated, so the fingerprint is a part of the key.
-    key = lambda i, f: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), f.cast("string"))
-    keys = one.select(key(F.col("k.doc_id"), F.col("k.node")).alias("__key")).distinct()
-    # The row travels as one value beside its fingerprint, so none of its columns can clash.
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col("doc_id"), F.col("text"))
-    own = _with_node(fingerprints(row, width=width, wide=wide_tau is not None))
-    kept = own.select("__row", key(F.col("doc_id"), F.col("node")).alias("__key")).join(keys, "__key", "left_semi")
+    # The row's own hash stands for it, so that fingerprints are made once; its text travels in the second look only.
+    key = lambda i, t: F.concat_ws(":", F.coalesce(F.col(i).cast("string"), F.lit("null")), F.sha2(F.coalesce(F.col(t), F.lit("")), 256))
+    ids = cut(_with_node(fingerprints(docs.select("doc_id", "text", key("doc_id", "text").alias("__key")), width=width, wide=wide_tau is not None)))
+    groups = components(ids.drop("__key"), tau, wide_tau).select("node", "root")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key"))
+    least = ids.groupBy("node").agg(first.alias("k"))
+    keys = least.join(groups, "node").groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.__key").alias("__key"))
+    # The row travels as one value beside its key, so none of its columns can clash.
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), key("doc_id", "text").alias("__key"))
     rank = F.row_number().over(W.partitionBy("__key").orderBy(F.length("__row.text").desc_nulls_last(), "__row.text"))
-    return kept.withColumn("__rank", rank).filter(F.col("__rank") == 1).select("__row.*")
+    return row.join(keys, "__key", "left_semi").withColumn("__rank", rank).filter(F.col("__rank") == 1).select("__row.*")

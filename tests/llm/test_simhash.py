@@ -101,6 +101,23 @@ def test_forest_spans_all_links():
     assert components([(int(x), int(y)) for x, y in zip(u, v)]) == components([(x, y) for x, s in want.items() for y in s])
 
 
+def test_hot_groups_and_hubs_are_dealt_over_tasks(spark, monkeypatch):
+    from segue.llm import _common
+
+    monkeypatch.setattr(_common, "HOT_ROWS", 4)
+    monkeypatch.setattr(_common, "HOT_KEYS", 50)
+    star = [(i, 0) for i in range(1, 200)] + [(i, 500) for i in range(501, 600)] + [(600, 3), (600, 555)]
+    got = {x.node: x.root for x in connected_components(spark.createDataFrame(star, "u long, v long")).collect()}
+    assert set(got.values()) == {0} and len(got) == 301
+    r = random.Random(8)
+    f = r.getrandbits(64)
+    fps = [f] * 50 + [f ^ (1 << b) for b in range(40)] + [r.getrandbits(64) for _ in range(30)]
+    rows = [(i, simhash.signed(x)) for i, x in enumerate(fps)]
+    want = plain_components(fps, 4)
+    got = {x.node: x.component_id for x in simhash.components(nodes(spark, rows), 4).collect()}
+    assert len(set(got.values())) == len(set(want.values())) and sum(c == 0 for c in got.values()) == 41
+
+
 def test_allocation_is_least():
     r = random.Random(2)
     for m in (1, 2, 3, 5):
