@@ -1,6 +1,6 @@
 import random
 
-from segue.llm import similar
+from segue.llm import similar, simhash
 
 
 def corpus():
@@ -50,6 +50,41 @@ def test_pairs_only(spark):
     assert kept == {2 * g for g in range(100)} | {2 * g + 1 for g in range(1, 100, 2)}
 
 
+def test_a_large_group_of_near_copies_costs_its_size(spark, monkeypatch):
+    """Chains and a dense group in one hot key: the cross cells are met only where blocks and their first nodes leave groups apart."""
+    monkeypatch.setattr(similar, "BLOCK", 8)
+    r = random.Random(21)
+    base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        w[r.randrange(200)] = f"own{i}"
+        rows.append((i, " ".join(w)))
+    chain = [f"c{r.randrange(10**6)}" for _ in range(400)]
+    rows += [(100 + i, " ".join(chain[i * 6 : i * 6 + 200])) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id for x in similar.keep_one(docs).collect()} == brute(rows, 0.8) == {0, 100}
+
+
+def test_recall_of_simhash_alone_and_of_the_stage(spark):
+    """Against all pairs at similarities from 0.8 on: SimHash alone misses many pairs, the stage none of these."""
+    import corpus_pipeline
+
+    r = random.Random(30)
+    rows, apart = [], []
+    for g in range(300):
+        base = [f"v{r.randrange(10**7)}" for _ in range(r.choice((64, 104, 304)))]
+        keep = round((len(base) - 4) * r.uniform(0.81, 0.95)) + 4
+        a, b = " ".join(base), " ".join(base[:keep])
+        rows += [(2 * g, a), (2 * g + 1, b)]
+        bits = simhash.majority(similar.shingles(a.encode(), 5)) ^ simhash.majority(similar.shingles(b.encode(), 5))
+        apart.append(bits.bit_count())
+    kept = [x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    assert sum(i % 2 for i in kept) <= 3  # recall of 0.99 or more
+    assert sorted(i for i in kept if i % 2 == 0) == [2 * g for g in range(300)]
+    assert 0.1 < sum(d <= similar.TAU for d in apart) / 300 < 0.9
+
+
 def test_pipeline_stage_refuses_pairs_of_0_81(spark):
     import corpus_pipeline
 
