@@ -10,11 +10,18 @@ documents (coreference). A card's check digit keeps the checksum of the card; th
 e-mail domain, a phone's country code and a key's prefix stay; a given name becomes another one of
 the same gender and script by a keyed rotation of its list.
 
+Coreference goes on within a document: where it names a person in full, later mentions of the given name
+or the surname alone get the same part of the surrogate (of several full names with that word the first
+counts). An e-mail address of the form given.surname becomes that of the person's surrogate, in any document.
+
 Collision checks then run over all distinct entities: a surrogate must not be an entity of the corpus
-or the surrogate of another entity. An entity that fails gets the next key until none fails.
+or the surrogate of another entity. An entity that fails gets the next key, for ATTEMPTS rounds. Where a
+format has so many entities that this does not end, all entities of that format take the first key: the
+permutation keeps them distinct, but a surrogate may then be an entity of the corpus (`within` says so).
 
 Defined results: null text stays null and empty text empty; texts without entities are unchanged;
-equal rows get equal texts; other columns pass through, internal ones cannot clash with them.
+equal rows get equal texts; texts of any length are scanned in time in proportion to it; other columns pass
+through, internal ones cannot clash with them; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -37,25 +44,37 @@ OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: What the types look like. Possessive runs and look-behinds keep matching linear in the text.
 TYPES = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)*+(?<=\.[A-Za-z]{2,24})",
-    "ip": rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9A-Za-z+\-])(?:[0-9]{16}|[0-9]{4}(?:[ \-][0-9]{4}){3})(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+.\-])(?:\([0-9]{3}\) ?|[0-9]{3}[.\-])[0-9]{3}[.\-][0-9]{4}(?![0-9A-Za-z])",
-    "ssn": r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
-    "secret": r"(?<![0-9A-Za-z])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:sk|pk|ghp|gho|xox[bp])[\-_][0-9A-Za-z_\-]{20,}+|(?<=(?:password|passwd|secret|api_key|apikey|token) ?[=:] ?[\"']?)[0-9A-Za-z_\-/+]{8,}+|(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])",
-    "name": rf"(?<!\p{{L}})(?:{'|'.join(GIVEN)}) \p{{Lu}}\p{{Ll}}++(?!\p{{L}})",
+    "ip": rf"(?=[0-9])(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])",
+    "card": r"(?=[0-9])(?<![0-9A-Za-z+\-])(?:[0-9]{16}|[0-9]{4}(?:[ \-][0-9]{4}){3})(?![0-9A-Za-z])",
+    "phone": r"(?=[+])(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}(?![0-9A-Za-z])|(?=[(0-9])(?<![0-9A-Za-z+.\-])(?:\([0-9]{3}\) ?|[0-9]{3}[.\-])[0-9]{3}[.\-][0-9]{4}(?![0-9A-Za-z])",
+    "ssn": r"(?=[0-9])(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])",
+    "iban": r"(?=[A-Z])(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
+    "secret": r"(?=A)(?<![0-9A-Za-z])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|(?=[spgx])(?<![0-9A-Za-z])(?:sk|pk|ghp|gho|xox[bp])[\-_][0-9A-Za-z_\-]{20,}+|(?<=[=: \"'])(?<=(?:password|passwd|secret|api_key|apikey|token) ?[=:] ?[\"']?)[0-9A-Za-z_\-/+]{8,}+|(?=[0-9a-f])(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])",
+    "name": rf"(?=[{''.join(sorted({g[0] for g in GIVEN}))}])(?<!\p{{L}})(?:{'|'.join(GIVEN)}) \p{{Lu}}\p{{Ll}}++(?!\p{{L}})",
 }
 ANY = "|".join(TYPES.values())
+#: For texts without an at sign, in which no word need be tried as an e-mail address.
+ANY_BUT_EMAIL = "|".join(v for k, v in TYPES.items() if k != "email")
+#: An e-mail name made of a given name and a surname, both small or both with a capital.
+PERSON_MAIL = [rf"\A({'|'.join(f(g) for g in FEMALE + MALE)})([._\-])({first}[a-z]+)([0-9]*)\z" for f, first in ((str.lower, "[a-z]"), (str, "[A-Z]"))]
 #: What any entity has: a digit or an at sign, a word that names a secret, a key's prefix, a run of hex letters, or a given name.
 KEYWORDS = ["password", "passwd", "secret", "api_key", "apikey", "token", "AKIA", "ASIA", "sk-", "sk_", "pk-", "pk_", "ghp", "gho", "xox"]
 INITIALS = "".join(sorted({g[0] for g in GIVEN}))
 #: Halves are mixed so many times.
 ROUNDS = 4
+#: Keys that are tried for entities whose surrogates collide.
+ATTEMPTS = 6
+#: Distinct entities of a task: each costs some milliseconds of hashing.
+ENTITIES_OF_A_TASK = 2000
+
+
+def _by_pattern(text: Column, use) -> Column:
+    return F.when(F.contains(text, F.lit("@")), use(ANY)).otherwise(use(ANY_BUT_EMAIL))
 
 
 def entities(text: Column) -> Column:
     """Entities of a text in order (array of string); empty for null."""
-    return F.coalesce(F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)), F.array().cast("array<string>"))
+    return F.coalesce(_by_pattern(text, lambda p: F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1))), F.array().cast("array<string>"))
 
 
 def may_have(text: Column) -> Column:
@@ -147,6 +166,18 @@ def _person(text: Column, key: Column) -> Column:
     return F.concat(out, F.lit(" "), _permute(rest, _name_letters, F.concat_ws("\x1f", key, F.lit("surname"))))
 
 
+def _mail(head: Column, own: Column, name_key: Column) -> Column:
+    """The part of an e-mail address before its last label; a person's name becomes that of the person's surrogate."""
+    local, domain = F.substring_index(head, "@", 1), F.substring_index(head, "@", -1)
+    out = _permute(head, _plain, own)
+    for pattern, written in zip(PERSON_MAIL, (F.lower, lambda c: c)):
+        given, sep, surname, number = (F.regexp_extract(local, pattern, k) for k in (1, 2, 3, 4))
+        other = _person(F.concat(F.initcap(given), F.lit(" "), F.initcap(surname)), name_key)
+        name = F.replace(written(other), F.lit(" "), sep)
+        out = F.when(given != "", F.concat(name, _permute(number, _plain, own), F.lit("@"), _permute(domain, _plain, own))).otherwise(out)
+    return out
+
+
 def surrogate(entity: Column, key: Column) -> Column:
     """The replacement of an entity under a key (which includes the attempt)."""
     kind = type_of(entity)
@@ -159,7 +190,7 @@ def surrogate(entity: Column, key: Column) -> Column:
     head = F.substring(entity, F.lit(1), F.length(entity) - F.length(top))
     plain = lambda t: _permute(t, _plain, own)
     return (
-        F.when(kind == "email", F.concat(plain(head), top))
+        F.when(kind == "email", F.concat(_mail(head, own, F.concat_ws("\x1f", key, F.lit("name"))), top))
         .when(kind == "ip", _ip(entity, own))
         .when(kind == "card", _card(entity, own))
         .when(kind == "phone", F.concat(country, plain(after(country))))
@@ -175,9 +206,29 @@ def _key(secret: str, attempt: Column) -> Column:
     return F.concat_ws("\x1f", F.lit(secret), attempt.cast("string"))
 
 
-def checked(known: DataFrame, secret: str, max_attempts: int = 12) -> DataFrame:
-    """entity, attempt, surrogate for distinct entities (entity): all surrogates differ, and none is an entity."""
-    now = cut(known.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(F.col("entity"), _key(secret, F.col("attempt")))))
+def format_of(entity: Column) -> Column:
+    """The same for entities that one permutation may map to each other (and coarser than that at times)."""
+    kind = type_of(entity)
+    given = F.substring_index(entity, " ", 1)
+    group = F.lit(0)
+    for k, names in enumerate((FEMALE, MALE, FEMALE_CYRILLIC, MALE_CYRILLIC)):
+        group = F.when(given.isin(names), k).otherwise(group)
+    rest = F.substring_index(entity, " ", -1)
+    letters = rest
+    for k, alphabet in enumerate(NAME_ALPHABETS):
+        letters = F.regexp_replace(letters, f"[{alphabet}]", str(k))
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(entity, "[A-Z]", "A"), "[a-z]", "a"), "[0-9]", "9")
+    hexes = entity.rlike(r"\A[0-9a-f]+\z")
+    own = F.when(kind == "name", F.concat_ws(":", group, letters)).when(kind == "ip", "").when((kind == "secret") & hexes, F.length(entity).cast("string")).otherwise(shape)
+    return F.concat_ws(":", kind, own)
+
+
+def checked(known: DataFrame, secret: str, max_attempts: int = ATTEMPTS) -> DataFrame:
+    """entity, attempt, surrogate, within for distinct entities (entity): all surrogates differ, and none is an entity unless `within`."""
+    of = lambda d: d.withColumn("surrogate", surrogate(F.col("entity"), _key(secret, F.col("attempt")))).withColumn("within", F.lit(False))
+    dealt = lambda d: d.repartition(max(1, min(20_000, -(-d.count() // ENTITIES_OF_A_TASK))))
+    now = cut(of(dealt(known).withColumn("attempt", F.lit(0))))
+    bad = None
     for _ in range(max_attempts):
         real = now.select(F.col("entity").alias("surrogate"))
         first = now.groupBy("surrogate").agg(F.count("*").alias("c"), F.min("entity").alias("first")).filter(F.col("c") > 1).drop("c")
@@ -186,17 +237,26 @@ def checked(known: DataFrame, secret: str, max_attempts: int = 12) -> DataFrame:
         bad = cut(taken.unionByName(twice).distinct())
         if bad.isEmpty():
             return now
-        redo = now.join(bad, "entity", "left_semi").select("entity", (F.col("attempt") + 1).alias("attempt"))
-        redo = redo.withColumn("surrogate", surrogate(F.col("entity"), _key(secret, F.col("attempt"))))
-        now = cut(now.join(bad, "entity", "left_anti").unionByName(redo))
-    raise RuntimeError(f"surrogates still collide after {max_attempts} attempts")
+        redo = cut(now.join(bad, "entity", "left_semi").select("entity", (F.col("attempt") + 1).alias("attempt")))
+        now = cut(now.join(bad, "entity", "left_anti").unionByName(of(dealt(redo))))
+    shaped = now.withColumn("__format", format_of(F.col("entity")))
+    full = shaped.join(bad, "entity", "left_semi").select("__format").distinct()
+    inside = cut(shaped.join(full, "__format", "left_semi").select("entity", F.lit(0).alias("attempt")))
+    return cut(shaped.join(full, "__format", "left_anti").drop("__format").unionByName(of(dealt(inside)).withColumn("within", F.lit(True))))
+
+
+def _mentions(gap: Column, words: Column, others: Column) -> Column:
+    """Text between entities, with each word that is one of `words` replaced by the one at its place in `others`."""
+    parts = F.regexp_extract_all(gap, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda w: F.coalesce(F.get(others, F.nullif(F.array_position(words, w), F.lit(0)).cast("int") - 1), w)), "")
 
 
 def pseudonymise(docs: DataFrame, secret: str, text_col: str = "text") -> DataFrame:
     """`docs` with the entities of its whole texts replaced, and __n_entities (long), how many there were."""
     names = docs.columns
-    found = entities(F.col(f"`{text_col}`"))
-    has = F.coalesce(may_have(F.col(f"`{text_col}`")) & F.col(f"`{text_col}`").rlike(ANY), F.lit(False))
+    text = F.col(f"`{text_col}`")
+    found = entities(text)
+    has = F.coalesce(may_have(text) & _by_pattern(text, lambda p: text.rlike(p)), F.lit(False))
     hit = docs.filter(has)
     known = cut(hit.select(F.explode(found).alias("entity")).distinct())
     again = checked(known, secret).filter(F.col("attempt") > 0).select("entity", "attempt")
@@ -204,13 +264,21 @@ def pseudonymise(docs: DataFrame, secret: str, text_col: str = "text") -> DataFr
     attempt = None
     if not again.isEmpty():
         # Only documents with an entity that needed another key; equal texts have equal exceptions.
-        own = hit.select(F.sha2(F.col(f"`{text_col}`"), 256).alias("__sha"), F.explode(F.array_distinct(found)).alias("entity")).join(again, "entity")
+        own = hit.select(F.sha2(text, 256).alias("__sha"), F.explode(F.array_distinct(found)).alias("entity")).join(again, "entity")
         maps = own.groupBy("__sha").agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias("__attempts"))
-        marked = marked.withColumn("__sha", F.sha2(F.col(f"`{text_col}`"), 256)).join(maps, "__sha", "left")
+        marked = marked.withColumn("__sha", F.sha2(text, 256)).join(maps, "__sha", "left")
         attempt = lambda e: F.coalesce(F.try_element_at(F.col("__attempts"), e), F.lit(0))
     of = lambda e: surrogate(e, _key(secret, attempt(e) if attempt else F.lit(0)))
-    gaps = F.split(F.col(f"`{text_col}`"), ANY, -1)
-    new = F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), F.transform("__found", of).alias("s")), lambda x: F.concat(x["g"], F.coalesce(x["s"], F.lit("")))), "")
-    out = F.when(F.col("__found").isNotNull(), new).otherwise(F.col(f"`{text_col}`"))
+    gaps = _by_pattern(text, lambda p: F.split(text, p, -1))
+
+    def put(pairs: Column) -> Column:
+        people = F.filter(pairs, lambda x: x["e"].rlike(rf"\A(?:{TYPES['name']})\z"))
+        both = lambda side: F.concat(F.transform(people, lambda x: F.substring_index(x[side], " ", 1)), F.transform(people, lambda x: F.substring_index(x[side], " ", -1)))
+        joined = lambda use: F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), pairs.alias("p")), lambda x: F.concat(use(x["g"]), F.coalesce(x["p"]["s"], F.lit("")))), "")
+        mentioned = _let(F.struct(both("e").alias("w"), both("s").alias("o")), lambda m: joined(lambda g: _mentions(g, m["w"], m["o"])))
+        return F.when(F.size(people) > 0, mentioned).otherwise(joined(lambda g: g))
+
+    new = _let(F.transform("__found", lambda e: F.struct(e.alias("e"), of(e).alias("s"))), put)
+    out = F.when(F.col("__found").isNotNull(), new).otherwise(text)
     n = F.coalesce(F.size("__found"), F.lit(0)).cast("long")
     return marked.select(*[out.alias(c) if c == text_col else F.col(f"`{c}`") for c in names], F.when(F.col("__found").isNull(), F.lit(0).cast("long")).otherwise(n).alias("__n_entities"))
