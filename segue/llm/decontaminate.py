@@ -10,7 +10,8 @@ for the window (length bound); then all its words are compared.
 
 Defined results: null text has no words; a document without words has no hits; repeated
 documents are reported once each; items with the same id count as one item; an item with a null
-id marks words as hit but is not listed; empty tables give empty results or no hits.
+id marks words as hit but is not listed; empty tables give empty results or no hits; columns other
+than doc_id, text, item_id are not read, so none can clash; texts of any length are looked through whole.
 """
 
 from __future__ import annotations
@@ -44,10 +45,12 @@ def _key(words: str, at: Column, size: int) -> Column:
     return F.xxhash64(F.lit(size), *[F.get(F.col(words), at + i) for i in range(size)])
 
 
-def _exploded(docs: DataFrame, size: int) -> DataFrame:
-    """A row for each word of a document (one at least), with the hash of the shingle there."""
+def _exploded(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """A row for each word of a document (one at least) and shingle size, with the hash of the shingle that begins there.
+    All sizes come from one pass, so a document's number is the same for all of them."""
     d = docs.select("row", "doc_id", "words", "n", F.posexplode_outer("words").alias("pos", "word"))
-    return d.withColumn("key", F.when(F.col("pos") + size <= F.col("n"), _key("words", F.col("pos"), size)))
+    keys = [F.struct(F.lit(k).alias("k"), F.when(F.col("pos") + k <= F.col("n"), _key("words", F.col("pos"), k)).alias("key")) for k in sizes]
+    return d.select("row", "doc_id", "words", "n", "pos", F.explode(F.array(*keys)).alias("s")).select("row", "doc_id", "words", "n", "pos", "s.k", "s.key")
 
 
 def find(docs: DataFrame, items: DataFrame, size: int = 10, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -56,7 +59,7 @@ def find(docs: DataFrame, items: DataFrame, size: int = 10, broadcast_windows: i
     """
     d = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("words")).withColumn("n", F.size("words"))
     wins = cut(windows_of(items.select("item_id", "text"), size))
-    sizes = [r[0] for r in wins.select(F.least(F.col("len"), F.lit(SHINGLE)).alias("k")).distinct().collect()] or [SHINGLE]  # at most three numbers
+    sizes = sorted(r[0] for r in wins.select(F.least(F.col("len"), F.lit(SHINGLE)).alias("k")).distinct().collect()) or [SHINGLE]  # at most three numbers
     small = wins.count() <= broadcast_windows
     put = F.broadcast if small else (lambda x: x)
     if not small:
@@ -69,31 +72,23 @@ def find(docs: DataFrame, items: DataFrame, size: int = 10, broadcast_windows: i
         part = offs.withColumn("k", F.lit(k)).withColumn("key", _key("w", F.col("off"), k))
         shingles = part if shingles is None else shingles.unionByName(part)
     shingles = cut(shingles)
-    counts = None
-    for k in sizes:
-        some = shingles.filter(F.col("k") == k).select("key").distinct()
-        part = _exploded(d, k).select("key").join(put(some), "key").groupBy("key").agg(F.count("*").alias("df")).withColumn("k", F.lit(k))
-        counts = part if counts is None else counts.unionByName(part)
+    counts = _exploded(d, sizes).select("k", "key").join(put(shingles.select("k", "key").distinct()), ["k", "key"]).groupBy("k", "key").agg(F.count("*").alias("df"))
     ranked = shingles.join(counts, ["k", "key"], "left").groupBy("win", "w", "len", "ids", "k").agg(
         F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "key", "off")).alias("r")
     )
     cand = F.struct(F.col("r.off").alias("off"), "len", "w", "ids")
     prefix = cut(ranked.filter(F.col("r.df") > 0).groupBy("k", F.col("r.key").alias("key")).agg(F.collect_list(cand).alias("cands")))
-    found = None
-    for k in sizes:
-        own = prefix.filter(F.col("k") == k).drop("k")
-        if small:
-            m = _exploded(d, k).join(put(own), "key", "left")
-        else:  # only places travel; the words come back for the candidates
-            places = _exploded(d, k).select("row", "pos", "key").filter(F.col("key").isNotNull()).join(own, "key").select("row", "pos", "cands")
-            m = d.join(places, "row", "left")
-        begin = lambda c: F.col("pos") - c["off"]
-        inside = lambda c: (begin(c) >= 0) & (begin(c) + c["len"] <= F.col("n"))  # noqa: E731  positional and length bounds
-        same = lambda c: F.slice(F.col("words"), F.greatest(begin(c), F.lit(0)) + 1, c["len"]) == c["w"]
-        occ = F.transform(F.filter("cands", lambda c: F.when(inside(c), same(c)).otherwise(False)), lambda c: F.struct(begin(c).alias("start"), c["len"].alias("length"), c["ids"].alias("ids")))
-        first = F.coalesce(F.col("pos") == 0, F.lit(True))
-        part = m.filter(F.col("cands").isNotNull() | first).select("row", "doc_id", "n", occ.alias("occ")).filter((F.size(F.coalesce("occ", F.array())) > 0) | F.lit(True))
-        found = part if found is None else found.unionByName(part)
+    if small:
+        m = _exploded(d, sizes).join(put(prefix), ["k", "key"], "left")
+    else:  # only places travel; the words come back for the candidates
+        places = _exploded(d, sizes).select("row", "pos", "k", "key").filter(F.col("key").isNotNull()).join(prefix, ["k", "key"]).select("row", "pos", "cands")
+        m = d.join(places, "row", "left")
+    begin = lambda c: F.col("pos") - c["off"]
+    inside = lambda c: (begin(c) >= 0) & (begin(c) + c["len"] <= F.col("n"))  # noqa: E731  positional and length bounds
+    same = lambda c: F.slice(F.col("words"), F.greatest(begin(c), F.lit(0)) + 1, c["len"]) == c["w"]
+    occ = F.transform(F.filter("cands", lambda c: F.when(inside(c), same(c)).otherwise(False)), lambda c: F.struct(begin(c).alias("start"), c["len"].alias("length"), c["ids"].alias("ids")))
+    first = F.coalesce(F.col("pos") == 0, F.lit(True))
+    found = m.filter(F.col("cands").isNotNull() | first).select("row", "doc_id", "n", occ.alias("occ"))
     got = F.flatten(F.collect_list("occ"))
     return (
         found.groupBy("row", "doc_id", "n").agg(got.alias("occ"))
