@@ -8,7 +8,8 @@ no common boundary, the left chunk's scan goes on over the right one's text, so
 pieces are those of one scan over the whole text. Each piece is then encoded by the ranks.
 
 Defined results: null text and empty text have no ids and decode to the empty string;
-repeated rows are encoded once each; other columns pass through untouched.
+repeated rows are encoded once each; other columns pass through untouched; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -142,9 +143,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
     size = F.coalesce(F.length(text_col), F.lit(0))
     short = docs.filter(size <= chunk + overlap).mapInArrow(whole, schema)
     # Long texts: chunks go to other tasks, the text itself only to the task that stitches it.
-    row = F.monotonically_increasing_id()
-    long = docs.filter(size > chunk + overlap).withColumn("__row", row)
-    # One row for each chunk, and one (chunk -1) with the whole row for the stitching.
+    # A text's hash is its key, so that equal texts are scanned once and lost tasks give the same keys again.
+    long = docs.filter(size > chunk + overlap).withColumn("__row", F.sha2(F.col(f"`{text_col}`"), 256))
     pieces = long.select(
         "__row",
         F.explode(F.expr(f"transform(sequence(0, int((length(`{text_col}`) - 1) div {chunk})), k -> struct(k as k, substring(`{text_col}`, k * {chunk} + 1, {chunk + overlap}) as part))")).alias("c"),
@@ -158,8 +158,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([[a for a, _ in s] + [s[-1][1]] for s in spans], kind)], ["__row", "k", "cuts"])
 
     scanned = (
-        pieces.repartition("__row", "k")
-        .mapInArrow(scan, "__row long, k int, cuts array<int>")
+        pieces.dropDuplicates(["__row", "k"])
+        .mapInArrow(scan, "__row string, k int, cuts array<int>")
         .groupBy("__row")
         .agg(F.sort_array(F.collect_list(F.struct("k", "cuts"))).alias("__chunks"))
     )
