@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import cut, spread_join
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Common public suffixes of two labels.
 TWO_LABEL_SUFFIXES = ["co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "or.jp", "ne.jp", "ac.jp", "com.br", "com.cn", "com.mx", "com.tr", "co.in", "co.kr", "co.za", "com.ar", "com.tw", "com.hk", "com.sg"]
@@ -87,8 +89,8 @@ def _strength(groups: DataFrame, name: str) -> Column:
 
 
 def reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
-    """host, domain, suffix, pages, bad_mean, bad_bound of outcomes (host, bad: 0, 1 or null)."""
-    hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("x"))
+    """host, domain, suffix, rows, pages (with an outcome), bad_mean, bad_bound of outcomes (host, bad: 0, 1 or null)."""
+    hosts = outcomes.groupBy("host").agg(F.count("*").alias("rows"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("x"))
     hosts = hosts.withColumn("suffix", suffix_of(F.col("host"))).withColumn("domain", registered_domain(F.col("host")))
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
@@ -101,7 +103,7 @@ def reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     h = hosts.join(d, ["suffix", "domain"])
     mean = shrunk(F.col("domain_mean"), k3)
     sd = F.sqrt(F.col("bad_mean") * (1 - F.col("bad_mean")) / (F.lit(k3) + F.col("n") + 1))
-    return h.withColumn("bad_mean", mean).withColumn("bad_bound", F.col("bad_mean") - z * sd).select("host", "domain", "suffix", F.col("n").alias("pages"), "bad_mean", "bad_bound")
+    return h.withColumn("bad_mean", mean).withColumn("bad_bound", F.col("bad_mean") - z * sd).select("host", "domain", "suffix", "rows", F.col("n").alias("pages"), "bad_mean", "bad_bound")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, z: float = 1.645, threshold: float = 0.5) -> DataFrame:
@@ -114,6 +116,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, z: float = 1.645, th
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)
     known = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
     outcomes = p.select("page_id", "host").join(known, "page_id", "left").select("host", "bad")
-    judged = apply_rules(p, rules).join(reputation(outcomes, z), "host")
+    known = cut(reputation(outcomes, z))
+    judged = spread_join(apply_rules(p, rules), known, "host", known.select("host", F.col("rows").alias("c")), p.count(), "page_id")
     own = F.when(F.col("bad_bound") > threshold, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", own).alias("verdict"), "bad_mean", "bad_bound")
