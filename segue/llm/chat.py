@@ -18,7 +18,8 @@ gets a backslash. The loss mask holds the place of each assistant text in the ou
 
 Defined results: null text and null role count as empty; a null conversation id is a
 conversation of its own; a null seq sorts first; repeated rows are repeated events; unknown
-kinds count as `message`; a delta or edit of a message never begun begins it.
+kinds count as `message`; a delta or edit of a message never begun begins it; other columns are not read,
+so none can clash; an empty table gives an empty table; a message may be of any length that a string may have.
 """
 
 from __future__ import annotations
@@ -52,12 +53,14 @@ def fold(events: DataFrame) -> DataFrame:
     e = events.select("conv_id", "msg_id", "role", F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("text", F.lit("")).alias("text"), "seq")
     e = e.withColumn("__at", F.row_number().over(in_order))
     starts = (F.col("kind") != "delta")
-    upto = in_order.rowsBetween(W.unboundedPreceding, W.currentRow)
     # When a message began, and the last event that set its text anew: the fold begins there.
     e = e.withColumn("__born", F.min("__at").over(own)).withColumn("__base", F.max(F.when(starts, F.col("__at"))).over(own)).withColumn("role", F.min_by("role", "__at").over(own))
-    # A regeneration of a message born at b drops messages born after b but before it.
-    e = e.withColumn("__again", F.collect_list(F.when((F.col("kind") == "regenerate"), F.struct(F.col("__born").alias("b"), F.col("__at").alias("z")))).over(W.partitionBy("conv_id")))
-    e = e.filter(~F.exists("__again", lambda x: (F.col("__born") > x["b"]) & (F.col("__born") < x["z"])))
+    # A regeneration of a message born at b drops messages born after b but before it: seen from a message's birth, one of the
+    # regenerations still to come is of a message born before. The running minimum from the end tells so.
+    to_come = W.partitionBy("conv_id").orderBy(F.desc("__at")).rowsBetween(W.unboundedPreceding, -1)
+    e = e.withColumn("__again", F.min(F.when(F.col("kind") == "regenerate", F.col("__born"))).over(to_come))
+    e = e.withColumn("__gone", F.max(F.when(F.col("__at") == F.col("__born"), F.col("__again") < F.col("__born"))).over(own))
+    e = e.filter(~F.coalesce("__gone", F.lit(False)))
     e = e.filter(F.coalesce(F.col("__at") >= F.col("__base"), F.lit(True)))
     return (
         e.groupBy("conv_id", "msg_id")

@@ -12,11 +12,29 @@ from ._common import is_held_out, sha_hex, table
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def chat_log(rows: DataFrame) -> DataFrame:
+    """An event log of finished rows (conv_id, turn, role, text), as a service would have kept it: assistant texts are streamed
+    in two deltas, user texts of every third turn are edited once, and the last assistant text of every fifth conversation is
+    a regeneration, which drops a message that came before it."""
+    at = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
+    r = rows.withColumn("m", at).withColumn("last", F.max(F.when(F.col("role") == "assistant", F.col("m"))).over(W.partitionBy("conv_id")))
+    text, half = F.coalesce("text", F.lit("")), F.floor(F.length(F.coalesce("text", F.lit(""))) / 2).cast("int")
+    event = lambda n, kind, what, more=F.col("m"): F.struct((F.col("m") * 10 + n).alias("seq"), more.alias("msg_id"), F.lit(kind).alias("kind"), what.alias("text"))
+    streamed = [event(1, "delta", F.substring(text, F.lit(1), half)), event(2, "delta", F.substring(text, half + 1, F.length(text)))]
+    again = (F.col("m") == F.col("last")) & (F.pmod("conv_id", F.lit(5)) == 4)
+    log = (
+        F.when(again, F.array(event(0, "message", F.lit("first draft")), event(3, "message", F.lit("dropped"), -F.col("m")), event(4, "regenerate", text)))
+        .when(F.col("role") == "assistant", F.array(event(0, "message", F.lit("")), *streamed))
+        .when(F.col("m") % 3 == 0, F.array(event(0, "message", F.lit("typo")), event(1, "edit", text)))
+        .otherwise(F.array(event(0, "message", text)))
+    )
+    return r.select("conv_id", "role", F.explode(log).alias("e")).select("conv_id", "e.seq", "e.msg_id", "e.kind", "role", "e.text")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
-    at = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
-    events = rows.unionByName(probe).withColumn("seq", at).withColumn("msg_id", F.col("seq")).withColumn("kind", F.lit("message"))
+    events = chat_log(rows.unionByName(probe))
     out = chat.format_events(events)
     whole = out.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), "formatted", "loss_mask")
     turns = chat.parse(whole)
