@@ -1,11 +1,7 @@
-"""Implicit matrix factorisation and item embeddings with MLlib, and dense scoring in blocks."""
+"""Implicit matrix factorisation and item embeddings with MLlib."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS
@@ -13,24 +9,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.tables import cut
 from ..functions.vectors import mean_vector
+from .dense import dense_top
+from .ranking import with_backfill, without
+
+__all__ = ["als_factors", "dense_ids", "dense_top", "fold_in", "recommend", "track_vectors"]
+
+#: Buckets in which keys are numbered.
+BUCKETS = 64
+
+
+def dense_ids(df: DataFrame, key: str) -> DataFrame:
+    """key, id: the distinct keys, of any type, numbered from 0 without gaps; written once.
+
+    Keys are numbered within buckets of their hash, after the sizes of the buckets before, so no task sees all keys.
+    """
+    own = cut(df.select(key).distinct().withColumn("__b", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")))
+    sizes = {r["__b"]: r["n"] for r in own.groupBy("__b").agg(F.count("*").alias("n")).collect()}  # BUCKETS rows
+    before = [sum(sizes.get(x, 0) for x in range(b)) for b in range(BUCKETS)]
+    at = F.row_number().over(W.partitionBy("__b").orderBy(key)) - 1
+    return cut(own.select(key, (F.get(F.array(*[F.lit(n).cast("long") for n in before]), F.col("__b")) + at).alias("id")))
 
 
 def als_factors(counts: DataFrame, rank: int = 64, iterations: int = 15, reg: float = 0.05, alpha: float = 40.0, seed: int = 0) -> DataFrame:
-    """track, vector of (pid, track, cnt), by implicit feedback. Keys must fit into 32 bits."""
-    data = counts.select(F.col("pid").cast("int"), F.col("track").cast("int"), F.col("cnt").cast("float"))
-    als = ALS(rank=rank, maxIter=iterations, regParam=reg, implicitPrefs=True, alpha=alpha, userCol="pid", itemCol="track", ratingCol="cnt", seed=seed, coldStartStrategy="drop")
-    return als.fit(data).itemFactors.select(F.col("id").cast("long").alias("track"), F.col("features").alias("vector"))
+    """track, vector of (pid, track, cnt), by implicit feedback. Keys are of any type; MLlib takes up to 2^31 of either."""
+    lists, tracks = dense_ids(counts, "pid"), dense_ids(counts, "track")
+    data = counts.join(lists.withColumnRenamed("id", "u"), "pid").join(tracks.withColumnRenamed("id", "i"), "track")
+    data = cut(data.select(F.col("u").cast("int"), F.col("i").cast("int"), F.col("cnt").cast("float")))
+    als = ALS(rank=rank, maxIter=iterations, regParam=reg, implicitPrefs=True, alpha=alpha, userCol="u", itemCol="i", ratingCol="cnt", seed=seed, coldStartStrategy="drop")
+    made = als.fit(data).itemFactors.select(F.col("id").cast("long").alias("id"), F.col("features").alias("vector"))
+    return cut(tracks.join(made, "id").select("track", "vector"))
 
 
 def track_vectors(interactions: DataFrame, dim: int = 64, window: int = 8, epochs: int = 5, min_count: int = 1, seed: int = 0, partitions: int | None = None) -> DataFrame:
     """track, vector by skip-gram over lists as sentences; partitions are trained apart and averaged in each epoch."""
     partitions = partitions or interactions.sparkSession.sparkContext.defaultParallelism
-    lists = interactions.groupBy("pid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "track"))), lambda x: x["track"].cast("string")).alias("words"))
+    kind = interactions.schema["track"].dataType
+    lists = cut(interactions.groupBy("pid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "track"))), lambda x: x["track"].cast("string")).alias("words")))
     longest = lists.agg(F.coalesce(F.max(F.size("words")), F.lit(1))).first()[0]
     w2v = Word2Vec(vectorSize=dim, windowSize=window, maxIter=epochs, minCount=min_count, seed=seed, inputCol="words", outputCol="v", maxSentenceLength=max(1000, longest), numPartitions=partitions)
     got = w2v.fit(lists).getVectors()
-    return got.select(F.col("word").cast("long").alias("track"), vector_to_array("vector").alias("vector"))
+    return cut(got.select(F.col("word").cast(kind).alias("track"), vector_to_array("vector").alias("vector")))
 
 
 def fold_in(seeds: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
@@ -38,33 +58,8 @@ def fold_in(seeds: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
     return mean_vector(seeds.join(vectors, "track"), "case_id", "vector", size, "q")
 
 
-def dense_top(queries: DataFrame, vectors: DataFrame, k: int, cosine: bool = False, batch: int = 50_000) -> DataFrame:
-    """case_id, track, score: the k best tracks of each query by matrix products.
-
-    queries (case_id, q), at most `batch` of them, go to each task; a task keeps the best k of its own tracks for
-    each query, so what is shuffled is k rows for each query and task.
-    """
-    rows = queries.orderBy("case_id").limit(batch + 1).collect()
-    if len(rows) > batch:
-        raise ValueError(f"more than {batch} queries in one batch")
-    ids, q = np.array([r["case_id"] for r in rows]), np.array([r["q"] for r in rows], float)
-    if not len(ids):
-        return queries.select("case_id", F.lit(0).cast("long").alias("track"), F.lit(0.0).alias("score"))
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    q = unit(q) if cosine else q
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best_s, best_t = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
-        for f in frames:
-            v = np.array(f["vector"].tolist(), float)
-            s = q @ (unit(v) if cosine else v).T
-            best_s, best_t = np.hstack([best_s, s]), np.hstack([best_t, np.repeat(f["track"].to_numpy()[None], len(ids), 0)])
-            if best_s.shape[1] > k:
-                at = np.argpartition(-best_s, k - 1, axis=1)[:, :k]
-                best_s, best_t = np.take_along_axis(best_s, at, 1), np.take_along_axis(best_t, at, 1)
-        if best_s.shape[1]:
-            yield pd.DataFrame({"case_id": np.repeat(ids, best_s.shape[1]), "track": best_t.ravel(), "score": best_s.ravel()})
-
-    local = vectors.select("track", "vector").mapInPandas(run, "case_id long, track long, score double")
-    w = W.partitionBy("case_id").orderBy(F.desc("score"), "track")
-    return local.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select("case_id", "track", F.round("score", 6).alias("score"))
+def recommend(vectors: DataFrame, size: int, cases: DataFrame, seeds: DataFrame, pop: DataFrame, k: int, cosine: bool = False) -> DataFrame:
+    """The tracks nearest to the mean of a case's seeds, then popularity; cases without known seeds get popularity alone."""
+    most = int(seeds.groupBy("case_id").agg(F.countDistinct("track").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0])
+    scored = without(dense_top(cut(fold_in(seeds, vectors, size)), vectors, k + most, cosine), seeds)
+    return with_backfill(scored, cases, seeds, pop, k)

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.sampling import md5_order
+from ..functions.sampling import md5_order, md5_unit
+from ..functions.text import normalise
 from .ranking import with_backfill, without
 
 FEATURES = ["cf", "als", "w2v", "title", "pop", "artist_overlap"]
@@ -29,7 +30,7 @@ def features(cand: DataFrame, sources: dict[str, DataFrame], cases: DataFrame, s
     """case_id, track and the six features.
 
     cf, als and w2v are scores over the candidates' maximum (0 where that is not above 0); title is 1 - rank / length of
-    the title ranking, 0 without a title; pop is global; artist_overlap tells whether a seed has the same artist.
+    the title ranking, 0 for a null or blank title; pop is global; artist_overlap tells whether a seed has the same artist.
     """
     out = cand
     for name in ("cf", "als", "w2v"):
@@ -40,7 +41,7 @@ def features(cand: DataFrame, sources: dict[str, DataFrame], cases: DataFrame, s
         else:
             out = out.withColumn(name, F.lit(0.0))
     if "title" in sources:
-        t = sources["title"].join(cases.filter(F.col("title").isNotNull()), "case_id", "left_semi")
+        t = sources["title"].join(cases.filter(normalise(F.col("title")) != ""), "case_id", "left_semi")
         n = t.groupBy("case_id").agg(F.count("*").alias("n"))
         ranked = t.join(n, "case_id").select("case_id", "track", (1 - (F.col("rank") - 1) / F.col("n")).alias("title"))
         out = out.join(ranked, ["case_id", "track"], "left").withColumn("title", F.coalesce("title", F.lit(0.0)))
@@ -58,15 +59,16 @@ def equal_score(feats: DataFrame) -> DataFrame:
 
 
 def training_cases(interactions: DataFrame, playlists: DataFrame, n: int = 800, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(cases, seeds, held) of the blender: the first n lists of LEAST tracks or more in hash order, at each of SHOWN lengths.
+    """(cases, seeds, held) of the blender: the first n lists of LEAST tracks or more in hash order, each cut at one of SHOWN
+    lengths, also by its hash, if more than three tracks are left then.
 
-    n is a documented bound on training lists.
+    n is a documented bound on training lists. Cases are named by their lists' keys.
     """
     sizes = interactions.groupBy("pid").agg(F.count("*").alias("len")).filter(F.col("len") >= LEAST)
     chosen = sizes.orderBy(md5_order(seed, "pid"), "pid").limit(n)
-    shown = chosen.select("pid", "len", F.explode(F.array(*[F.lit(s) for s in SHOWN])).alias("shown")).filter(F.col("len") > F.col("shown") + 3)
-    shown = shown.withColumn("case_id", F.col("pid") * 100 + F.col("shown"))
-    items = interactions.join(F.broadcast(shown.select("pid", "shown", "case_id")), "pid")
+    draw = F.floor(md5_unit(f"{seed}shown", "pid") * len(SHOWN)).cast("int")
+    shown = chosen.select(F.col("pid").alias("case_id"), "pid", "len", F.get(F.array(*[F.lit(s) for s in SHOWN]), draw).alias("shown")).filter(F.col("len") > F.col("shown") + 3)
+    items = interactions.join(F.broadcast(shown.select("pid", "shown", "case_id")), "pid")  # at most n rows
     cases = shown.join(playlists, "pid", "left").select("case_id", F.col("title"))
     cut = lambda c: items.filter(c).select("case_id", F.col("pos").alias("ord"), "track")
     return cases, cut(F.col("pos") < F.col("shown")), cut(F.col("pos") >= F.col("shown"))

@@ -55,3 +55,13 @@ def by_popularity(scored: DataFrame, pop: DataFrame, k: int) -> DataFrame:
     """The k best of each case; of equal scores the more popular track first."""
     w = W.partitionBy("case_id").orderBy(F.desc("score"), F.desc("pop"), "track")
     return scored.join(pop, "track").withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+
+
+def known_ids(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Rows (.., track) whose track the catalogue has; unknown ones are dropped silently."""
+    return rows.join(catalogue.select("track").distinct(), "track", "left_semi")
+
+
+def clamped(k: int, least: int = 1, most: int = 60) -> int:
+    """A number of results that a caller may ask for."""
+    return max(least, min(most, int(k)))

@@ -48,3 +48,9 @@ def fast_route(cases: DataFrame, seeds: DataFrame) -> DataFrame:
     has = seeds.select("case_id").distinct().withColumn("s", F.lit(True))
     cold = F.col("s").isNull() & (normalise(F.col("title")) != "")
     return cases.join(has, "case_id", "left").select("case_id", F.when(cold, "title").otherwise("item_cf").alias("model"))
+
+
+def fast_lists(routes: DataFrame, item_cf: DataFrame, title: DataFrame, k: int) -> DataFrame:
+    """case_id, rank, track of the model that fast_route names for the case."""
+    part = lambda recs, model: recs.filter(F.col("rank") <= k).join(routes.filter(F.col("model") == model), "case_id", "left_semi").select("case_id", "rank", "track")
+    return part(item_cf, "item_cf").unionByName(part(title, "title"))

@@ -5,11 +5,16 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sampling import md5_order
-from ..functions.vectors import argmax, l2, mean_vector, minmax
+from ..functions.tables import cut
+from ..functions.vectors import argmax, l2, mean_vector
 from ..schema import AXES, GENRES, SCALAR_AXES
+from . import itemcf
+from .dense import dense_bounds, dense_top
+from .ranking import top_k, with_backfill
 
 N = len(AXES)
 #: Phrases of a stated preference and what they emphasise. A genre's own name comes last, so that it
@@ -164,24 +169,63 @@ def flavours(seeds: DataFrame, features: DataFrame, k: int = 3, seed: int = 0) -
     return got.select("case_id", "flavour", name_flavour(F.col("centroid")).alias("name"), "centroid", "share")
 
 
-def score(weights: DataFrame, z: DataFrame, cf: DataFrame | None = None, axis_weight: float = 1.0, cf_weight: float = 0.6, broadcast_rows: int = 100_000) -> DataFrame:
-    """case_id, track, score: scaled z . w plus scaled collaborative score, over the whole catalogue.
+def score(weights: DataFrame, z: DataFrame, cf: DataFrame | None = None, k: int = 500, axis_weight: float = 1.0, cf_weight: float = 0.6, without: DataFrame | None = None) -> DataFrame:
+    """case_id, track, score: the k best of scaled z . w plus scaled collaborative score, over the whole catalogue.
 
-    weights (case_id, w) is the query side, in batches of at most `broadcast_rows`; each catalogue row meets each
-    query, since every track is scored for every case.
+    weights (case_id, w) are the queries, z (track, z) the catalogue, cf (case_id, track, score) the tracks with a
+    collaborative score, all others having 0. Both parts are scaled to 0..1 within a case. Tracks without a
+    collaborative score rank by their product alone, so the best k + |cf| products and the tracks of cf hold the k
+    best sums. `without` (case_id, track) are left out of the ranking (not of the scales).
     """
-    dotp = F.aggregate(F.zip_with("z", "w", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    # An equi-join on one constant key spreads the catalogue as it lies and sends it the bounded batch of queries.
-    n = weights.count()
-    if n > broadcast_rows:
-        raise ValueError(f"{n} queries in one batch; at most {broadcast_rows}")
-    q = F.broadcast(weights.withColumn("__one", F.lit(1)))
-    dense = z.withColumn("__one", F.lit(1)).join(q, "__one").select("case_id", "track", F.round(dotp, 9).alias("axis"))
-    if cf is not None:
-        dense = dense.join(cf.select("case_id", "track", F.col("score").alias("cf")), ["case_id", "track"], "left").withColumn("cf", F.coalesce("cf", F.lit(0.0)))
-        scaled = dense.withColumn("a", minmax("axis", "case_id")).withColumn("c", minmax("cf", "case_id"))
-        return scaled.select("case_id", "track", F.round(axis_weight * F.col("a") + cf_weight * F.col("c"), 6).alias("score"))
-    return dense.withColumn("a", minmax("axis", "case_id")).select("case_id", "track", F.round(axis_weight * F.col("a"), 6).alias("score"))
+    weights = cut(weights.select("case_id", F.col("w").alias("q")))
+    vectors = z.select("track", F.col("z").alias("vector"))
+    bounds = dense_bounds(weights, vectors)
+    n_tracks = z.count()
+    cf = cf.select("case_id", "track", F.col("score").cast("double").alias("cf")) if cf is not None else weights.select("case_id", F.lit(None).cast(z.schema["track"].dataType).alias("track"), F.lit(0.0).alias("cf")).limit(0)
+    cf = cut(cf.join(weights.select("case_id"), "case_id", "left_semi"))
+    per = cf.groupBy("case_id").agg(F.count("*").alias("n"), F.min("cf").alias("lo"), F.max("cf").alias("hi"))
+    gone = without.select("case_id", "track").distinct() if without is not None else None
+    more = int(per.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0])
+    if gone is not None:
+        more += int(gone.groupBy("case_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0])
+    top = dense_top(weights, vectors, k + more).select("case_id", "track", F.col("score").alias("axis"))
+    product = F.aggregate(F.zip_with("vector", "q", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    own = cf.join(vectors, "track").join(weights, "case_id").select("case_id", "track", F.round(product, 9).alias("axis"), "cf")
+    both = own.unionByName(top.join(cf.select("case_id", "track"), ["case_id", "track"], "left_anti").withColumn("cf", F.lit(0.0)))
+    if gone is not None:
+        both = both.join(gone, ["case_id", "track"], "left_anti")
+    # Tracks without a collaborative score count as 0 in its bounds, if there are any.
+    some = F.coalesce("n", F.lit(0)) < n_tracks
+    scales = bounds.join(per, "case_id", "left").select(
+        "case_id", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"),
+        F.when(some, F.least(F.coalesce("lo", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("lo")).alias("lo"),
+        F.when(some, F.greatest(F.coalesce("hi", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("hi")).alias("hi"),
+    )
+    scaled = lambda c, lo, hi: F.when(F.col(hi) > F.col(lo), (F.col(c) - F.col(lo)) / (F.col(hi) - F.col(lo))).otherwise(0.0)
+    total = both.join(scales, "case_id").select("case_id", "track", F.round(axis_weight * scaled("axis", "low", "high") + cf_weight * scaled("cf", "lo", "hi"), 6).alias("score"))
+    return top_k(total, k).select("case_id", "rank", "track", "score")
+
+
+def weights_of(cases: DataFrame, learned_axes: DataFrame, stated_axes: DataFrame | None = None, trust: float = 0.4) -> DataFrame:
+    """case_id, w: learned weights (0 without known seeds), blended with the stated ones (case_id, stated) where these are not zero."""
+    w = cases.select("case_id").join(learned_axes, "case_id", "left").withColumn("learned", F.coalesce("learned", F.array_repeat(F.lit(0.0), N)))
+    if stated_axes is None:
+        return w.select("case_id", F.col("learned").alias("w"))
+    w = w.join(stated_axes.select("case_id", "stated"), "case_id", "left")
+    says = F.coalesce(F.exists("stated", lambda x: F.abs(x) > 0), F.lit(False))
+    return w.select("case_id", F.when(says, blend(F.col("stated"), F.col("learned"), trust)).otherwise(F.col("learned")).alias("w"))
+
+
+def recommend(weights: DataFrame, z: DataFrame, near: DataFrame, cases: DataFrame, seeds: DataFrame, pop: DataFrame, k: int, axis_weight: float = 1.0, cf_weight: float = 0.6) -> DataFrame:
+    """case_id, rank, track, score of weights (case_id, w): the best tracks but for the seeds. Cases with neither known seeds nor weights get popular tracks."""
+    known = cut(seeds.join(z.select("track"), "track", "left_semi"))
+    weights = cut(weights)
+    blank = weights.filter(~F.exists("w", lambda x: F.abs(x) >= 1e-9)).join(known.select("case_id").distinct(), "case_id", "left_anti").select("case_id")
+    asked = weights.join(blank, "case_id", "left_anti")
+    ranked = score(asked, z, itemcf.scores(known, near), k, axis_weight, cf_weight, known)
+    none = ranked.select("case_id", "track", "score").limit(0)
+    popular = with_backfill(none, cases.join(blank, "case_id", "left_semi"), seeds, pop, k)
+    return ranked.unionByName(popular)
 
 
 def contributions(z: Column, w: Column, n: int = 3) -> Column:
@@ -211,7 +255,7 @@ def same_artist(tracks: DataFrame, seeds: DataFrame, catalogue: DataFrame) -> Da
 
 
 def explain(recs: DataFrame, seeds: DataFrame, near: DataFrame, catalogue: DataFrame, flavour: DataFrame, features: DataFrame, z: DataFrame, weights: DataFrame) -> DataFrame:
-    """recs with flavour, reasons (array) and top axes."""
+    """recs with flavour, reasons (array), top axes, support (seeds near the track; null if none) and same (whether a seed has its artist)."""
     key = ["case_id", "track"]
     r = recs.join(nearest_flavour(recs, flavour, features), key, "left").join(support(recs, seeds, near).withColumnRenamed("n", "support"), key, "left")
     r = r.join(same_artist(recs, seeds, catalogue).distinct().withColumn("same", F.lit(True)), key, "left").join(z, "track", "left").join(weights, "case_id", "left")
@@ -224,4 +268,23 @@ def explain(recs: DataFrame, seeds: DataFrame, near: DataFrame, catalogue: DataF
         lambda x: x.isNotNull(),
     )
     reasons = F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("matches your taste profile")))
-    return r.select("case_id", "rank", "track", "score", "flavour", reasons.alias("reasons"), contributions(F.col("z"), F.col("w")).alias("axes"))
+    return r.select("case_id", "rank", "track", "score", "flavour", reasons.alias("reasons"), contributions(F.col("z"), F.col("w")).alias("axes"), "support", "same")
+
+
+def cards(explained: DataFrame, catalogue: DataFrame, features: DataFrame) -> DataFrame:
+    """Recommendation cards of explained rows: score over the case's best, the track's artist, main genre and scalar axes, support and reasons."""
+    best = F.max("score").over(W.partitionBy("case_id"))
+    genre = argmax(GENRES, F.slice("axes_of", len(SCALAR_AXES) + 1, len(GENRES)))
+    e = explained.withColumn("__best", F.when(best > 1e-9, best).otherwise(1.0))
+    e = e.join(catalogue.select("track", "artist"), "track", "left").join(features.select("track", F.col("axes").alias("axes_of")), "track", "left")
+    return e.select(
+        "case_id", "rank", "track", "artist", genre.alias("genre"), F.transform(F.slice("axes_of", 1, len(SCALAR_AXES)), lambda x: F.round(x, 3)).alias("scalars"),
+        F.round(F.col("score") / F.col("__best"), 4).alias("score"), "flavour", "reasons", F.col("axes").alias("bars"), F.coalesce("support", F.lit(0)).alias("support"), F.coalesce("same", F.lit(False)).alias("same_artist"),
+    )
+
+
+def shown_weights(weights: Column, least: float = 1e-4) -> Column:
+    """Weights for display: array of struct axis, value, the largest |value| first, tiny ones left out."""
+    names = F.array(*[F.lit(a) for a in AXES])
+    parts = F.filter(F.transform(weights, lambda x, i: F.struct((-F.abs(x)).alias("o"), i.alias("i"), F.get(names, i).alias("axis"), x.alias("value"))), lambda p: p["o"] < -least)
+    return F.transform(F.array_sort(parts), lambda p: F.struct(p["axis"].alias("axis"), p["value"].alias("value")))

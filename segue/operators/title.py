@@ -55,10 +55,8 @@ def scores(near: DataFrame, interactions: DataFrame, pop: DataFrame, n_lists: in
     return pooled.join(idf, "track").select("case_id", "track", F.round(F.col("w") * F.col("idf"), 6).alias("score")).filter(F.col("score") > 0)
 
 
-def recommend(playlists: DataFrame, interactions: DataFrame, cases: DataFrame, seeds: DataFrame, pop: DataFrame, k: int, neighbours_n: int = 50, analyzer: str = "char_wb", lo: int = 2, hi: int = 5) -> DataFrame:
-    """cases need a title column (null or blank: popularity)."""
-    lists = playlists.join(interactions.select("pid").distinct(), "pid", "left_semi")
-    model = fit(lists, analyzer, lo, hi)
+def recommend(model: tuple[DataFrame, DataFrame, DataFrame], interactions: DataFrame, cases: DataFrame, seeds: DataFrame, pop: DataFrame, k: int, neighbours_n: int = 50, analyzer: str = "char_wb", lo: int = 2, hi: int = 5) -> DataFrame:
+    """cases need a title column (null or blank: popularity); the model is fit's, of the lists that have interactions."""
     near = neighbours(cases, model, neighbours_n, analyzer, lo, hi)
-    scored = without(scores(near, interactions, pop, lists.count()), seeds)
+    scored = without(scores(near, interactions, pop, model[2].count()), seeds)
     return with_backfill(scored, cases, seeds, pop, k)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.sampling import md5_order
+from ..functions.sampling import md5_order, weighted_key
 from ..schema import GENRES
 
 
@@ -103,15 +103,44 @@ def restrict_to_features(corpus: Corpus) -> Corpus:
     return prune(replace(corpus, tracks=corpus.tracks.join(corpus.features, "track", "left_semi"), interactions=corpus.interactions.join(corpus.features.select("track"), "track", "left_semi")))
 
 
+def with_length(interactions: DataFrame, least: int, most: int) -> DataFrame:
+    """pid, n of lists of least to most tracks."""
+    return interactions.groupBy("pid").agg(F.count("*").alias("n")).filter(F.col("n").between(least, most))
+
+
+def with_theme(playlists: DataFrame, words: list[str]) -> DataFrame:
+    """pid, title of lists whose title has one of the words inside."""
+    return playlists.filter(F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains("title", w))).select("pid", "title")
+
+
+def feature_matrix(tracks: DataFrame, features: DataFrame | None, size: int) -> DataFrame:
+    """track, axes in the catalogue's terms: zeros for tracks without features; an error without any table of them."""
+    if features is None:
+        raise ValueError("the corpus has no features")
+    return tracks.select("track").join(features, "track", "left").select("track", F.coalesce("axes", F.array_repeat(F.lit(0.0), size)).alias("axes"))
+
+
+def sample_lists(interactions: DataFrame, kinds: DataFrame, kind: str, least: int = 12, most: int = 45, n: int = 6, seed: int = 5) -> DataFrame:
+    """kind, pid: of lists of a fair length the first in hash order of each kind (pid, kind); the first n kinds."""
+    fits = kinds.join(with_length(interactions, least, most).select("pid"), "pid", "left_semi")
+    r = F.row_number().over(W.partitionBy(kind).orderBy(md5_order(seed, "pid"), "pid"))
+    return fits.withColumn("__r", r).filter("__r = 1").orderBy(kind).limit(n).select(kind, "pid")
+
+
+def sample_tracks(pop: DataFrame, n: int = 600, seed: int = 7) -> DataFrame:
+    """track, pop: a sample of n tracks without replacement, weighted by popularity."""
+    return pop.withColumn("__k", F.round(weighted_key(seed, F.col("pop") + 0.001, "track"), 12)).orderBy("__k", "track").limit(n).select("track", "pop")
+
+
 def test_pids(corpus: Corpus, n_test: int, seed: int = 0) -> DataFrame:
     """pid of the first n_test lists in hash order (a top-n, not a global sort)."""
     lists = corpus.interactions.select("pid").distinct()
     return lists.orderBy(md5_order(seed, "pid"), "pid").limit(n_test)
 
 
-def split(corpus: Corpus, n_test: int, seed: int = 0) -> tuple[Corpus, Corpus]:
-    """(train, test); both keep the whole catalogue."""
-    test = test_pids(corpus, n_test, seed)
+def split(corpus: Corpus, test: DataFrame | int, seed: int = 0) -> tuple[Corpus, Corpus]:
+    """(train, test) by the pids held out, or by how many of them; both keep the whole catalogue."""
+    test = test_pids(corpus, test, seed) if isinstance(test, int) else test
     pick = lambda how: replace(corpus, interactions=corpus.interactions.join(test, "pid", how), playlists=corpus.playlists.join(test, "pid", how))
     return pick("left_anti"), pick("left_semi")
 

@@ -64,6 +64,12 @@ def summarise(per_case: DataFrame) -> DataFrame:
     return grouped.filter(F.col("gm") == 0).select("model", F.when(F.col("g") == 1, "OVERALL").otherwise(F.col("scenario")).alias("scenario"), "n", "r_precision", "ndcg", "clicks")
 
 
+def overall(per_case: DataFrame) -> DataFrame:
+    """One row: n and mean metrics of all cases; without cases 0, 0 and a miss."""
+    mean = lambda c, none: F.round(F.coalesce(F.avg(c), F.lit(float(none))), 9).alias(c)
+    return per_case.agg(F.count("*").alias("n"), mean("r_precision", 0), mean("ndcg", 0), mean("clicks", MISSED))
+
+
 def pivot(summary: DataFrame, metric: str, scenarios: list[str]) -> DataFrame:
     return summary.groupBy("model").pivot("scenario", scenarios).agg(F.round(F.avg(metric), 4))
 
@@ -152,3 +158,49 @@ def purity_and_ari(labelled: DataFrame, label: str, cluster: str) -> DataFrame:
     top = (a + b) / 2 - expected
     ari = 1.0 if not total or top == 0 else (cell - expected) / top
     return most.select(F.lit(n).cast("long").alias("n"), F.round(F.coalesce(F.col("m") / float(n) if n else F.lit(0.0), F.lit(0.0)), 6).alias("purity"), F.round(F.lit(float(ari)), 6).alias("ari"))
+
+
+def first_hits(recs: DataFrame, holdout: DataFrame) -> DataFrame:
+    """case_id, first: the place (from 0) of the first recommendation that was held out; no row without one."""
+    hit = recs.join(holdout.select("case_id", "track").distinct(), ["case_id", "track"], "left_semi")
+    return hit.groupBy("case_id").agg((F.min("rank") - 1).alias("first"))
+
+
+def modes(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, value: the most frequent value of each key; of equally frequent ones the first in order."""
+    n = rows.groupBy(key, value).agg(F.count("*").alias("__c"))
+    r = F.row_number().over(W.partitionBy(key).orderBy(F.desc("__c"), value))
+    return n.withColumn("__r", r).filter("__r = 1").select(key, value)
+
+
+def shares(rows: DataFrame, key: str) -> DataFrame:
+    """key, share of all rows."""
+    n = rows.groupBy(key).agg(F.count("*").alias("c"))
+    total = float(n.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0] or 1)
+    return n.select(key, F.round(F.col("c") / total, 6).alias("share"))
+
+
+def seed_coverage(seeds: DataFrame, known: DataFrame) -> DataFrame:
+    """case_id, rate: the share of a case's seeds that are in known (track)."""
+    k = known.select("track").distinct().withColumn("__k", F.lit(1.0))
+    return seeds.join(k, "track", "left").groupBy("case_id").agg(F.round(F.avg(F.coalesce("__k", F.lit(0.0))), 6).alias("rate"))
+
+
+def on_target(recs: DataFrame, tracks: DataFrame, target: DataFrame, column: str = "artist", top: int = 20) -> DataFrame:
+    """case_id, fit: the share of the first `top` recommendations whose `column` is the case's target (case_id, target)."""
+    r = recs.filter(F.col("rank") <= top).join(tracks.select("track", column), "track").join(target, "case_id")
+    return r.groupBy("case_id").agg(F.round(F.avg(F.when(F.col(column) == F.col("target"), 1.0).otherwise(0.0)), 6).alias("fit"))
+
+
+def bias(recs: DataFrame, holdout: DataFrame, bucket: DataFrame, vectors: DataFrame, n_catalogue: int, k: int, size: int) -> DataFrame:
+    """model, coverage, intra_list_sim and recall of head, torso and tail, of recs (model, case_id, rank, track)."""
+    top = recs.filter(F.col("rank") <= k)
+    covered = top.select("model", "track").distinct().groupBy("model").agg(F.round(F.count("*") / float(max(1, n_catalogue)), 6).alias("coverage"))
+    # A case of a model is a case of its own for the lists' similarity.
+    named = recs.select(F.struct("model", "case_id").alias("case_id"), "rank", "track")
+    alike = intra_list_similarity(named, vectors, size).groupBy(F.col("case_id.model").alias("model")).agg(F.round(F.avg("ils"), 6).alias("intra_list_sim"))
+    demand = holdout.select("case_id", "track").distinct().join(bucket, "track")
+    hits = top.select("model", "case_id", "track").distinct().join(demand, ["case_id", "track"]).groupBy("model", "bucket").agg(F.count("*").alias("hits"))
+    wanted = demand.groupBy("bucket").agg(F.count("*").alias("demand"))
+    rate = hits.join(wanted, "bucket").groupBy("model").agg(*[F.round(F.coalesce(F.max(F.when(F.col("bucket") == b, F.col("hits") / F.col("demand"))), F.lit(0.0)), 6).alias(f"{b}_recall") for b in ("head", "torso", "tail")])
+    return covered.join(alike, "model", "left").join(rate, "model", "left").fillna(0.0)

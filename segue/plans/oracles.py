@@ -6,7 +6,9 @@ import re
 
 from .scenarios import SCENARIOS, min_length
 
-N_TEST, QUOTA, SEED, K, TOPK_SIM, NEIGHBOURS = 100, 10, 0, 100, 100, 50
+SEED, K, TOPK_SIM, NEIGHBOURS = 0, 500, 200, 50
+#: Shares of all lists that are held out, and that one scenario may take: cases grow with the tables.
+TEST_SHARE, QUOTA_SHARE = 5, 50
 
 CTE: dict[str, str] = {}
 
@@ -14,7 +16,7 @@ CTE["inter"] = """SELECT o_custkey AS pid, CAST(row_number() OVER (PARTITION BY
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
 CTE["titles"] = "SELECT c_custkey AS pid, lower(c_mktsegment || ' ' || n_name) AS title FROM customer JOIN nation ON c_nationkey = n_nationkey"
 CTE["tracks"] = "SELECT p_partkey AS track, p_brand AS artist FROM part"
-CTE["testp"] = f"SELECT pid FROM (SELECT DISTINCT pid FROM inter) ORDER BY md5('{SEED}:' || pid), pid LIMIT {N_TEST}"
+CTE["testp"] = f"SELECT pid FROM (SELECT DISTINCT pid FROM inter) ORDER BY md5('{SEED}:' || pid), pid LIMIT (SELECT count(DISTINCT pid) // {TEST_SHARE} FROM inter)"
 CTE["train"] = "SELECT * FROM inter WHERE pid NOT IN (SELECT pid FROM testp)"
 CTE["test"] = "SELECT * FROM inter WHERE pid IN (SELECT pid FROM testp)"
 CTE["pop"] = "SELECT track, coalesce(c, 0) AS pop FROM tracks LEFT JOIN (SELECT track, count(*) AS c FROM train GROUP BY track) USING (track)"
@@ -27,7 +29,7 @@ for _n in sorted({s[1] for s in SCENARIOS}, reverse=True):
     _names = [s[0] for s in SCENARIOS if s[1] == _n]
     _skip = "".join(f" AND pid NOT IN (SELECT pid FROM {u})" for u in _used)
     _list = "[" + ", ".join(f"'{x}'" for x in _names) + "]"
-    CTE[f"g{_n}"] = f"SELECT pid, ({_list})[CAST(r % {len(_names)} AS BIGINT) + 1] AS scenario FROM (SELECT pid, row_number() OVER (ORDER BY pid) - 1 AS r FROM lens WHERE n >= {min_length(_n)}{_skip}) WHERE r < {len(_names) * QUOTA}"
+    CTE[f"g{_n}"] = f"SELECT pid, ({_list})[CAST(r % {len(_names)} AS BIGINT) + 1] AS scenario FROM (SELECT pid, row_number() OVER (ORDER BY pid) - 1 AS r FROM lens WHERE n >= {min_length(_n)}{_skip}) WHERE r < {len(_names)} * (SELECT greatest(1, count(DISTINCT pid) // {QUOTA_SHARE}) FROM inter)"
     _used.append(f"g{_n}")
 CTE["assigned"] = " UNION ALL ".join(f"SELECT * FROM {u}" for u in _used)
 CTE["spec"] = "SELECT * FROM (VALUES " + ", ".join(f"('{s}', {n}, {str(t).lower()}, {str(r).lower()})" for s, n, t, r in SCENARIOS) + ") AS v(scenario, n_seed, use_title, random)"
@@ -40,10 +42,16 @@ CTE["cnt"] = "SELECT pid, track, count(*) AS cnt FROM train GROUP BY pid, track"
 CTE["co"] = "SELECT a.track AS i, b.track AS j, CAST(sum(a.cnt * b.cnt) AS BIGINT) AS v FROM cnt a JOIN cnt b ON a.pid = b.pid AND a.track <> b.track GROUP BY i, j"
 CTE["sim"] = "SELECT i, j, v / (sqrt(CAST(p.pop AS DOUBLE) * q.pop) + 10.0) AS sim FROM co JOIN pop p ON p.track = i JOIN pop q ON q.track = j"
 CTE["near"] = f"SELECT * FROM (SELECT i, j, sim, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS rank FROM sim) WHERE rank <= {TOPK_SIM}"
-CTE["cfscore"] = """SELECT case_id, track, score FROM (SELECT case_id, j AS track, round(sum(sim), 6) AS score FROM seeds JOIN near ON track = i GROUP BY case_id, j)
+
+
+def cf_scores(near: str) -> str:
+    return f"""SELECT case_id, track, score FROM (SELECT case_id, j AS track, round(sum(sim), 6) AS score FROM seeds JOIN {near} ON track = i GROUP BY case_id, j)
   WHERE score > 0 AND (case_id, track) NOT IN (SELECT case_id, track FROM seeds)"""
 
 
+CTE["cfscore"] = cf_scores("near")
+
+
 def ranked(scored: str, k: int = K) -> str:
     """Scored rows (case_id, track, score), then popularity, as the engine ranks them."""
     return f"""SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY tier, score DESC, pop DESC, track) AS BIGINT) AS rank, track, score FROM (
@@ -55,6 +63,12 @@ def ranked(scored: str, k: int = K) -> str:
 CTE["none"] = "SELECT case_id, track, 0.0 AS score FROM seeds WHERE false"
 CTE["poprecs"] = ranked("none")
 CTE["cfrecs"] = ranked("cfscore")
+#: The sweep over the number of neighbours.
+SWEEP = (20, 50, 200)
+for _n in SWEEP:
+    CTE[f"near{_n}"] = f"SELECT * FROM near WHERE rank <= {_n}"
+    CTE[f"cf{_n}score"] = cf_scores(f"near{_n}")
+    CTE[f"cf{_n}recs"] = ranked(f"cf{_n}score")
 
 # ---- titles
 CTE["tlists"] = "SELECT pid, title AS t FROM titles WHERE pid IN (SELECT pid FROM train)"
@@ -89,6 +103,8 @@ def metrics(recs: str) -> str:
 
 
 CTE["popm"], CTE["cfm"], CTE["tm"] = metrics("poprecs"), metrics("cfrecs"), metrics("trecs")
+for _n in SWEEP:
+    CTE[f"cf{_n}m"] = metrics(f"cf{_n}recs")
 CTE["allm"] = "SELECT 'popularity' AS model, * FROM popm UNION ALL SELECT 'item_cf', * FROM cfm UNION ALL SELECT 'title', * FROM tm"
 CTE["summary"] = """SELECT model, CASE WHEN grouping(scenario) = 1 THEN 'OVERALL' ELSE scenario END AS scenario, count(*) AS n, round(avg(r_precision), 9) AS r_precision, round(avg(ndcg), 9) AS ndcg, round(avg(clicks), 9) AS clicks
   FROM allm GROUP BY GROUPING SETS ((model, scenario), (model))"""

@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vectors
 from ..functions.sampling import md5_order, weighted_key
-from ..functions.tables import shared_folder
+from ..functions.tables import cut, shared_folder
 from ..operators import factors, hybrid, itemcf, ranking, routed, taste, title
 from ..schema import AXES, GENRES, SCALAR_AXES
 from ..sources import features as feature_sources
-from ..sources import results, slices, submission
+from ..sources import generate, results, slices, submission
 from . import corpus as C
 from . import metrics as M
 from . import scenarios as S
-from .oracles import K, N_TEST, NEIGHBOURS, QUOTA, SEED, TOPK_SIM, sql
+from . import studies
+from .oracles import K, NEIGHBOURS, QUOTA_SHARE, SEED, SWEEP, TEST_SHARE, TOPK_SIM, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,28 +37,43 @@ def query(name: str, oracle: str | None = None):
 
 
 class Run:
-    """Shared steps of the queries on one data set; lazy, so that a query plans only what it uses."""
+    """Shared steps of the queries on one data set, each written once; lazy, so that a query makes only what it uses."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
-        self.all = C.from_orders(spark, sf_dir)
-        self.train, self.test = C.split(self.all, N_TEST, SEED)
-        self.tracks = self.all.tracks
 
     def __getattr__(self, name):
         made = getattr(type(self), "make_" + name)(self)
         setattr(self, name, made)
         return made
 
+    def make_all(self):
+        c = C.from_orders(self.spark, self.dir)
+        return C.Corpus(cut(c.interactions), cut(c.playlists), cut(c.tracks))
+
+    def make_tracks(self):
+        return self.all.tracks
+
+    def make_n_lists(self):
+        return self.all.interactions.select("pid").distinct().count()
+
+    def make_parts(self):
+        return C.split(self.all, cut(C.test_pids(self.all, self.n_lists // TEST_SHARE, SEED)))
+
+    def make_train(self):
+        return self.parts[0]
+
+    def make_test(self):
+        return self.parts[1]
+
     def make_pop(self):
-        return ranking.popularity(self.train.interactions, self.tracks).cache()
+        return cut(ranking.popularity(self.train.interactions, self.tracks))
 
     def make_near(self):
-        return itemcf.fit(self.train.interactions, self.pop, topk=TOPK_SIM)
+        return cut(itemcf.fit(self.train.interactions, self.pop, topk=TOPK_SIM))
 
     def make_built(self):
-        # Cases are few and used by many steps: held in memory, recomputed if an executor is lost.
-        return tuple(d.cache() for d in S.build(self.test, QUOTA, SEED))
+        return tuple(cut(d) for d in S.build(self.test, max(1, self.n_lists // QUOTA_SHARE), SEED))
 
     def make_cases(self):
         return self.built[0]
@@ -69,26 +85,91 @@ class Run:
         return self.built[2]
 
     def make_features(self):
-        return C.order_features(self.spark, self.dir)
+        return cut(C.order_features(self.spark, self.dir))
 
     def make_z(self):
-        return taste.standardise(self.features)
+        return cut(taste.standardise(self.features))
+
+    def make_learned(self):
+        return cut(taste.learned(self.seeds, self.z))
+
+    def make_flavours(self):
+        return cut(taste.flavours(self.seeds, self.features))
+
+    def make_none(self):
+        return self.seeds.select("case_id", "track", F.lit(0.0).alias("score")).limit(0)
 
     def make_pop_recs(self):
-        none = self.seeds.select("case_id", "track", F.lit(0.0).alias("score")).limit(0)
-        return ranking.with_backfill(none, self.cases, self.seeds, self.pop, K).cache()
+        return cut(ranking.with_backfill(self.none, self.cases, self.seeds, self.pop, K))
 
     def make_cf_recs(self):
-        return itemcf.recommend(self.near, self.cases, self.seeds, self.pop, K).cache()
+        return cut(itemcf.recommend(self.near, self.cases, self.seeds, self.pop, K))
+
+    def make_title_model(self):
+        lists = self.train.playlists.join(self.train.interactions.select("pid").distinct(), "pid", "left_semi")
+        return tuple(cut(d) for d in title.fit(lists))
+
+    def title_lists(self, cases, seeds):
+        return cut(title.recommend(self.title_model, self.train.interactions, cases, seeds, self.pop, K, NEIGHBOURS))
 
     def make_title_recs(self):
-        return title.recommend(self.train.playlists, self.train.interactions, self.cases, self.seeds, self.pop, K, NEIGHBOURS).cache()
+        return self.title_lists(self.cases, self.seeds)
 
-    def make_summary(self):
+    def make_als(self):
+        return factors.als_factors(C.counts(self.train.interactions))
+
+    def make_w2v(self):
+        return factors.track_vectors(self.train.interactions)
+
+    def sources(self, cases, seeds, cf=None, titles=None, pop_recs=None) -> dict[str, DataFrame]:
+        """The hybrid's five sources for some cases."""
+        return {
+            "cf": cf if cf is not None else cut(itemcf.recommend(self.near, cases, seeds, self.pop, K)),
+            "als": cut(factors.recommend(self.als, 64, cases, seeds, self.pop, K)),
+            "w2v": cut(factors.recommend(self.w2v, 64, cases, seeds, self.pop, K, cosine=True)),
+            "title": titles if titles is not None else self.title_lists(cases, seeds),
+            "pop": pop_recs if pop_recs is not None else cut(ranking.with_backfill(self.none, cases, seeds, self.pop, K)),
+        }
+
+    def make_case_sources(self):
+        return self.sources(self.cases, self.seeds, self.cf_recs, self.title_recs, self.pop_recs)
+
+    def hybrid_features(self, sources, cases, seeds):
+        cand = hybrid.candidates(sources, seeds, PER_SOURCE)
+        scored = {k: v for k, v in sources.items() if k != "pop"}
+        return cut(hybrid.features(cand, scored, cases, seeds, self.pop, self.tracks))
+
+    def make_feats(self):
+        return self.hybrid_features(self.case_sources, self.cases, self.seeds)
+
+    def make_blend_rows(self):
+        cases, seeds, held = (cut(d) for d in hybrid.training_cases(self.train.interactions, self.train.playlists, seed=SEED))
+        return cut(hybrid.training_rows(self.hybrid_features(self.sources(cases, seeds), cases, seeds), held))
+
+    def blended(self, kind: str) -> DataFrame:
+        blender = hybrid.Blender(kind, SEED).fit(self.blend_rows)
+        return hybrid.recommend(self.feats, blender, self.cases, self.seeds, self.pop, K)
+
+    def make_hybrid_recs(self):
+        return cut(self.blended("gbt"))
+
+    def make_weights(self):
+        """Weights made of the case's number, so that another database has them too; every seventh case says nothing."""
+        w = F.transform(F.sequence(F.lit(0), F.lit(14)), lambda i: F.when(F.col("case_id") % 7 == 0, 0.0).otherwise((i % 5 - 2.0) * (F.col("case_id") % 3 + 1) / 6))
+        return cut(self.cases.select("case_id", w.alias("w")))
+
+    def make_rounded_z(self):
+        return cut(self.z.withColumn("z", F.transform("z", lambda x: F.round(x, 6))))
+
+    def make_recs_of(self):
         parts = {"popularity": self.pop_recs, "item_cf": self.cf_recs, "title": self.title_recs}
-        recs = reduce(DataFrame.unionByName, [r.select("case_id", "rank", "track").withColumn("model", F.lit(m)) for m, r in parts.items()])
-        per = M.evaluate(recs, self.holdout, self.cases, self.tracks, list(parts)).cache()
-        return M.summarise(per)
+        return reduce(DataFrame.unionByName, [r.select("case_id", "rank", "track").withColumn("model", F.lit(m)) for m, r in parts.items()])
+
+    def make_summary(self):
+        return cut(M.summarise(M.evaluate(self.recs_of, self.holdout, self.cases, self.tracks, ["popularity", "item_cf", "title"])))
+
+
+PER_SOURCE = 400
 
 
 # ---- sources
@@ -103,6 +184,34 @@ def a1(spark, d):
     return got.interactions.join(got.playlists, "pid").join(got.tracks.select("track", "artist"), "track").select("pid", "title", "pos", "track", "artist")
 
 
+@query("a2_first_lists", "SELECT pid, pos, CAST(track AS VARCHAR) AS track FROM inter WHERE pid IN (SELECT DISTINCT pid FROM inter ORDER BY pid LIMIT 50)")
+def a2(spark, d):
+    """A folder of slices without the usual names, of which the first 50 lists are loaded."""
+    folder = shared_folder(spark, "slices")
+    slices.write(C.from_orders(spark, d), folder)
+    return slices.load(spark, folder, max_playlists=50, multi_line=False).interactions
+
+
+@query("a7_challenge", "SELECT case_id AS pid, any_value(title) AS title, count(*) AS num_samples, string_agg(CAST(track AS VARCHAR), ' ' ORDER BY ord) AS tracks FROM seeds JOIN cases USING (case_id) GROUP BY case_id")
+def a7(spark, d):
+    """The cases as a challenge document, read back."""
+    r = Run(spark, d)
+    folder = shared_folder(spark, "challenge")
+    tracks = F.transform(F.array_sort(F.collect_list(F.struct("ord", "track"))), lambda x: F.struct(x["ord"].alias("pos"), x["track"].cast("string").alias("track_uri")))
+    one = r.seeds.groupBy("case_id").agg(tracks.alias("tracks")).join(r.cases, "case_id")
+    doc = F.struct(F.col("case_id").alias("pid"), F.col("title").alias("name"), F.size("tracks").alias("num_samples"), "tracks")
+    one.select(F.array(doc).alias("playlists")).write.json(folder)
+    got = slices.read_challenge(spark, folder, multi_line=False)
+    return got.select("pid", "title", "num_samples", F.array_join("tracks", " ").alias("tracks"))
+
+
+@query("a13_generated")
+def a13(spark, d):
+    """A generated corpus with as many lists and tracks as there are customers and parts."""
+    c = generate.make(spark, C.table(spark, d, "customer").count(), C.table(spark, d, "part").count(), seed=3)
+    return c.interactions
+
+
 @query("a4_track_stats", "SELECT track, count(*) AS count, count(DISTINCT pid) AS n_playlists FROM inter GROUP BY track")
 def a4(spark, d):
     return C.track_stats(C.order_interactions(spark, d))
@@ -181,19 +290,37 @@ def a14(spark, d):
     return submission.lines(full, "team", "a@b.c").filter("at >= 0").select(F.col("at").alias("case_id"), "value")
 
 
+@query("a15_submission_files", f"""SELECT CAST(case_id AS VARCHAR) || ', ' || string_agg(CAST(track AS VARCHAR), ', ' ORDER BY rank) AS value, kind FROM cfrecs, (VALUES ('plain'), ('gzip')) AS v(kind) GROUP BY case_id, kind""")
+def a15(spark, d):
+    """Both files of a submission, read back."""
+    r = Run(spark, d)
+    folder = shared_folder(spark, "submission")
+    submission.write_both(submission.build(r.cf_recs, r.cases, r.seeds, ranking.popular_top(r.pop, 2 * K + 200), K), folder, "team", "a@b.c", K if r.tracks.count() >= 2 * K else None)
+    read = lambda kind: spark.read.text(f"{folder}/{kind}").withColumn("kind", F.lit(kind))
+    return read("plain").unionByName(read("gzip")).filter("value <> '' and not startswith(value, 'team_info')")
+
+
+@query("a16_a17_result_files", "SELECT model, scenario, n, r_precision, ndcg, clicks FROM summary")
+def a16(spark, d):
+    """Results as CSV, read back."""
+    folder = shared_folder(spark, "results")
+    results.write_csv(Run(spark, d).summary, folder)
+    return results.read_csv(spark, folder)
+
+
 # ---- projections, lookups
 
 
 @query("b1_known_ids", "SELECT e.event_id, p_partkey AS track FROM events e JOIN part ON p_partkey = e.user_id * 17")
 def b1(spark, d):
     e = C.table(spark, d, "events").select("event_id", (F.col("user_id") * 17).alias("track"))
-    return e.join(C.table(spark, d, "part").select(F.col("p_partkey").alias("track")), "track").select("event_id", "track")
+    return ranking.known_ids(e, C.table(spark, d, "part").select(F.col("p_partkey").alias("track"))).select("event_id", "track")
 
 
 @query("b4_feature_matrix", "SELECT track, coalesce(axes, [0.0 FOR i IN range(15)])[1] AS a0, coalesce(axes, [0.0 FOR i IN range(15)])[8] AS a7 FROM (SELECT track, CASE WHEN axes[1] < 0.2 THEN NULL ELSE axes END AS axes FROM feats)")
 def b4(spark, d):
     f = C.order_features(spark, d)
-    x = f.select("track").join(f.filter(F.get("axes", F.lit(0)) >= 0.2), "track", "left").select("track", F.coalesce("axes", F.array_repeat(F.lit(0.0), len(AXES))).alias("axes"))
+    x = C.feature_matrix(f, f.filter(F.get("axes", F.lit(0)) >= 0.2), len(AXES))
     return x.select("track", F.get("axes", F.lit(0)).alias("a0"), F.get("axes", F.lit(7)).alias("a7"))
 
 
@@ -204,7 +331,7 @@ def b5(spark, d):
 
 @query("b6_length_filter", "SELECT pid, count(*) AS n FROM inter GROUP BY pid HAVING count(*) BETWEEN 12 AND 45")
 def b6(spark, d):
-    return C.order_interactions(spark, d).groupBy("pid").agg(F.count("*").alias("n")).filter(F.col("n").between(12, 45))
+    return C.with_length(C.order_interactions(spark, d), 12, 45)
 
 
 @query("b8_dominant_genre", "SELECT track, (['" + "','".join(GENRES) + "'])[list_position(axes[6:15], list_max(axes[6:15]))] AS genre FROM feats")
@@ -214,8 +341,7 @@ def b8(spark, d):
 
 @query("b11_theme_filter", "SELECT pid, title FROM titles WHERE contains(title, 'auto') OR contains(title, 'build') OR contains(title, 'an')")
 def b11(spark, d):
-    words = F.array(*[F.lit(w) for w in ("auto", "build", "an")])
-    return C.from_orders(spark, d).playlists.filter(F.exists(words, lambda w: F.contains("title", w))).select("pid", "title")
+    return C.with_theme(C.from_orders(spark, d).playlists, ["auto", "build", "an"])
 
 
 @query("b7_payload_axes", "SELECT * FROM (VALUES ('tempo', 0.5::DOUBLE), ('genre:rap', 1.0::DOUBLE)) AS v(axis, value)")
@@ -253,12 +379,12 @@ for _kind, _expr in (
     ("pmi", "greatest(ln(v * (SELECT CAST(count(DISTINCT pid) AS DOUBLE) FROM train) / (CAST(p.pop AS DOUBLE) * q.pop + 1e-9) + 1e-9), 0.0)"),
 ):
 
-    @query(f"d5_e2_similarity_{_kind}", f"SELECT i, j, round(sim, 6) AS sim, rank FROM (SELECT i, j, sim, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS rank FROM (SELECT i, j, round({_expr}, 9) AS sim FROM co JOIN pop p ON p.track = i JOIN pop q ON q.track = j)) WHERE rank <= 20")
+    @query(f"d5_e2_similarity_{_kind}", f"SELECT i, j, round(sim, 6) AS sim, rank FROM (SELECT i, j, sim, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS rank FROM (SELECT i, j, round({_expr}, 9) AS sim FROM co JOIN pop p ON p.track = i JOIN pop q ON q.track = j)) WHERE rank <= {TOPK_SIM}")
     def d5(spark, d, kind=_kind):
         r = Run(spark, d)
         n = r.train.interactions.select("pid").distinct().count() if kind == "pmi" else None
-        sim = itemcf.similarity(itemcf.cooccurrence(C.counts(r.train.interactions)), r.pop, n, kind).withColumn("sim", F.round("sim", 9))
-        return itemcf.neighbours(sim, 20).select("i", "j", F.round("sim", 6).alias("sim"), "rank")
+        sim = itemcf.similarities(C.counts(r.train.interactions), r.pop, n, kind).withColumn("sim", F.round("sim", 9))
+        return itemcf.neighbours(sim, TOPK_SIM).select("i", "j", F.round("sim", 6).alias("sim"), "rank")
 
 
 _Z = "SELECT track, [round((axes[i] - m[i]) / (s[i] + 1e-6), 6) FOR i IN range(1, 16)] AS z FROM feats, (SELECT " + "[" + ", ".join(f"avg(axes[{i}])" for i in range(1, 16)) + "] AS m, [" + ", ".join(f"stddev_pop(axes[{i}])" for i in range(1, 16)) + "] AS s FROM feats)"
@@ -329,16 +455,13 @@ def d16(spark, d):
 @query("d17_mode", "SELECT pid, artist FROM (SELECT pid, artist, row_number() OVER (PARTITION BY pid ORDER BY count(*) DESC, artist) AS r FROM inter JOIN tracks USING (track) GROUP BY pid, artist) WHERE r = 1")
 def d17(spark, d):
     c = C.from_orders(spark, d)
-    n = c.interactions.join(c.tracks, "track").groupBy("pid", "artist").agg(F.count("*").alias("c"))
-    return n.withColumn("r", F.row_number().over(W.partitionBy("pid").orderBy(F.desc("c"), "artist"))).filter("r = 1").select("pid", "artist")
+    return M.modes(c.interactions.join(c.tracks, "track"), "pid", "artist")
 
 
 @query("d18_group_share", "SELECT artist, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM inter JOIN tracks USING (track) GROUP BY artist")
 def d18(spark, d):
     c = C.from_orders(spark, d)
-    n = c.interactions.join(c.tracks, "track").groupBy("artist").agg(F.count("*").alias("c"))
-    total = n.agg(F.sum("c")).first()[0]
-    return n.select("artist", F.round(F.col("c") / float(total), 6).alias("share"))
+    return M.shares(c.interactions.join(c.tracks, "track"), "artist")
 
 
 _ARI = """WITH cell AS (SELECT label, CAST(embedding[1] > 0 AS INT) + 2 * CAST(embedding[2] > 0 AS INT) AS cl, count(*) AS c FROM embeddings GROUP BY ALL),
@@ -356,15 +479,31 @@ def d19(spark, d):
 @query("d20_seed_coverage", "SELECT case_id, round(avg(CASE WHEN track IN (SELECT track FROM train) THEN 1.0 ELSE 0 END), 6) AS rate FROM seeds GROUP BY case_id")
 def d20(spark, d):
     r = Run(spark, d)
-    known = r.train.interactions.select("track").distinct().withColumn("k", F.lit(1.0))
-    return r.seeds.join(known, "track", "left").groupBy("case_id").agg(F.round(F.avg(F.coalesce("k", F.lit(0.0))), 6).alias("rate"))
+    return M.seed_coverage(r.seeds, r.train.interactions)
 
 
 @query("d21_on_target_share", "SELECT case_id, round(avg(CASE WHEN artist = top THEN 1.0 ELSE 0 END), 6) AS fit FROM cfrecs JOIN tracks USING (track) JOIN (SELECT case_id, min(artist) AS top FROM seeds JOIN tracks USING (track) GROUP BY case_id) USING (case_id) WHERE rank <= 20 GROUP BY case_id")
 def d21(spark, d):
     r = Run(spark, d)
-    want = r.seeds.join(r.tracks, "track").groupBy("case_id").agg(F.min("artist").alias("top"))
-    return r.cf_recs.filter("rank <= 20").join(r.tracks, "track").join(want, "case_id").groupBy("case_id").agg(F.round(F.avg(F.when(F.col("artist") == F.col("top"), 1.0).otherwise(0.0)), 6).alias("fit"))
+    want = r.seeds.join(r.tracks, "track").groupBy("case_id").agg(F.min("artist").alias("target"))
+    return M.on_target(r.cf_recs, r.tracks, want)
+
+
+@query("d11_empty_aggregate", "SELECT CAST(0 AS BIGINT) AS n, 0.0::DOUBLE AS r_precision, 0.0::DOUBLE AS ndcg, 51.0::DOUBLE AS clicks UNION ALL SELECT count(*), round(avg(r_precision), 9), round(avg(ndcg), 9), round(avg(clicks), 9) FROM cfm")
+def d11(spark, d):
+    """The mean over no cases, and over all."""
+    r = Run(spark, d)
+    per = M.evaluate(r.cf_recs, r.holdout, r.cases, r.tracks)
+    return M.overall(per.limit(0)).unionByName(M.overall(per))
+
+
+@query("d21_i3_trust_curve")
+def d21c(spark, d):
+    """Each case with a title as a persona who states the opposite of the title's words: fit against trust."""
+    r = Run(spark, d)
+    want = r.seeds.join(r.tracks, "track").groupBy("case_id").agg(F.min("artist").alias("target"))
+    stated = studies.oracle_stated(r.seeds, r.holdout, r.z).filter("mode = 'adversarial'").select("case_id", "stated")
+    return studies.trust_curve(stated.join(want, "case_id"), r.learned, r.z, r.near, r.seeds, r.pop, r.tracks, "artist")
 
 
 @query("d22_delta", "SELECT a.model, a.scenario, a.r_precision, round(a.r_precision - b.r_precision, 6) AS delta FROM summary a JOIN summary b ON a.scenario = b.scenario AND b.model = 'popularity'")
@@ -389,17 +528,25 @@ def e6(spark, d):
 @query("e9_first_hit", "SELECT case_id, min(rank) - 1 AS first FROM cfrecs JOIN holdout USING (case_id, track) GROUP BY case_id")
 def e9(spark, d):
     r = Run(spark, d)
-    return r.cf_recs.join(r.holdout, ["case_id", "track"]).groupBy("case_id").agg((F.min("rank") - 1).alias("first"))
+    return M.first_hits(r.cf_recs, r.holdout)
 
 
-@query("e11_top_axes", f"""SELECT track, a[1].axis AS axis1, round(a[1].value, 8) AS value1, a[2].axis AS axis2, a[3].axis AS axis3 FROM (
-  SELECT track, list_sort([{{'o': -abs(round(z[i] * (i % 4 - 1.5), 8)), 'i': i, 'axis': (['{"','".join(AXES)}'])[i], 'value': z[i] * (i % 4 - 1.5)}} FOR i IN range(1, 16)]) AS a FROM ({_Z}))""")
+_PRODUCTS = "SELECT track, [z[i] * (i % 4 - 1.5) FOR i IN range(1, 16)] AS p FROM ({z})"
+_BY_SIZE = f"[{{{{'o': -abs(p[i]), 'i': i, 'axis': (['{'\',\''.join(AXES)}'])[i], 'value': p[i]}}}} FOR i IN range(1, 16)]"
+
+
+@query("e11_top_axes", f"SELECT track, a[1].axis AS axis1, round(a[1].value, 6) AS value1, a[2].axis AS axis2, a[3].axis AS axis3 FROM (SELECT track, list_sort({_BY_SIZE.format()}) AS a FROM ({_PRODUCTS.format(z=_Z)}))")
 def e11(spark, d):
-    z = Run(spark, d).z.withColumn("z", F.transform("z", lambda x: F.round(x, 6)))
     w = F.array(*[F.lit((i + 1) % 4 - 1.5) for i in range(len(AXES))])
-    top = z.select("track", F.transform(F.sequence(F.lit(0), F.lit(14)), lambda i: F.struct((-F.abs(F.round(F.get("z", i) * F.get(w, i), 8))).alias("o"), i.alias("i"), F.get(F.array(*[F.lit(a) for a in AXES]), i).alias("axis"), (F.get("z", i) * F.get(w, i)).alias("v"))).alias("p"))
-    s = F.slice(F.array_sort("p"), 1, 3)
-    return top.select("track", s[0]["axis"].alias("axis1"), F.round(s[0]["v"], 8).alias("value1"), s[1]["axis"].alias("axis2"), s[2]["axis"].alias("axis3"))
+    s = taste.contributions(F.col("z"), w)
+    return Run(spark, d).rounded_z.select("track", s[0]["axis"].alias("axis1"), s[0]["value"].alias("value1"), s[1]["axis"].alias("axis2"), s[2]["axis"].alias("axis3"))
+
+
+@query("b10_shown_weights", f"SELECT track, array_to_string([x.axis FOR x IN list_sort([y FOR y IN {_BY_SIZE.format()} IF y.o < -0.5])], ' ') AS axes FROM ({_PRODUCTS.format(z=_Z)})")
+def b10(spark, d):
+    w = F.array(*[F.lit((i + 1) % 4 - 1.5) for i in range(len(AXES))])
+    shown = taste.shown_weights(F.zip_with("z", w, lambda a, b: a * b), 0.5)
+    return Run(spark, d).rounded_z.select("track", F.array_join(F.transform(shown, lambda x: x["axis"]), " ").alias("axes"))
 
 
 @query("e12_winners", "SELECT scenario, max(model) FILTER (r = 1) AS winner, max(model) FILTER (r = 2) AS runner_up FROM (SELECT scenario, model, row_number() OVER (PARTITION BY scenario ORDER BY r_precision DESC, model) AS r FROM summary WHERE scenario <> 'OVERALL') GROUP BY scenario")
@@ -453,63 +600,71 @@ def g8(spark, d):
     return routed.fast_route(r.cases, r.seeds)
 
 
-PER_SOURCE = 60
+@query("g8_lists", f"SELECT case_id, rank, track FROM cfrecs WHERE case_id IN (SELECT case_id FROM seeds) OR case_id IN (SELECT case_id FROM cases WHERE coalesce(title, '') = '') UNION ALL SELECT case_id, rank, track FROM trecs WHERE case_id NOT IN (SELECT case_id FROM seeds) AND case_id IN (SELECT case_id FROM cases WHERE coalesce(title, '') <> '')")
+def g8l(spark, d):
+    r = Run(spark, d)
+    return routed.fast_lists(routed.fast_route(r.cases, r.seeds), r.cf_recs, r.title_recs, K)
+
+
 _CAND = f"SELECT DISTINCT case_id, track FROM (SELECT * FROM cfrecs WHERE rank <= {PER_SOURCE} UNION ALL SELECT * FROM trecs WHERE rank <= {PER_SOURCE} UNION ALL SELECT * FROM poprecs WHERE rank <= {PER_SOURCE})"
 _FEATS = f"""SELECT case_id, track, round(CASE WHEN max(coalesce(cf, 0)) OVER (PARTITION BY case_id) > 0 THEN coalesce(cf, 0) / (max(coalesce(cf, 0)) OVER (PARTITION BY case_id) + 1e-9) ELSE 0 END, 6) AS cf, 0.0::DOUBLE AS als, 0.0::DOUBLE AS w2v,
-  round(CASE WHEN c.title IS NULL THEN 0 ELSE coalesce(tr, 0) END, 6) AS title, round(pop / ((SELECT max(pop) FROM pop) + 1e-9), 6) AS pop, CASE WHEN (case_id, artist) IN (SELECT case_id, artist FROM seeds JOIN tracks USING (track)) THEN 1.0 ELSE 0.0 END::DOUBLE AS artist_overlap
+  round(CASE WHEN coalesce(c.title, '') = '' THEN 0 ELSE coalesce(tr, 0) END, 6) AS title, round(pop / ((SELECT max(pop) FROM pop) + 1e-9), 6) AS pop, CASE WHEN (case_id, artist) IN (SELECT case_id, artist FROM seeds JOIN tracks USING (track)) THEN 1.0 ELSE 0.0 END::DOUBLE AS artist_overlap
   FROM ({_CAND}) JOIN cases c USING (case_id) JOIN pop USING (track) JOIN tracks USING (track) LEFT JOIN (SELECT case_id, track, score AS cf FROM cfrecs) USING (case_id, track)
   LEFT JOIN (SELECT case_id, track, 1 - (rank - 1) / count(*) OVER (PARTITION BY case_id) AS tr FROM trecs) USING (case_id, track)"""
 
 
-def _hybrid_features(r: Run) -> DataFrame:
-    sources = {"cf": r.cf_recs, "title": r.title_recs, "pop": r.pop_recs}
-    cand = hybrid.candidates(sources, r.seeds, PER_SOURCE)
-    return hybrid.features(cand, {k: sources[k] for k in ("cf", "title")}, r.cases, r.seeds, r.pop, r.tracks)
+def _three(r: Run) -> DataFrame:
+    return r.hybrid_features({"cf": r.cf_recs, "title": r.title_recs, "pop": r.pop_recs}, r.cases, r.seeds)
 
 
-@query("g6a_hybrid_features", _FEATS)
+@query("g6a_masked_features", _FEATS)
 def g6a(spark, d):
-    return _hybrid_features(Run(spark, d))
+    """The features of the sources that SQL has too, als and w2v left out; g6a_hybrid_features has all of them."""
+    return _three(Run(spark, d))
 
 
-@query("g6_hybrid_equal", f"SELECT case_id, track, round(round(cf, 6) + als + w2v + title + pop + artist_overlap, 6) AS score FROM ({_FEATS})")
+@query("g6_masked_equal", f"SELECT case_id, track, round(round(cf, 6) + als + w2v + title + pop + artist_overlap, 6) AS score FROM ({_FEATS})")
 def g6e(spark, d):
-    return hybrid.equal_score(_hybrid_features(Run(spark, d)))
+    return hybrid.equal_score(_three(Run(spark, d)))
 
 
-def _blended(spark, d, kind: str) -> DataFrame:
-    r = Run(spark, d)
-    cases, seeds, held = hybrid.training_cases(r.train.interactions, r.train.playlists, 100, SEED)
-    cases, seeds = cases.cache(), seeds.cache()
-    cf = itemcf.recommend(r.near, cases, seeds, r.pop, K).cache()
-    tt = title.recommend(r.train.playlists, r.train.interactions, cases, seeds, r.pop, K, NEIGHBOURS).cache()
-    cand = hybrid.candidates({"cf": cf, "title": tt}, seeds, PER_SOURCE)
-    feats = hybrid.features(cand, {"cf": cf, "title": tt}, cases, seeds, r.pop, r.tracks)
-    blender = hybrid.Blender(kind, SEED).fit(hybrid.training_rows(feats, held).cache())
-    return hybrid.recommend(_hybrid_features(r), blender, r.cases, r.seeds, r.pop, K)
+@query("g6a_hybrid_features")
+def g6f(spark, d):
+    """All six features of the candidates of all five sources."""
+    return Run(spark, d).feats
+
+
+@query("g6_hybrid")
+def g6(spark, d):
+    """The whole hybrid: five sources, six features, boosted blender."""
+    return Run(spark, d).hybrid_recs
+
+
+@query("g6_hybrid_equal")
+def g6q(spark, d):
+    return Run(spark, d).blended("equal")
 
 
 @query("g6_hybrid_logreg")
 def g6l(spark, d):
-    return _blended(spark, d, "logreg")
+    return Run(spark, d).blended("logreg")
+
+
+@query("g7_routed_hybrid")
+def g7h(spark, d):
+    """The hybrid and the title model, fused by the number of seeds."""
+    r = Run(spark, d)
+    return routed.fuse(r.hybrid_recs, r.title_recs, routed.weights(r.cases, r.seeds), K)
 
 
 @query("g3_als")
 def g3(spark, d):
-    r = Run(spark, d)
-    v = factors.als_factors(C.counts(r.train.interactions), rank=16, iterations=5)
-    q = factors.fold_in(r.seeds, v, 16)
-    scored = ranking.without(factors.dense_top(q, v, K + 100), r.seeds)
-    return ranking.with_backfill(scored, r.cases, r.seeds, r.pop, K)
+    return Run(spark, d).case_sources["als"]
 
 
 @query("g4_track2vec")
 def g4(spark, d):
-    r = Run(spark, d)
-    v = factors.track_vectors(r.train.interactions, dim=16, epochs=1)
-    q = factors.fold_in(r.seeds, v, 16)
-    scored = ranking.without(factors.dense_top(q, v, K + 100, cosine=True), r.seeds)
-    return ranking.with_backfill(scored, r.cases, r.seeds, r.pop, K)
+    return Run(spark, d).case_sources["w2v"]
 
 
 # ---- taste
@@ -532,18 +687,38 @@ def g9f(spark, d):
     return C.order_features(spark, d).select("track", taste.name_flavour(F.col("axes")).alias("name"))
 
 
-_W = "[(i % 5 - 2.0) * (case_id % 3 + 1) / 6 FOR i IN range(0, 15)]"
+_W = "[CASE WHEN case_id % 7 = 0 THEN 0.0 ELSE (i % 5 - 2.0) * (case_id % 3 + 1) / 6 END FOR i IN range(0, 15)]"
+_TASTE = f"""SELECT case_id, track, round(1.0 * CASE WHEN hi > lo THEN (axis - lo) / (hi - lo) ELSE 0 END + 0.6 * CASE WHEN chi > clo THEN (cf - clo) / (chi - clo) ELSE 0 END, 6) AS score FROM (
+  SELECT *, min(axis) OVER w AS lo, max(axis) OVER w AS hi, min(cf) OVER w AS clo, max(cf) OVER w AS chi FROM (
+    SELECT case_id, track, round(list_sum([z[i] * w[i] FOR i IN range(1, 16)]), 9) AS axis, coalesce(score, 0) AS cf FROM (SELECT case_id, {_W} AS w FROM cases) CROSS JOIN ({_Z}) LEFT JOIN {{cf}} USING (case_id, track)) WINDOW w AS (PARTITION BY case_id))"""
+_FIRST = "SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY score DESC, track) AS BIGINT) AS rank, track, score"
 
 
-@query("g9g_taste_score", f"""SELECT case_id, track, round(1.0 * CASE WHEN hi > lo THEN (axis - lo) / (hi - lo) ELSE 0 END + 0.6 * CASE WHEN chi > clo THEN (cf - clo) / (chi - clo) ELSE 0 END, 6) AS score FROM (
-  SELECT *, min(axis) OVER w AS lo, max(axis) OVER w AS hi, min(cf) OVER w AS clo, max(cf) OVER w AS chi FROM (
-    SELECT case_id, track, round(list_sum([z[i] * w[i] FOR i IN range(1, 16)]), 9) AS axis, coalesce(score, 0) AS cf FROM (SELECT case_id, {_W} AS w FROM cases) CROSS JOIN ({_Z}) LEFT JOIN cfscore USING (case_id, track)) WINDOW w AS (PARTITION BY case_id))""")
+@query("g9g_taste_score", f"{_FIRST} FROM ({_TASTE.format(cf='cfscore')}) QUALIFY rank <= {K}")
 def g9g(spark, d):
     r = Run(spark, d)
-    q = r.cases.select("case_id", F.transform(F.sequence(F.lit(0), F.lit(14)), lambda i: (i % 5 - 2.0) * (F.col("case_id") % 3 + 1) / 6).alias("w"))
     cf = ranking.without(itemcf.scores(r.seeds, r.near).filter("score > 0"), r.seeds)
-    z = r.z.withColumn("z", F.transform("z", lambda x: F.round(x, 6)))
-    return taste.score(q, z, cf.join(q.select("case_id"), "case_id", "left_semi"))
+    return taste.score(r.weights, r.rounded_z, cf, K)
+
+
+#: Collaborative scores of all tracks, seeds among them.
+_ALL_CF = "(SELECT case_id, j AS track, round(sum(sim), 6) AS score FROM seeds JOIN near ON track = i GROUP BY case_id, j)"
+_TAKEN = "(case_id, track) NOT IN (SELECT case_id, track FROM seeds)"
+
+
+@query("g9h_taste_recommend", f"""{_FIRST} FROM ({_TASTE.format(cf=_ALL_CF)}) WHERE {_TAKEN} AND (case_id % 7 <> 0 OR case_id IN (SELECT case_id FROM seeds)) QUALIFY rank <= {K}
+UNION ALL SELECT case_id, rank, track, score FROM poprecs WHERE case_id % 7 = 0 AND case_id NOT IN (SELECT case_id FROM seeds)""")
+def g9h(spark, d):
+    r = Run(spark, d)
+    return taste.recommend(r.weights, r.rounded_z, r.near, r.cases, r.seeds, r.pop, K)
+
+
+@query("g9h_taste_engine")
+def g9e2(spark, d):
+    """The taste engine as a whole: learned weights, blended with what the title says."""
+    r = Run(spark, d)
+    said = r.cases.select("case_id", taste.stated(F.coalesce("title", F.lit(""))).alias("stated"))
+    return taste.recommend(taste.weights_of(r.cases, r.learned, said), r.z, r.near, r.cases, r.seeds, r.pop, K)
 
 
 @query("c16_support", "SELECT r.case_id, r.track, count(DISTINCT s.track) AS n FROM cfrecs r JOIN seeds s ON s.case_id = r.case_id JOIN near n ON n.i = s.track AND n.j = r.track GROUP BY r.case_id, r.track")
@@ -561,24 +736,43 @@ def c15(spark, d):
 @query("g9c_i1_profile")
 def g9c(spark, d):
     r = Run(spark, d)
-    learned = taste.learned(r.seeds, r.z)
     said = r.cases.select("case_id", taste.stated(F.coalesce("title", F.lit(""))).alias("stated"))
-    both = said.join(learned, "case_id")
+    both = said.join(r.learned, "case_id")
     return both.select("case_id", "stated", "learned", taste.blend(F.col("stated"), F.col("learned"), 0.4).alias("w"))
 
 
 @query("g9e_flavours")
 def g9e(spark, d):
-    r = Run(spark, d)
-    return taste.flavours(r.seeds, r.features)
+    return Run(spark, d).flavours
+
 
+def _explained(r: Run) -> DataFrame:
+    w = r.learned.select("case_id", F.col("learned").alias("w"))
+    return taste.explain(r.cf_recs.filter(F.col("rank") <= ranking.clamped(24)), r.seeds, r.near, r.tracks, r.flavours, r.features, r.z, w)
 
-@query("g9i_i2_explain")
+
+@query("g9i_explain")
 def g9i(spark, d):
+    return _explained(Run(spark, d)).drop("support", "same")
+
+
+@query("i2_cards")
+def i2(spark, d):
+    r = Run(spark, d)
+    return taste.cards(_explained(r), r.tracks, r.features)
+
+
+_NEAREST = "SELECT case_id, track, arg_min(name, d) AS flavour FROM (SELECT r.case_id, r.track, f.name, {{'d': round(list_sum([(a.axes[i] - f.c[i]) * (a.axes[i] - f.c[i]) FOR i IN range(1, 16)]), 9), 'n': f.flavour}} AS d FROM (SELECT * FROM cfrecs WHERE rank <= 24) r JOIN feats a USING (track) JOIN ({f}) f ON true) GROUP BY case_id, track"
+#: Three flavours made of corners of the axes, the same for all cases.
+_CORNERS = [(0, "low", 0.1), (1, "middle", 0.5), (2, "high", 0.9)]
+
+
+@query("e10_nearest_flavour", _NEAREST.format(f=" UNION ALL ".join(f"SELECT {i} AS flavour, '{n}' AS name, [CASE WHEN x <= 5 THEN {v} ELSE 0.0 END FOR x IN range(1, 16)] AS c" for i, n, v in _CORNERS)))
+def e10(spark, d):
     r = Run(spark, d)
-    w = taste.learned(r.seeds, r.z).select("case_id", F.col("learned").alias("w"))
-    recs = r.cf_recs.filter("rank <= 10")
-    return taste.explain(recs, r.seeds, r.near, r.tracks, taste.flavours(r.seeds, r.features), r.features, r.z, w)
+    corner = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("flavour"), F.lit(n).alias("name"), F.array(*[F.lit(v if x < 5 else 0.0) for x in range(15)]).alias("centroid")) for i, n, v in _CORNERS]))
+    flavour = r.cases.select("case_id", corner.alias("f")).select("case_id", "f.*")
+    return taste.nearest_flavour(r.cf_recs.filter("rank <= 24"), flavour, r.features)
 
 
 # ---- harness
@@ -586,12 +780,14 @@ def g9i(spark, d):
 
 @query("h1_split", "SELECT pid FROM testp")
 def h1(spark, d):
-    return C.test_pids(C.from_orders(spark, d), N_TEST, SEED)
+    r = Run(spark, d)
+    return C.test_pids(r.all, r.n_lists // TEST_SHARE, SEED)
 
 
 @query("h4_scenarios", "SELECT pid, scenario FROM assigned")
 def h4(spark, d):
-    return S.assign(Run(spark, d).test.interactions.groupBy("pid").agg(F.count("*").alias("n")), QUOTA)
+    r = Run(spark, d)
+    return S.assign(r.test.interactions.groupBy("pid").agg(F.count("*").alias("n")), max(1, r.n_lists // QUOTA_SHARE))
 
 
 @query("h5_cut", "SELECT case_id, ord, track, true AS is_seed FROM seeds UNION ALL SELECT case_id, ord, track, false FROM holdout")
@@ -614,10 +810,11 @@ def h11(spark, d):
     return M.intra_list_similarity(r.cf_recs, r.features, len(AXES))
 
 
-@query("h13_submission_build", f"SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY tier, o, track) AS rank, track FROM (SELECT case_id, track, 0 AS tier, rank AS o FROM cfrecs WHERE rank <= 30 UNION ALL SELECT case_id, track, 1, pop_rank FROM cases, poprank WHERE (case_id, track) NOT IN (SELECT case_id, track FROM cfrecs WHERE rank <= 30) AND (case_id, track) NOT IN (SELECT case_id, track FROM seeds)) QUALIFY rank <= {K}")
+@query("h13_submission_build", f"SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY tier, o, track) AS rank, track FROM (SELECT case_id, track, 0 AS tier, rank AS o FROM cfrecs WHERE rank % 3 > 0 UNION ALL SELECT case_id, track, 1, pop_rank FROM cases, poprank WHERE (case_id, track) NOT IN (SELECT case_id, track FROM cfrecs WHERE rank % 3 > 0) AND (case_id, track) NOT IN (SELECT case_id, track FROM seeds)) QUALIFY rank <= {K}")
 def h13(spark, d):
+    """Two thirds of a model's rows, topped up with popular tracks."""
     r = Run(spark, d)
-    return submission.build(r.cf_recs.filter("rank <= 30"), r.cases, r.seeds, ranking.popular_top(r.pop, 2 * K + 200), K)
+    return submission.build(r.cf_recs.filter("rank % 3 > 0"), r.cases, r.seeds, ranking.popular_top(r.pop, 2 * K + 200), K)
 
 
 @query("h14_validation", "SELECT event_id + 2 AS line, CASE WHEN user_id % 5 = 0 THEN 'pid must be an integer, got u' || user_id WHEN user_id % 5 = 1 THEN 'pid ' || event_id || ' has duplicate track_uris' ELSE 'bad track_uri z' END AS error FROM events WHERE user_id % 5 < 3")
@@ -631,14 +828,96 @@ def h14(spark, d):
 
 @query("i4_sample_lists", "SELECT artist, pid FROM (SELECT artist, pid, row_number() OVER (PARTITION BY artist ORDER BY md5('5:' || pid), pid) AS r FROM (SELECT pid, artist FROM (SELECT pid, artist, row_number() OVER (PARTITION BY pid ORDER BY count(*) DESC, artist) AS q FROM inter JOIN tracks USING (track) GROUP BY pid, artist) WHERE q = 1) JOIN (SELECT pid FROM inter GROUP BY pid HAVING count(*) BETWEEN 12 AND 45) USING (pid)) WHERE r = 1 ORDER BY artist LIMIT 6")
 def i4(spark, d):
-    fits = b6(spark, d).select("pid")
-    top = d17(spark, d).join(fits, "pid", "left_semi")
-    one = top.withColumn("r", F.row_number().over(W.partitionBy("artist").orderBy(md5_order(5, "pid"), "pid"))).filter("r = 1")
-    return one.orderBy("artist").limit(6).select("artist", "pid")
+    return C.sample_lists(C.order_interactions(spark, d), d17(spark, d), "artist")
 
 
 @query("i5_weighted_sample", "SELECT track, pop FROM (SELECT track, pop, round(-ln((CAST('0x' || left(md5('7:' || track), 12) AS BIGINT) + 1) / 281474976710657.0) / (pop + 0.001), 12) AS k FROM allpop) ORDER BY k, track LIMIT 600")
 def i5(spark, d):
     c = C.from_orders(spark, d)
-    pop = ranking.popularity(c.interactions, c.tracks)
-    return pop.withColumn("k", F.round(weighted_key(7, F.col("pop") + 0.001, "track"), 12)).orderBy("k", "track").limit(600).select("track", "pop")
+    return C.sample_tracks(ranking.popularity(c.interactions, c.tracks))
+
+
+# ---- studies
+
+
+@query("h15_verdicts")
+def h15(spark, d):
+    """Whether what holds for lists with a title holds for those without."""
+    r = Run(spark, d)
+    per = cut(M.evaluate(r.recs_of, r.holdout, r.cases, r.tracks, ["popularity", "item_cf", "title"]))
+    titled = r.cases.filter("title is not null").select("case_id")
+    return results.verdicts(M.summarise(per.join(titled, "case_id", "left_semi")), M.summarise(per.join(titled, "case_id", "left_anti")))
+
+
+_SWEPT = " UNION ALL ".join(f"SELECT '{n}' AS topk, count(*) AS n, round(avg(r_precision), 9) AS r_precision, round(avg(ndcg), 9) AS ndcg, round(avg(clicks), 9) AS clicks FROM cf{n}m" for n in SWEEP)
+
+
+@query("h16_sweep_neighbours", _SWEPT)
+def h16(spark, d):
+    r = Run(spark, d)
+    make = lambda n: itemcf.recommend(r.near.filter(F.col("rank") <= n), r.cases, r.seeds, r.pop, K)
+    return studies.sweep(list(SWEEP), make, "topk", r.holdout, r.cases, r.tracks)
+
+
+@query("h16_sweep_normalization")
+def h16n(spark, d):
+    r = Run(spark, d)
+    make = lambda kind: itemcf.recommend(cut(itemcf.fit(r.train.interactions, r.pop, kind, TOPK_SIM)), r.cases, r.seeds, r.pop, K)
+    return studies.sweep(list(itemcf.NORMALIZATIONS), make, "normalization", r.holdout, r.cases, r.tracks)
+
+
+_ALLRECS = "(SELECT 'popularity' AS model, case_id, rank, track FROM poprecs UNION ALL SELECT 'item_cf', case_id, rank, track FROM cfrecs UNION ALL SELECT 'title', case_id, rank, track FROM trecs)"
+_ILS = "SELECT model, case_id, round(CASE WHEN n < 2 THEN 0 ELSE (list_sum([x * x FOR x IN s]) - own) / (n * (n - 1)) END, 6) AS ils FROM (SELECT model, case_id, count(*) AS n, sum(CASE WHEN len > 0 THEN 1.0 ELSE 0 END) AS own, [" + ", ".join(f"sum(axes[{i}] / len)" for i in range(1, 16)) + f"] AS s FROM (SELECT model, case_id, axes, sqrt(list_sum([x * x FOR x IN axes])) AS len FROM {_ALLRECS} JOIN feats USING (track) WHERE rank <= 100) GROUP BY model, case_id)"
+
+
+@query("h17_popularity_bias", f"""SELECT model, coverage, intra_list_sim, coalesce(head_recall, 0.0) AS head_recall, coalesce(torso_recall, 0.0) AS torso_recall, coalesce(tail_recall, 0.0) AS tail_recall FROM
+  (SELECT model, round(count(DISTINCT track) / (SELECT count(*) FROM part), 6) AS coverage FROM {_ALLRECS} GROUP BY model) JOIN (SELECT model, round(avg(ils), 6) AS intra_list_sim FROM ({_ILS}) GROUP BY model) USING (model)
+  LEFT JOIN (SELECT model, {", ".join(f"round(max(hits / demand) FILTER (bucket = '{b}'), 6) AS {b}_recall" for b in ("head", "torso", "tail"))} FROM
+    (SELECT model, bucket, count(*) AS hits FROM {_ALLRECS} JOIN (SELECT DISTINCT case_id, track FROM holdout) USING (case_id, track) JOIN ({_BUCKETS}) USING (track) GROUP BY model, bucket)
+    JOIN (SELECT bucket, count(*) AS demand FROM (SELECT DISTINCT case_id, track FROM holdout) JOIN ({_BUCKETS}) USING (track) GROUP BY bucket) USING (bucket) GROUP BY model) USING (model)""")
+def h17(spark, d):
+    r = Run(spark, d)
+    return M.bias(r.recs_of, r.holdout, M.buckets(r.pop), r.features, r.tracks.count(), K, len(AXES))
+
+
+def _halves(r: Run) -> DataFrame:
+    """Popularity and item-to-item lists of the whole corpus and of halves of it, by hash."""
+
+    def run(part: int | None):
+        inter = r.train.interactions if part is None else r.train.interactions.filter(F.pmod(F.xxhash64("pid"), F.lit(2)) == part)
+        pop = cut(ranking.popularity(inter, r.tracks))
+        near = cut(itemcf.fit(inter, pop, topk=TOPK_SIM))
+        found = {"popularity": ranking.with_backfill(r.none, r.cases, r.seeds, pop, K), "item_cf": itemcf.recommend(near, r.cases, r.seeds, pop, K)}
+        return studies.judged(found, r.holdout, r.cases, r.tracks)
+
+    return cut(studies.runs({"whole": lambda: run(None), "half 0": lambda: run(0), "half 1": lambda: run(1)}, "size"))
+
+
+@query("h17_spread_over_halves")
+def h17s(spark, d):
+    return studies.spread(_halves(Run(spark, d)).filter("size <> 'whole'"))
+
+
+@query("h17_scale")
+def h17z(spark, d):
+    return studies.by_scale(_halves(Run(spark, d)), ["whole", "half 0"])
+
+
+@query("h18_stated_vectors", f"SELECT case_id, mode, round(s * c[1] / len, 6) AS a0, round(s * c[3] / len, 6) AS a2, round(s * c[6] / len, 6) AS a5 FROM (SELECT case_id, c, sqrt(list_sum([x * x FOR x IN c])) AS len FROM (SELECT case_id, [" + ", ".join(f"avg(z[{i}])" for i in range(1, 16)) + f"] AS c FROM (SELECT case_id, track FROM seeds UNION ALL SELECT case_id, track FROM holdout) JOIN ({_Z}) USING (track) GROUP BY case_id)), (VALUES ('honest', 1.0), ('adversarial', -1.0)) AS v(mode, s)")
+def h18(spark, d):
+    r = Run(spark, d)
+    s = studies.oracle_stated(r.seeds, r.holdout, r.rounded_z)
+    return s.select("case_id", "mode", *[F.round(F.get("stated", F.lit(i)), 6).alias(f"a{i}") for i in (0, 2, 5)])
+
+
+@query("h18_trust_study")
+def h18t(spark, d):
+    r = Run(spark, d)
+    return studies.trust_study(studies.oracle_stated(r.seeds, r.holdout, r.z), r.learned, r.z, r.near, r.cases, r.seeds, r.pop, r.holdout, r.tracks, K)
+
+
+@query("h19_axis_ablation")
+def h19(spark, d):
+    r = Run(spark, d)
+    w = taste.weights_of(r.cases, r.learned)
+    return studies.axis_ablation(w, r.z, r.near, r.cases, r.seeds, r.pop, r.holdout, r.tracks, K, AXES[:5])

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,25 +31,41 @@ def scenario_table(spark: SparkSession) -> DataFrame:
 def assign(lengths: DataFrame, per_scenario: int) -> DataFrame:
     """pid, scenario of lists (pid, n): groups by falling n_seed; the r-th eligible list gets scenario r mod S.
 
-    A group takes at most S * per_scenario lists, so each step ranks a bounded top-n by pid.
+    A group takes its first S * per_scenario lists by pid of those that no group before it took. All groups together take
+    at most so many lists as there are scenarios times per_scenario, so of each class of lengths only that many first
+    lists can matter; they are gathered and dealt out in one task.
     """
-    done: list[DataFrame] = []
-    for n_seed in sorted({s[1] for s in SCENARIOS}, reverse=True):
-        names = [s[0] for s in SCENARIOS if s[1] == n_seed]
-        pool = lengths.filter(F.col("n") >= min_length(n_seed)).select("pid")
-        if done:
-            pool = pool.join(reduce(DataFrame.union, [d.select("pid") for d in done]), "pid", "left_anti")
-        head = pool.orderBy("pid").limit(len(names) * per_scenario)
-        r = F.row_number().over(W.orderBy("pid")) - 1
-        # Cut, as each later group plans all earlier ones.
-        done.append(cut(head.select("pid", F.element_at(F.array(*[F.lit(x) for x in names]), F.pmod(r, F.lit(len(names))) + 1).alias("scenario"))))
-    return reduce(DataFrame.union, done)
+    steps = sorted({s[1] for s in SCENARIOS}, reverse=True)
+    most = len(SCENARIOS) * per_scenario
+    kind = F.lit(None).cast("int")
+    for k, n_seed in reversed(list(enumerate(steps))):
+        kind = F.when(F.col("n") >= min_length(n_seed), F.lit(k)).otherwise(kind)
+    at = F.row_number().over(W.partitionBy("kind").orderBy("pid"))
+    first = lengths.select("pid", kind.alias("kind")).filter(F.col("kind").isNotNull()).withColumn("r", at).filter(F.col("r") <= most).select("pid", "kind")
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = list(frames)
+        if not got:
+            return
+        rows = pd.concat(got).sort_values("pid", kind="stable")
+        left = list(zip(rows["pid"], rows["kind"]))
+        out: list[tuple] = []
+        for k, n_seed in enumerate(steps):
+            names = [s[0] for s in SCENARIOS if s[1] == n_seed]
+            fits = [i for i, (_, own) in enumerate(left) if own <= k][: len(names) * per_scenario]
+            out += [(left[i][0], names[r % len(names)]) for r, i in enumerate(fits)]
+            taken = set(fits)
+            left = [x for i, x in enumerate(left) if i not in taken]
+        yield pd.DataFrame(out, columns=["pid", "scenario"])
+
+    pid = lengths.schema["pid"].dataType.simpleString()
+    return first.repartition(1).mapInPandas(deal, f"pid {pid}, scenario string")
 
 
 def build(test: Corpus, per_scenario: int = 1000, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(cases(case_id, scenario, title), seeds(case_id, ord, track), holdout(case_id, ord, track))."""
-    lengths = cut(test.interactions.groupBy("pid").agg(F.count("*").alias("n")))
-    chosen = assign(lengths, per_scenario).join(F.broadcast(scenario_table(test.interactions.sparkSession)), "scenario")
+    lengths = test.interactions.groupBy("pid").agg(F.count("*").alias("n"))
+    chosen = cut(assign(lengths, per_scenario)).join(F.broadcast(scenario_table(test.interactions.sparkSession)), "scenario")
     cases = chosen.join(test.playlists, "pid", "left").select(F.col("pid").alias("case_id"), "scenario", F.when(F.col("use_title"), F.coalesce("title", F.lit(""))).alias("title"))
     items = test.interactions.join(chosen.select("pid", "n_seed", "random"), "pid")
     luck = F.row_number().over(W.partitionBy("pid").orderBy(md5_order(seed, "pid", "pos"), "pos"))

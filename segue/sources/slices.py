@@ -44,9 +44,9 @@ def load(spark: SparkSession, folder: str, max_slices: int | None = None, max_pl
     return corpus_of(lists_of(read_documents(spark, list_slices(spark, folder, max_slices), multi_line=multi_line), max_playlists))
 
 
-def read_challenge(spark: SparkSession, path: str) -> DataFrame:
+def read_challenge(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """pid, title (null if there is none), num_samples, num_holdouts, tracks (array of uri in order)."""
-    p = read_documents(spark, [path], CHALLENGE).select(F.explode("playlists").alias("p"))
+    p = read_documents(spark, [path], CHALLENGE, multi_line).select(F.explode("playlists").alias("p"))
     uris = F.coalesce(F.transform("p.tracks", lambda t: t["track_uri"]), F.array().cast("array<string>"))
     return p.select("p.pid", F.col("p.name").alias("title"), "p.num_samples", "p.num_holdouts", uris.alias("tracks"))
 

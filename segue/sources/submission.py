@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.tables import cut
+
 MOST = 500
 PREFIX = "spotify:track:"
 
@@ -39,19 +41,44 @@ def write(recs: DataFrame, path: str, team: str, contact: str, gzip: bool = Fals
     (out.option("compression", "gzip") if gzip else out).text(path)
 
 
+def write_both(recs: DataFrame, path: str, team: str, contact: str, k: int | None = MOST) -> None:
+    """The file and its gzipped form, in the folders `plain` and `gzip` below path; an error unless each case has k distinct tracks (None: any number)."""
+    per = recs.groupBy("case_id").agg(F.countDistinct("track").alias("n"), F.count("*").alias("rows"))
+    wrong = (F.col("rows") != F.col("n")) | (F.col("n") != (k if k is not None else F.col("n")))
+    bad = per.filter(wrong).limit(1).collect()
+    if bad:
+        raise ValueError(f"case {bad[0]['case_id']} has {bad[0]['n']} distinct tracks, not {k}")
+    write(recs, f"{path}/plain", team, contact)
+    write(recs, f"{path}/gzip", team, contact, gzip=True)
+
+
 def validate(spark: SparkSession, path: str, seeds: DataFrame | None = None) -> DataFrame:
     """line, error of a submission file; no rows if it is valid. seeds: (case_id, track)."""
     return validate_lines(_numbered(spark, path), seeds)
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """line (from 1), value. A file is one text, cut into its lines by place, so the numbers are exact."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("p", "value")).select((F.col("p") + 1).cast("long").alias("line"), "value")
+    """line (from 1), value. Files are read in splits; a line's number is its place in its split after the lines of the splits before."""
+    rows = spark.read.text(path).select(F.col("value"), F.struct("_metadata.file_path", "_metadata.file_block_start").alias("s"), F.monotonically_increasing_id().alias("at"))
+    rows = cut(rows)  # the numbers are of one reading
+    w = W.partitionBy("s").orderBy("at")
+    sizes = rows.groupBy("s").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("s.file_path").orderBy("s.file_block_start").rowsBetween(W.unboundedPreceding, -1))  # a row for each split
+    starts = sizes.select("s", F.coalesce(before, F.lit(0)).alias("before"))
+    own = rows.withColumn("p", F.row_number().over(w)).join(starts, "s")
+    return own.select((F.col("before") + F.col("p")).cast("long").alias("line"), F.regexp_replace("value", r"\r$", "").alias("value"))
+
+
+def fields(line: Column) -> Column:
+    """The fields of a CSV line; a quoted field may hold commas, and quotes written twice."""
+    parts = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',( *"(?:[^"]|"")*" *|[^,]*)'), F.lit(1))
+    plain = lambda c: F.replace(F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit('""'), F.lit('"'))
+    return F.transform(parts, lambda c: F.when(F.startswith(F.trim(c), F.lit('"')), plain(c)).otherwise(F.trim(c)))
 
 
 def validate_lines(numbered: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """line, error of lines (line, value): one rule each, put together."""
-    rows = numbered.select("line", F.transform(F.split("value", ","), lambda c: F.regexp_replace(F.trim(c), '^"|"$', "")).alias("c")).filter(F.exists("c", lambda x: F.trim(x) != ""))
+    rows = numbered.select("line", fields(F.col("value")).alias("c")).filter(F.exists("c", lambda x: F.trim(x) != ""))
     first = rows.agg(F.min("line")).first()[0]
     spark = numbered.sparkSession
     if first is None:

@@ -36,6 +36,12 @@ def text(v):
     return str(v)
 
 
+@pytest.fixture(autouse=True)
+def nothing_stays_cached(spark):
+    yield
+    spark.catalog.clearCache()
+
+
 @pytest.mark.parametrize("name", sorted(Q.QUERIES))
 def test_query(spark, db, name):
     df = Q.QUERIES[name](spark, DIR)
