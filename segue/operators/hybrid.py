@@ -86,9 +86,9 @@ def training_rows(feats: DataFrame, held: DataFrame, seed: int = 0) -> DataFrame
 class Blender:
     """kind: logreg (balanced classes), gbt (120 trees of depth 4), or equal."""
 
-    def __init__(self, kind: str = "gbt", seed: int = 0):
+    def __init__(self, kind: str = "gbt", seed: int = 0, trees: int = 120):
         assert kind in ("gbt", "logreg", "equal"), kind
-        self.kind, self.seed, self.model = kind, seed, None
+        self.kind, self.seed, self.trees, self.model = kind, seed, trees, None
         self.assemble = VectorAssembler(inputCols=FEATURES, outputCol="x")
 
     def fit(self, rows: DataFrame) -> "Blender":
@@ -101,7 +101,7 @@ class Blender:
         if self.kind == "logreg":
             self.model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", regParam=1.0 / n, standardization=False, maxIter=200).fit(data)
         else:
-            self.model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=120, maxDepth=4, stepSize=0.1, minInstancesPerNode=10, seed=self.seed).fit(data)
+            self.model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=self.trees, maxDepth=4, stepSize=0.1, minInstancesPerNode=10, seed=self.seed).fit(data)
         return self
 
     def score(self, feats: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from segue.functions.text import char_grams, char_wb_grams, word_grams
-from segue.operators import factors, hybrid, itemcf, ranking, routed, taste, title
+from segue.operators import dense, factors, hybrid, itemcf, ranking, routed, taste, title
 from segue.plans import corpus as C
+from segue.plans import studies
 from segue.schema import AXES, GENRES
 from segue.sources import generate
 
@@ -23,7 +24,7 @@ def world(spark):
     c = replace(c, tracks=c.tracks.cache(), playlists=c.playlists.cache(), features=c.features.cache())
     inter = c.interactions.cache()
     some = [r.track for r in inter.filter("pid = 3").orderBy("pos").collect()]
-    cases = spark.createDataFrame([(1, "gym workout"), (2, None), (3, ""), (4, "chill vibes"), (5, None)], "case_id long, title string").cache()
+    cases = spark.createDataFrame([(1, "rap garage"), (2, None), (3, ""), (4, "indie dawn"), (5, None)], "case_id long, title string").cache()
     seeds = spark.createDataFrame([(1, 0, some[0]), (1, 1, some[1]), (1, 2, some[0]), (2, 0, some[2]), (2, 1, some[3]), (2, 2, some[4]), (3, 0, "unknown")], "case_id long, ord long, track string").cache()
     pop = ranking.popularity(inter, c.tracks).cache()
     return c, inter, cases, seeds, pop
@@ -72,7 +73,7 @@ def test_contract_and_item_cf_equals_brute_force(spark, world):
 
 def test_title_equals_brute_force(spark, world):
     c, inter, cases, seeds, pop = world
-    got = check(title.recommend(c.playlists, inter, cases, seeds, pop, K, neighbours_n=9), seeds)
+    got = check(title.recommend(title.fit(c.playlists), inter, cases, seeds, pop, K, neighbours_n=9), seeds)
     titles = {r.pid: r.title for r in c.playlists.collect()}
 
     def grams(t):
@@ -92,7 +93,7 @@ def test_title_equals_brute_force(spark, world):
         s = math.sqrt(sum(x * x for x in v.values()))
         return {g: x / s for g, x in v.items()} if s else {}
 
-    q = unit(grams("gym workout"))
+    q = unit(grams("rap garage"))
     sims = sorted(((round(sum(q[g] * x for g, x in unit(b).items() if g in q), 6), pid) for pid, b in bags.items()), key=lambda y: (-y[0], y[1]))[:10]
     p = {r.track: r["pop"] for r in pop.collect()}
     pool = Counter()
@@ -116,16 +117,14 @@ def test_grams(spark):
     assert d.select(word_grams(F.col("t"))).collect()[1][0] == ["bc"]
 
 
-def test_factor_models(spark, world):
+def test_factor_models_on_text_keys(spark, world):
     c, inter, cases, seeds, pop = world
-    ids = {r.track: i for i, r in enumerate(c.tracks.orderBy("track").collect())}
-    m = F.create_map(*[F.lit(x) for kv in ids.items() for x in kv])
-    num = lambda df: df.withColumn("track", F.try_element_at(m, F.col("track")).cast("long"))
-    ni, ns, np_ = num(inter), num(seeds).filter("track is not null"), num(pop)
-    for v, cos in ((factors.als_factors(C.counts(ni), rank=8, iterations=3), False), (factors.track_vectors(ni, dim=8, epochs=1, partitions=2), True)):
-        q = factors.fold_in(ns, v, 8)
+    named = inter.withColumn("pid", F.concat(F.lit("list"), F.col("pid").cast("string")))
+    for v, cos in ((factors.als_factors(C.counts(named), rank=8, iterations=3), False), (factors.track_vectors(inter, dim=8, epochs=1, partitions=2), True)):
+        assert v.schema["track"].dataType.simpleString() == "string"
+        check(factors.recommend(v, 8, cases, seeds, pop, K, cos), seeds)
+        q = factors.fold_in(seeds, v, 8)
         top = factors.dense_top(q, v, 40, cos)
-        check(ranking.with_backfill(ranking.without(top, ns), cases, ns, np_, K), ns)
         vec = {r.track: np.array(r.vector) for r in v.collect()}
         query = next(np.array(r.q) for r in q.collect() if r.case_id == 2)
         s = {t: (x @ query) / (np.linalg.norm(x) * np.linalg.norm(query) if cos else 1) for t, x in vec.items()}
@@ -133,6 +132,39 @@ def test_factor_models(spark, world):
         assert abs(best.score - max(s.values())) < 1e-5
 
 
+def test_dense_ids_have_no_gaps(spark):
+    for keys in (["b", "a", "c", "a"], [2**40, -5, 2**40, 7], []):
+        d = spark.createDataFrame([(k,) for k in keys], "k string" if keys and isinstance(keys[0], str) else "k long")
+        got = {r.k: r.id for r in factors.dense_ids(d, "k").collect()}
+        assert sorted(got.values()) == list(range(len(set(keys)))) and set(got) == set(keys)
+
+
+def test_dense_cells_equal_brute_force(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    q, v = r.normal(size=(23, 5)), r.normal(size=(140, 5))
+    queries = spark.createDataFrame([(f"c{i}", x.tolist()) for i, x in enumerate(q)], "case_id string, q array<double>")
+    vectors = spark.createDataFrame([(i * 10**10, x.tolist()) for i, x in enumerate(v)], "track long, vector array<double>")
+    for n_q, n_v in ((4096, 1 << 16), (4, 16)):
+        monkeypatch.setattr(dense, "QUERIES", n_q)
+        monkeypatch.setattr(dense, "TRACKS", n_v)
+        monkeypatch.setattr(dense, "STEP", 3)
+        got = {}
+        for x in dense.dense_top(queries, vectors, 7).collect():
+            got.setdefault(x.case_id, set()).add((x.track, round(x.score, 6)))
+        s = q @ v.T
+        assert got == {f"c{i}": {(int(j) * 10**10, round(float(row[j]), 6)) for j in np.argsort(-row)[:7]} for i, row in enumerate(s)}
+        low = {x.case_id: (round(x.low, 6), round(x.high, 6)) for x in dense.dense_bounds(queries, vectors).collect()}
+        assert low == {f"c{i}": (round(float(row.min()), 6), round(float(row.max()), 6)) for i, row in enumerate(s)}
+    assert dense.dense_top(queries.limit(0), vectors, 7).count() == dense.dense_top(queries, vectors.limit(0), 7).count() == 0
+
+
+def test_long_lists_are_unfolded_in_parts(spark, world, monkeypatch):
+    inter = world[1].filter("pid < 30")
+    whole = {tuple(r) for r in itemcf.cooccurrence(C.counts(inter)).collect()}
+    monkeypatch.setattr(itemcf, "PLACES", 7)
+    assert {tuple(r) for r in itemcf.cooccurrence(C.counts(inter)).collect()} == whole
+
+
 def test_routing(spark):
     d = spark.createDataFrame([(0, "x"), (1, "x"), (4, "x"), (5, "x"), (9, "x"), (10, "x"), (0, None), (0, "  ")], "n long, t string")
     assert [r[0] for r in d.select(routed.route_weight(F.col("n"), F.col("t"))).collect()] == [1.0, 0.6, 0.6, 0.35, 0.35, 0.0, 0.0, 0.0]
@@ -147,22 +179,19 @@ def test_routing(spark):
 
 def test_hybrid(spark, world):
     c, inter, cases, seeds, pop = world
-    near = itemcf.fit(inter, pop, topk=20)
-    make = lambda cs, sd: {"cf": itemcf.recommend(near, cs, sd, pop, K).cache(), "title": title.recommend(c.playlists, inter, cs, sd, pop, K).cache()}
+    near, model = itemcf.fit(inter, pop, topk=20).cache(), [d.cache() for d in title.fit(c.playlists)]
+    make = lambda cs, sd: {"cf": itemcf.recommend(near, cs, sd, pop, K).cache(), "title": title.recommend(model, inter, cs, sd, pop, K).cache()}
     src = make(cases, seeds)
     cand = hybrid.candidates(src, seeds, 20)
     feats = hybrid.features(cand, src, cases, seeds, pop, c.tracks).cache()
-    assert feats.filter("case_id = 2 and title > 0").count() == 0
+    assert feats.filter("case_id in (2, 3) and title > 0").count() == 0  # neither a null nor a blank title has a title feature
     assert hybrid.features(cand, src, cases, seeds, pop, c.tracks, drop=("pop",)).agg(F.max("pop")).first()[0] == 0
-    tc, ts, held = hybrid.training_cases(inter, c.playlists, 8)
+    tc, ts, held = hybrid.training_cases(inter, c.playlists, 40)
     tsrc = make(tc.cache(), ts.cache())
     rows = hybrid.training_rows(hybrid.features(hybrid.candidates(tsrc, ts, 20), tsrc, tc, ts, pop, c.tracks), held).cache()
     for kind in ("equal", "logreg", "gbt"):
-        b = hybrid.Blender(kind)
-        if kind == "gbt":
-            b.fit(rows.limit(300))
-        else:
-            b.fit(rows)
+        b = hybrid.Blender(kind, trees=5).fit(rows)
+        assert (b.model is None) == (kind == "equal")
         check(hybrid.recommend(feats, b, cases, seeds, pop, K), seeds)
 
 
@@ -182,11 +211,59 @@ def test_taste(spark, world):
     assert all(abs(s - 1) < 1e-9 for s in share.values()) and set(share) == {1, 2}
     w = taste.learned(seeds, z).select("case_id", F.col("learned").alias("w")).cache()
     near = itemcf.fit(inter, pop, topk=20).cache()
-    s = taste.score(w, z, itemcf.scores(seeds, near))
+    cf = itemcf.scores(seeds, near).cache()
+    s = taste.score(w, z, cf)
     assert s.count() == 2 * 150
+    zs, ws, score = {r.track: np.array(r.z) for r in z.collect()}, {r.case_id: np.array(r.w) for r in w.collect()}, {(r.case_id, r.track): r.score for r in cf.collect()}
+    for case in (1, 2):
+        scaled = lambda d: {t: (x - min(d.values())) / (max(d.values()) - min(d.values())) for t, x in d.items()}
+        a, f = scaled({t: x @ ws[case] for t, x in zs.items()}), scaled({t: score.get((case, t), 0.0) for t in zs})
+        want = {t: a[t] + 0.6 * f[t] for t in zs}
+        assert all(abs(r.score - want[r.track]) < 1e-5 for r in s.filter(f"case_id = {case}").collect())
+        five = taste.score(w, z, cf, 5).filter(f"case_id = {case}").orderBy("rank").collect()
+        assert np.allclose([r.score for r in five], sorted(want.values(), reverse=True)[:5], atol=1e-5)
+    blank = taste.weights_of(cases, taste.learned(seeds, z), None).cache()
+    full = check(taste.recommend(blank, z, near, cases, seeds, pop, K), seeds)
+    p = {r.track: r["pop"] for r in pop.collect()}
+    popular = sorted(p, key=lambda t: (-p[t], t))
+    assert full[3] == full[4] == full[5] == popular[:K] and full[1] != popular[:K]
+    said = cases.select("case_id", taste.stated(F.when(F.col("case_id") == 4, "slow sad country")).alias("stated"))
+    told = check(taste.recommend(taste.weights_of(cases, taste.learned(seeds, z), said), z, near, cases, seeds, pop, K), seeds)
+    assert told[4] != popular[:K] and told[5] == popular[:K] and told[1] == full[1]
     recs = check(ranking.with_backfill(ranking.without(s.filter("score > 0"), seeds), w, seeds, pop, K), seeds, 2)
     assert recs
     top = ranking.with_backfill(ranking.without(s.filter("score > 0"), seeds), w, seeds, pop, 5)
     e = taste.explain(top, seeds, near, c.tracks, fl, c.features, z, w).collect()
     assert len(e) == 10 and all(r.reasons and len(r.axes) == 3 for r in e)
+    shown = taste.cards(taste.explain(top, seeds, near, c.tracks, fl, c.features, z, w), c.tracks, c.features).collect()
+    assert len(shown) == 10 and {r.score for r in shown if r["rank"] == 1} == {1.0} and all(r.genre in GENRES and len(r.scalars) == 5 for r in shown)
+    drawn = spark.range(1).select(taste.shown_weights(F.array(*[F.lit(x) for x in [0.5, -0.9, 0.0, 1e-5, 0.5] + [0.0] * 10])).alias("x")).first().x
+    assert [r.axis for r in drawn] == ["energy", "tempo", "lyrical_depth"] and ranking.clamped(100) == 60 and ranking.clamped(0) == 1
     assert taste.payload({"tempo": 0.5, "bad": 1, "energy": 0}, ["rap", "none"]) == {"tempo": 0.5, "genre:rap": 1.0} and GENRES
+
+
+def test_studies(spark, world):
+    c, inter, cases, seeds, pop = world
+    near = itemcf.fit(inter, pop, topk=20).cache()
+    z = taste.standardise(c.features).cache()
+    holdout = spark.createDataFrame([(1, 0, r.track) for r in inter.filter("pid = 5").collect()] + [(2, 0, r.track) for r in inter.filter("pid = 6").collect()], "case_id long, ord long, track string").cache()
+    asked = cases.filter("case_id < 3").withColumn("scenario", F.lit("s")).cache()
+    own = seeds.filter("case_id < 3").cache()
+    learned = taste.learned(own, z).cache()
+    stated = studies.oracle_stated(own, holdout, z).cache()
+    by = {(r.case_id, r.mode): np.array(r.stated) for r in stated.collect()}
+    assert len(by) == 4 and np.allclose(by[1, "honest"], -by[1, "adversarial"]) and abs(np.linalg.norm(by[2, "honest"]) - 1) < 1e-9
+    t = {(r.mode, r.trust): r.r_precision for r in studies.trust_study(stated, learned, z, near, asked, own, pop, holdout, c.tracks, K, (0.0, 1.0)).collect()}
+    assert t["honest", 0.0] == t["adversarial", 0.0] and t["honest", 1.0] >= t["adversarial", 1.0]
+    w = taste.weights_of(asked, learned).cache()
+    a = {r.axis: r.delta for r in studies.axis_ablation(w, z, near, asked, own, pop, holdout, c.tracks, K, ["tempo", "energy"]).collect()}
+    assert set(a) == {"(none)", "tempo", "energy"} and a["(none)"] == 0
+    target = spark.createDataFrame([(1, "x"), (2, "y")], "case_id long, target string")
+    curve = studies.trust_curve(stated.filter("mode = 'honest'").join(target, "case_id"), learned, z, near, own, pop, c.tracks, "artist", 5, (0.0, 0.5)).collect()
+    assert len(curve) == 4 and all(r.fit == 0 for r in curve)
+    swept = studies.sweep([1, 20], lambda n: itemcf.recommend(near.filter(F.col("rank") <= n), asked, own, pop, K), "topk", holdout, asked, c.tracks).collect()
+    assert {r.topk for r in swept} == {"1", "20"} and all(r.n == 2 for r in swept)
+    runs = studies.runs({"a": lambda: studies.judged({"p": itemcf.recommend(near, asked, own, pop, K)}, holdout, asked, c.tracks), "b": lambda: studies.judged({"p": itemcf.recommend(near, asked, own, pop, 5)}, holdout, asked, c.tracks)}, "size").cache()
+    s = studies.spread(runs).collect()
+    assert len(s) == 1 and s[0].r_precision_std >= 0
+    assert studies.by_scale(runs, ["a", "b"]).count() == 2

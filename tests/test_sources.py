@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from segue.plans import corpus as C
+from segue.plans import metrics as M
 from segue.schema import AXES
 from segue.sources import features, generate, results, slices, submission, zips
 from segue.streaming import popularity as stream
@@ -95,6 +96,10 @@ def test_generated_corpus(spark):
     assert c.interactions.dropDuplicates(["pid", "track"]).count() == c.interactions.count()
     assert c.features.count() == 300 and len(c.features.first().axes) == len(AXES)
     assert c.playlists.filter("title = ''").count() < 30
+    shares = [r["share"] for r in M.shares(c.interactions.join(c.tracks, "track"), "home").collect()]
+    assert len(shares) == 10 and abs(sum(shares) - 1) < 1e-4
+    one = c.interactions.join(c.tracks, "track").groupBy("pid", "home").agg(F.count("*").alias("n")).groupBy("pid").agg((F.max("n") / F.sum("n")).alias("top")).agg(F.avg("top")).first()[0]
+    assert 0.6 < one < 0.95  # mostly one archetype
     again = generate.make(spark, 120, 300, seed=3)
     assert again.interactions.exceptAll(c.interactions).count() == 0
 
@@ -113,6 +118,20 @@ def test_submission(spark, tmp_path):
     errs = submission.validate_lines(spark.createDataFrame([(i + 1, v) for i, v in enumerate(bad)], "line long, value string")).collect()
     assert sorted((e.line, e.error.split()[0]) for e in errs) == [(1, "first"), (2, "pid"), (3, "pid"), (4, "bad"), (4, "duplicate"), (5, "pid")]
     assert submission.validate_lines(spark.createDataFrame([(1, "")], "line long, value string")).first().error == "missing team_info line"
+    with open(str(tmp_path / "long.csv"), "w") as f:  # read in several splits: line numbers still count from the file's first line
+        f.write("team_info,t,a@b.c\r\n" + "".join(f"{i},spotify:track:a\n" if i % 1000 else "x\n" for i in range(1, 20_001)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert sorted(e.line for e in submission.validate(spark, str(tmp_path / "long.csv")).collect()) == [i + 1 for i in range(1000, 20_001, 1000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    quoted = spark.createDataFrame([('a, "b, ""c""" ,,d',), ("",), ('"x"',)], "v string").select(submission.fields(F.col("v"))).collect()
+    assert [r[0] for r in quoted] == [["a", 'b, "c"', "", "d"], [""], ["x"]]
+    submission.write_both(recs.filter("case_id = 1"), str(tmp_path / "both"), "team", "me@x.org", 2)
+    assert submission.validate(spark, str(tmp_path / "both/plain")).count() == submission.validate(spark, str(tmp_path / "both/gzip")).count() == 0
+    with pytest.raises(ValueError, match="case 2"):
+        submission.write_both(recs, str(tmp_path / "bad"), "team", "me@x.org", 2)
     cases = spark.createDataFrame([(1,), (2,), (3,)], "case_id long")
     pop = spark.createDataFrame([(f"spotify:track:{c}", i + 1) for i, c in enumerate("abcdef")], "track string, pop_rank long")
     full = submission.build(recs, cases, seeds, pop, 4).collect()
