@@ -1,11 +1,12 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again.
 
-1. toxicity: documents predicted toxic go; 2. near-duplicates by exact shingle similarity (min-hash
-bands find them; the stage keeps its name): one document of each group stays; 3. decontamination: documents that hold a benchmark window go; 4. PII: entities are replaced
-by surrogates; 5. byte-level BPE: texts are encoded, and the texts returned are decoded from the ids.
-All stages but the last return the columns of documents. Null and empty texts, null ids, repeated
-rows and further columns pass as each operator defines; a column whose name clashes with one that an
-operator makes is kept by stages that do not make it.
+1. toxicity: documents predicted toxic go; 2. near-duplicates: one document of each group stays, groups being linked by
+an exact similarity of five-word shingles of 0.8 or more, with candidates from the SimHash operator and, for what its
+bits cannot tell, from min-hash bands; 3. decontamination: documents that hold a benchmark window go; 4. PII: entities
+are replaced by surrogates; 5. byte-level BPE: texts are encoded, and the texts returned are decoded from the ids.
+All stages but the last return the columns of documents. Null and empty texts, null ids, repeated rows and further
+columns pass as each operator defines; a column whose name clashes with one that an operator makes is kept by stages
+that do not make it. Texts of any length and groups of any size pass whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segue.functions.tables import remove_folder, shared_folder
 from segue.llm import bpe, decontaminate, pii, similar, toxicity
-from segue.llm._common import shared_folder, table
+from segue.llm._common import table
 from segue.llm.queries import PII_KEY, VOCABULARY
 
 
@@ -78,4 +80,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}.parquet")
         docs = spark.read.parquet(f"{folder}/{k}.parquet")
+        if k:  # what the stage before wrote has been read
+            remove_folder(spark, f"{folder}/{k - 1}.parquet")
     return docs
