@@ -38,3 +38,12 @@ def test_operator_and_its_edges(spark):
     enc = plain()
     assert sorted((str(r.doc_id), r.text or "", r.ids, bytes(r.decoded)) for r in out) == sorted((str(i), t or "", enc.encode_ordinary(t or ""), (t or "").encode()) for i, t, _ in rows)
     assert bpe.encode(docs.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_equal_long_texts_and_clashing_columns(spark):
+    long = "word 12 " * 400
+    rows = [(i, long if i % 2 else long + str(i), i) for i in range(12)]
+    docs = spark.createDataFrame(rows, "__row long, text string, k long").repartition(5)
+    out = bpe.encode(docs.withColumnRenamed("__row", "cuts"), PATH, P.PATTERN, chunk=300, overlap=40).collect()
+    enc = plain()
+    assert sorted((r.cuts, r.k, r.ids) for r in out) == sorted((i, k, enc.encode_ordinary(t)) for i, t, k in rows)

@@ -37,6 +37,67 @@ def test_reputation_shrinks(spark):
     assert verdicts(spark, [], []) == {}
 
 
+def test_urls_repeat_tie_and_run_long(spark):
+    long = "http://" + "a" * 5000 + ".co.uk/" + "x/" * 100_000
+    pages = [(1, "http://s.co.uk/en/", 0), (1, "http://s.co.uk/en/", 0), (2, long, 0), (3, "http://10.0.0.1/p", 0), (4, "http://t.co.uk/en/x", 0)]
+    got = verdicts(spark, pages, [(i, 0, 1) for i in (1, 1, 1)], rules=[("co.uk", "/en/", "block"), ("co.uk", "/en/", "block")])
+    assert got[1].rule == got[4].rule == "co.uk/en/" and got[1].verdict == "block" and got[2].rule is None and len(got[2].path) == 200_001
+    p = spark.createDataFrame(pages, PAGES)
+    lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert urls.judge(p, lab).count() == len(pages)
+    doubled = spark.createDataFrame([("co.uk", "/en/", "block")] * 2, "rule_host string, rule_path string, verdict string")
+    assert urls.judge(p, lab, rules=doubled).count() == len(pages)
+    d = p.select(urls.registered_domain(F.lit("a.b.co.uk")), urls.registered_domain(F.lit("10.0.0.1")), urls.registered_domain(F.lit("x.y.org"))).first()
+    assert tuple(d) == ("b.co.uk", "10.0.0.1", "y.org")
+
+
+def plain_reputation(hosts, z=1.645):
+    """The shrinkage level by level over a dict of host -> (bad, labelled); suffix and domain as the operator has them."""
+    domain = lambda h: h if re.fullmatch(r"[0-9.]+", h) else ".".join(h.split(".")[-3:]) if ".".join(h.split(".")[-2:]) in urls.TWO_LABEL_SUFFIXES else ".".join(h.split(".")[-2:])
+    suffix = lambda h: ".".join(h.split(".")[-2:]) if ".".join(h.split(".")[-2:]) in urls.TWO_LABEL_SUFFIXES else h.split(".")[-1]
+
+    def grouped(name):
+        out = {}
+        for h, (x, n) in hosts.items():
+            a, b = out.get(name(h), (0, 0))
+            out[name(h)] = (a + x, b + n)
+        return out
+
+    def strength(groups):
+        own = [(x, n) for x, n in groups.values() if n]
+        total, bad = sum(n for _, n in own), sum(x for x, _ in own)
+        p, g = bad / total, len(own)
+        within = p * (1 - p)
+        down = within * (total - sum(n * n for _, n in own) / total - (g - 1))
+        rho = (sum(x * x / n for x, n in own) - total * p * p - (g - 1) * within) / down if down else None
+        return round(min(1000.0, max(1.0, 1 / rho - 1)) if rho is not None and rho > 0 else 1000.0, 6)
+
+    s, d = grouped(suffix), grouped(lambda h: (suffix(h), domain(h)))
+    m = sum(x for x, _ in s.values()) / sum(n for _, n in s.values())
+    k1, k2, k3 = strength(s), strength(d), strength(hosts)
+    out = {}
+    for h, (x, n) in hosts.items():
+        mean = (k1 * m + s[suffix(h)][0]) / (k1 + s[suffix(h)][1])
+        mean = (k2 * mean + d[suffix(h), domain(h)][0]) / (k2 + d[suffix(h), domain(h)][1])
+        mean = (k3 * mean + x) / (k3 + n)
+        out[h] = mean - z * (mean * (1 - mean) / (k3 + n + 1)) ** 0.5
+    return out
+
+
+def test_reputation_equals_brute_force_with_all_kinds_of_hosts(spark):
+    r = random.Random(3)
+    names = ["a.co.uk", "b.a.co.uk", "10.0.0.1", "10.0.0.2", "x.y.org", "z.y.org", "org", "q.com.au", "p.q.com.au", "w.net"]
+    pages = [(i, f"http://{names[i % 10]}/{i}", 0) for i in range(300)]
+    labels = [(i, int(r.random() < (i % 10) / 10), 0) for i in range(0, 300, 2)]
+    hosts = {n: (sum(1 for i, q, _ in labels if names[i % 10] == n and q == 0), sum(1 for i, *_ in labels if names[i % 10] == n)) for n in names}
+    want = plain_reputation(hosts)
+    got = verdicts(spark, pages, labels, rules=[])
+    for i, _, _ in pages:
+        assert abs(got[i].bad_mean - got[i % 10].bad_mean) < 1e-12
+    seen = {got[i].host: got[i].verdict for i in got}
+    assert seen == {h: "block" if b > 0.5 else "allow" for h, b in want.items()}
+
+
 def plain_hits(texts, items, size=10):
     words = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if w]
     out = []
