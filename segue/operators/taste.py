@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -103,7 +105,7 @@ def learned(seeds: DataFrame, z: DataFrame, pool: int = 2000, seed: int = 0) ->
         pdf = pdf.sort_values("track")
         own = np.array(pdf["z"].tolist(), float)
         free = zs[~np.isin(ids, pdf["track"].to_numpy())]
-        r = np.random.default_rng([seed, int(pdf["case_id"].iloc[0]) & 0x7FFFFFFF])
+        r = np.random.default_rng([seed, zlib.crc32(str(pdf["case_id"].iloc[0]).encode())])
         take = min(len(free), max(50, 5 * len(own)))
         neg = free[r.permutation(len(free))[:take]]
         unit = lambda v: v / np.linalg.norm(v) if np.linalg.norm(v) > 1e-9 else v
@@ -113,7 +115,7 @@ def learned(seeds: DataFrame, z: DataFrame, pool: int = 2000, seed: int = 0) ->
             c = unit(0.5 * c + 0.5 * unit(coef))
         return pd.DataFrame({"case_id": [pdf["case_id"].iloc[0]], "learned": [c.tolist()]})
 
-    fitted = rows.groupBy("case_id").applyInPandas(fit, "case_id long, learned array<double>")
+    fitted = rows.groupBy("case_id").applyInPandas(fit, f"case_id {seeds.schema['case_id'].dataType.simpleString()}, learned array<double>")
     return cent.join(fitted, "case_id", "left").select("case_id", F.coalesce("learned", "centroid").alias("learned"))
 
 
@@ -165,7 +167,7 @@ def flavours(seeds: DataFrame, features: DataFrame, k: int = 3, seed: int = 0) -
         return pd.DataFrame({"case_id": pdf["case_id"].iloc[0], "flavour": np.arange(len(rows)), "centroid": [r[2] for r in rows], "share": [-r[0] for r in rows]})
 
     rows = seeds.join(features, "track").select("case_id", "ord", "axes")
-    got = rows.groupBy("case_id").applyInPandas(cluster, "case_id long, flavour long, centroid array<double>, share double")
+    got = rows.groupBy("case_id").applyInPandas(cluster, f"case_id {seeds.schema['case_id'].dataType.simpleString()}, flavour long, centroid array<double>, share double")
     return got.select("case_id", "flavour", name_flavour(F.col("centroid")).alias("name"), "centroid", "share")
 
 

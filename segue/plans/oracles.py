@@ -22,22 +22,32 @@ CTE["test"] = "SELECT * FROM inter WHERE pid IN (SELECT pid FROM testp)"
 CTE["pop"] = "SELECT track, coalesce(c, 0) AS pop FROM tracks LEFT JOIN (SELECT track, count(*) AS c FROM train GROUP BY track) USING (track)"
 CTE["poprank"] = "SELECT track, pop, row_number() OVER (ORDER BY pop DESC, track) AS pop_rank FROM pop"
 CTE["allpop"] = "SELECT track, coalesce(c, 0) AS pop FROM tracks LEFT JOIN (SELECT track, count(*) AS c FROM inter GROUP BY track) USING (track)"
-CTE["lens"] = "SELECT pid, count(*) AS n FROM test GROUP BY pid"
-
-_used: list[str] = []
-for _n in sorted({s[1] for s in SCENARIOS}, reverse=True):
-    _names = [s[0] for s in SCENARIOS if s[1] == _n]
-    _skip = "".join(f" AND pid NOT IN (SELECT pid FROM {u})" for u in _used)
-    _list = "[" + ", ".join(f"'{x}'" for x in _names) + "]"
-    CTE[f"g{_n}"] = f"SELECT pid, ({_list})[CAST(r % {len(_names)} AS BIGINT) + 1] AS scenario FROM (SELECT pid, row_number() OVER (ORDER BY pid) - 1 AS r FROM lens WHERE n >= {min_length(_n)}{_skip}) WHERE r < {len(_names)} * (SELECT greatest(1, count(DISTINCT pid) // {QUOTA_SHARE}) FROM inter)"
-    _used.append(f"g{_n}")
-CTE["assigned"] = " UNION ALL ".join(f"SELECT * FROM {u}" for u in _used)
 CTE["spec"] = "SELECT * FROM (VALUES " + ", ".join(f"('{s}', {n}, {str(t).lower()}, {str(r).lower()})" for s, n, t, r in SCENARIOS) + ") AS v(scenario, n_seed, use_title, random)"
+
+
+def scenario_tables(prefix: str, lists: str, quota: str) -> None:
+    """The assignment and the cut of the lists (pid, pos, track) of a table."""
+    CTE[f"{prefix}lens"] = f"SELECT pid, count(*) AS n FROM {lists} GROUP BY pid"
+    used: list[str] = []
+    for n in sorted({s[1] for s in SCENARIOS}, reverse=True):
+        names = [s[0] for s in SCENARIOS if s[1] == n]
+        skip = "".join(f" AND pid NOT IN (SELECT pid FROM {u})" for u in used)
+        choice = "[" + ", ".join(f"'{x}'" for x in names) + "]"
+        CTE[f"{prefix}g{n}"] = f"SELECT pid, ({choice})[CAST(r % {len(names)} AS BIGINT) + 1] AS scenario FROM (SELECT pid, row_number() OVER (ORDER BY pid) - 1 AS r FROM {prefix}lens WHERE n >= {min_length(n)}{skip}) WHERE r < {len(names)} * {quota}"
+        used.append(f"{prefix}g{n}")
+    CTE[f"{prefix}assigned"] = " UNION ALL ".join(f"SELECT * FROM {u}" for u in used)
+    CTE[f"{prefix}items"] = f"""SELECT pid AS case_id, pos, track, CASE WHEN random THEN luck <= n_seed ELSE pos < n_seed END AS is_seed FROM (
+    SELECT pid, pos, track, n_seed, random, row_number() OVER (PARTITION BY pid ORDER BY md5('{SEED}:' || pid || ':' || pos), pos) AS luck FROM {lists} JOIN {prefix}assigned USING (pid) JOIN spec USING (scenario))"""
+    for name, which in (("seeds", "is_seed"), ("holdout", "NOT is_seed")):
+        CTE[f"{prefix}{name}"] = f"SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY pos) - 1 AS ord, track FROM {prefix}items WHERE {which}"
+
+
+scenario_tables("", "test", f"(SELECT greatest(1, count(DISTINCT pid) // {QUOTA_SHARE}) FROM inter)")
 CTE["cases"] = "SELECT pid AS case_id, scenario, CASE WHEN use_title THEN coalesce(title, '') END AS title FROM assigned JOIN spec USING (scenario) LEFT JOIN titles USING (pid)"
-CTE["items"] = f"""SELECT pid AS case_id, pos, track, CASE WHEN random THEN luck <= n_seed ELSE pos < n_seed END AS is_seed FROM (
-    SELECT pid, pos, track, n_seed, random, row_number() OVER (PARTITION BY pid ORDER BY md5('{SEED}:' || pid || ':' || pos), pos) AS luck FROM test JOIN assigned USING (pid) JOIN spec USING (scenario))"""
-CTE["seeds"] = "SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY pos) - 1 AS ord, track FROM items WHERE is_seed"
-CTE["holdout"] = "SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY pos) - 1 AS ord, track FROM items WHERE NOT is_seed"
+#: Suppliers as lists: long enough for 100 seeds.
+LONG_QUOTA = 3
+CTE["longinter"] = "SELECT l_suppkey AS pid, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate) - 1 AS BIGINT) AS pos, l_partkey AS track FROM lineitem"
+scenario_tables("long", "longinter", str(LONG_QUOTA))
 CTE["cnt"] = "SELECT pid, track, count(*) AS cnt FROM train GROUP BY pid, track"
 CTE["co"] = "SELECT a.track AS i, b.track AS j, CAST(sum(a.cnt * b.cnt) AS BIGINT) AS v FROM cnt a JOIN cnt b ON a.pid = b.pid AND a.track <> b.track GROUP BY i, j"
 CTE["sim"] = "SELECT i, j, v / (sqrt(CAST(p.pop AS DOUBLE) * q.pop) + 10.0) AS sim FROM co JOIN pop p ON p.track = i JOIN pop q ON q.track = j"

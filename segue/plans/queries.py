@@ -19,8 +19,8 @@ from ..sources import generate, results, slices, submission
 from . import corpus as C
 from . import metrics as M
 from . import scenarios as S
-from . import studies
-from .oracles import K, NEIGHBOURS, QUOTA_SHARE, SEED, SWEEP, TEST_SHARE, TOPK_SIM, sql
+from . import challenge, studies
+from .oracles import K, LONG_QUOTA, NEIGHBOURS, QUOTA_SHARE, SEED, SWEEP, TEST_SHARE, TOPK_SIM, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -600,7 +600,10 @@ def g8(spark, d):
     return routed.fast_route(r.cases, r.seeds)
 
 
-@query("g8_lists", f"SELECT case_id, rank, track FROM cfrecs WHERE case_id IN (SELECT case_id FROM seeds) OR case_id IN (SELECT case_id FROM cases WHERE coalesce(title, '') = '') UNION ALL SELECT case_id, rank, track FROM trecs WHERE case_id NOT IN (SELECT case_id FROM seeds) AND case_id IN (SELECT case_id FROM cases WHERE coalesce(title, '') <> '')")
+_FAST = f"SELECT case_id, rank, track FROM cfrecs WHERE case_id IN (SELECT case_id FROM seeds) OR case_id IN (SELECT case_id FROM cases WHERE coalesce(title, '') = '') UNION ALL SELECT case_id, rank, track FROM trecs WHERE case_id NOT IN (SELECT case_id FROM seeds) AND case_id IN (SELECT case_id FROM cases WHERE coalesce(title, '') <> '')"
+
+
+@query("g8_lists", _FAST)
 def g8l(spark, d):
     r = Run(spark, d)
     return routed.fast_lists(routed.fast_route(r.cases, r.seeds), r.cf_recs, r.title_recs, K)
@@ -796,6 +799,26 @@ def h5(spark, d):
     return r.seeds.withColumn("is_seed", F.lit(True)).unionByName(r.holdout.withColumn("is_seed", F.lit(False)))
 
 
+def _long_lists(spark, d) -> C.Corpus:
+    """Suppliers as lists of what they delivered."""
+    items = C.table(spark, d, "lineitem")
+    w = W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
+    inter = items.select(F.col("l_suppkey").alias("pid"), (F.row_number().over(w) - 1).cast("long").alias("pos"), F.col("l_partkey").alias("track"))
+    return C.Corpus(cut(inter), inter.select("pid").distinct().withColumn("title", F.lit("t")), inter.select("track").distinct())
+
+
+@query("h4_long_scenarios", "SELECT pid, scenario FROM longassigned")
+def h4g(spark, d):
+    """Lists of over 120 tracks: all ten scenarios."""
+    return S.assign(_long_lists(spark, d).interactions.groupBy("pid").agg(F.count("*").alias("n")), LONG_QUOTA)
+
+
+@query("h5_long_cut", "SELECT case_id, ord, track, true AS is_seed FROM longseeds UNION ALL SELECT case_id, ord, track, false FROM longholdout")
+def h5g(spark, d):
+    _, seeds, holdout = S.build(_long_lists(spark, d), LONG_QUOTA, SEED)
+    return seeds.withColumn("is_seed", F.lit(True)).unionByName(holdout.withColumn("is_seed", F.lit(False)))
+
+
 @query("h6_h7_h8_metrics", "SELECT case_id, scenario, r_precision, ndcg, clicks FROM cfm")
 def h6(spark, d):
     r = Run(spark, d)
@@ -817,6 +840,17 @@ def h13(spark, d):
     return submission.build(r.cf_recs.filter("rank % 3 > 0"), r.cases, r.seeds, ranking.popular_top(r.pop, 2 * K + 200), K)
 
 
+@query("h13_challenge", _FAST)
+def h13c(spark, d):
+    """The cases as a challenge set, answered as a submission."""
+    r = Run(spark, d)
+    tracks = F.transform(F.array_sort(F.collect_list(F.struct("ord", "track"))), lambda x: x["track"])
+    kind = r.seeds.schema["track"].dataType.simpleString()
+    asked = r.cases.join(r.seeds.groupBy("case_id").agg(tracks.alias("tracks")), "case_id", "left")
+    asked = asked.select(F.col("case_id").alias("pid"), "title", F.coalesce("tracks", F.array().cast(f"array<{kind}>")).alias("tracks"))
+    return challenge.answer(r.train, asked, K, TOPK_SIM, NEIGHBOURS)
+
+
 @query("h14_validation", "SELECT event_id + 2 AS line, CASE WHEN user_id % 5 = 0 THEN 'pid must be an integer, got u' || user_id WHEN user_id % 5 = 1 THEN 'pid ' || event_id || ' has duplicate track_uris' ELSE 'bad track_uri z' END AS error FROM events WHERE user_id % 5 < 3")
 def h14(spark, d):
     e = C.table(spark, d, "events")
