@@ -10,9 +10,11 @@ partition and probes the index with all values within the partition's threshold;
 of an index value are verified on all 64 bits.
 
 Exact copies are one fingerprint before any of this. An index value that holds more than `BLOCK`
-fingerprints is dealt into blocks, which are probed by separate tasks. A block reports a
-spanning forest of its links instead of the links, so groups of any size give few edges;
-components are those of all links.
+fingerprints is looked up by further bits too: a linked pair differs in at most `tau` of the bits outside
+the partition, so of tau + 1 groups of those one is equal. What still is hot then (fingerprints that are
+close to each other indeed) is dealt into blocks, which are probed by separate tasks. A block reports a
+spanning forest of its links instead of the links, so groups of any size give few edges; components are
+those of all links.
 
 A stricter second look is optional: `wide_tau` also asks that of 256 bits (the 64 and three more words
 made of the same shingle hashes) at most so many differ. That estimates the shingle similarity closely
@@ -239,23 +241,22 @@ def forest(a: np.ndarray, b: np.ndarray, tau: int, wide_tau: int | None = None)
 
 
 def _links(tau: int, wide_tau: int | None, n_words: int):
-    """Rows sorted by (i, value, block, side): the index side of a block, then its probes in any number."""
+    """Rows sorted by (key, block, side): the index side of a block, then its probes in any number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, index = None, np.empty((0, 1 + n_words), np.uint64)
+        own, index = None, np.empty((0, 1 + n_words), np.uint64)
         for b in batches:
-            i, value, block, side = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            rows = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(4, 5 + n_words)], axis=1).view(np.uint64)
-            new = np.flatnonzero((i[1:] != i[:-1]) | (value[1:] != value[:-1]) | (block[1:] != block[:-1])) + 1
-            edges = [0, *new.tolist(), len(i)]
+            key, block, side = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            rows = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(3, 4 + n_words)], axis=1).view(np.uint64)
+            new = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
+            edges = [0, *new.tolist(), len(key)]
             got_u, got_v = [], []
             for a, z in zip(edges, edges[1:]):
                 if a == z:
                     continue
-                own = (i[a], value[a], block[a])
                 here = a + int(np.searchsorted(side[a:z], 1))
-                if own != key:
-                    key, index = own, rows[a:here]
+                if (key[a], block[a]) != own:
+                    own, index = (key[a], block[a]), rows[a:here]
                 elif here > a:
                     index = np.concatenate((index, rows[a:here]))
                 if len(index) and here < z:
@@ -269,6 +270,12 @@ def _links(tau: int, wide_tau: int | None, n_words: int):
     return run
 
 
+def further_masks(bits: list[int], tau: int) -> list[int]:
+    """Masks of tau + 1 groups of the bits outside a partition."""
+    rest = [b for b in range(BITS) if b not in bits]
+    return [signed(mask_of(rest[k :: tau + 1])) for k in range(tau + 1)]
+
+
 def link(nodes: DataFrame, tau: int = 4, wide_tau: int | None = None) -> DataFrame:
     """Edges (u, v) whose components are those of all linked pairs of nodes (node: a distinct long, fp, and fp1, fp2, fp3 if wide)."""
     bounded_batches(nodes.sparkSession)
@@ -282,15 +289,28 @@ def link(nodes: DataFrame, tau: int = 4, wide_tau: int | None = None) -> DataFra
         flips = [signed(mask_of(list(c))) for k in range(t + 1) for c in combinations(bits, k)]
         one = nodes.select(*carried, F.lit(i).alias("i"), F.explode(F.transform(F.lit(flips), lambda x: x.bitwiseXOR(value(i)))).alias("value"))
         probes = one if probes is None else probes.unionByName(one)
-    # Values with many fingerprints are dealt into blocks; each probe goes to all blocks of its value.
-    hot = cut(index.groupBy("i", "value").agg(F.count("*").alias("c")).filter(F.col("c") > BLOCK).select("i", "value", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")))
-    spread = lambda d: d.join(hot, ["i", "value"], "left") if not hot.isEmpty() else d.withColumn("blocks", F.lit(None).cast("int"))
+    hot = cut(index.groupBy("i", "value").agg(F.count("*").alias("c")).filter(F.col("c") > BLOCK).select("i", "value", F.lit(True).alias("hot")))
+    any_hot = not hot.isEmpty()
+    plain = F.xxhash64("i", "value")
+    masks = F.get(F.array(*[F.array(*[F.lit(m) for m in further_masks(bits, tau)]) for bits, _ in parts]), F.col("i"))
+
+    def keyed(d: DataFrame) -> DataFrame:
+        if not any_hot:
+            return d.select(*carried, plain.alias("key"))
+        further = F.transform(masks, lambda m, j: F.xxhash64(plain, j, F.col("fp").bitwiseAND(m)))
+        return d.join(hot, ["i", "value"], "left").select(*carried, F.explode(F.when(F.col("hot"), further).otherwise(F.array(plain))).alias("key"))
+
+    placed, sent = keyed(index), keyed(probes)
+    # Keys that still have many fingerprints are dealt into blocks; each probe goes to all blocks of its key.
+    still = cut(placed.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > BLOCK).select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))) if any_hot else None
+    dealt = any_hot and not still.isEmpty()
+    spread = lambda d: d.join(still, "key", "left") if dealt else d.withColumn("blocks", F.lit(None).cast("int"))
     block = F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks"))).cast("int")
-    placed = spread(index).select("i", "value", block.alias("block"), F.lit(0).alias("side"), *carried)
     everywhere = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sent = spread(probes).select("i", "value", everywhere.alias("block"), F.lit(1).alias("side"), *carried)
-    order = ["i", "value", "block"]
-    return placed.unionByName(sent).repartition(*order).sortWithinPartitions(*order, "side").mapInArrow(_links(tau, wide_tau, len(carried) - 1), "u long, v long")
+    rows = spread(placed).select("key", block.alias("block"), F.lit(0).alias("side"), *carried)
+    rows = rows.unionByName(spread(sent).select("key", everywhere.alias("block"), F.lit(1).alias("side"), *carried))
+    order = ["key", "block"]
+    return rows.repartition(*order).sortWithinPartitions(*order, "side").mapInArrow(_links(tau, wide_tau, len(carried) - 1), "u long, v long")
 
 
 def components(ids: DataFrame, tau: int = 4, wide_tau: int | None = None) -> DataFrame:

@@ -64,14 +64,20 @@ def test_groups_equal_brute_force(spark):
         assert got == {simhash.signed(f): least.get(want[f]) for f in fps}
 
 
-def test_hot_values_are_dealt_into_blocks(spark, monkeypatch):
+def test_hot_values_take_further_bits_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 16)
     r = random.Random(4)
     base = r.getrandbits(64)
-    fps = {base ^ sum(1 << b for b in r.sample(range(40), 3)) for _ in range(150)}
-    got = simhash.components(nodes(spark, [(i, simhash.signed(f)) for i, f in enumerate(sorted(fps))]), 4).collect()
-    want = plain_components(sorted(fps), 4)
+    # One dense group, and unlike fingerprints that share their first half: hot by their partitions, cold by further bits.
+    dense = {base ^ sum(1 << b for b in r.sample(range(40), 3)) for _ in range(150)}
+    half = r.getrandbits(32) << 32
+    apart = {half | r.getrandbits(32) for _ in range(150)}
+    pairs = {f ^ 1 for f in list(apart)[:20]}
+    fps = sorted(dense | apart | pairs)
+    got = simhash.components(nodes(spark, [(i, simhash.signed(f)) for i, f in enumerate(fps)]), 4).collect()
+    want = plain_components(fps, 4)
     assert len({x.root for x in got}) == len(set(want.values()))
+    assert all(len(simhash.further_masks([0, 5, 63], t)) == t + 1 and sum(m.bit_count() if m >= 0 else (m + (1 << 64)).bit_count() for m in simhash.further_masks([0, 5, 63], t)) == 61 for t in (2, 4, 6))
 
 
 def test_forest_spans_all_links():
