@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,7 +50,7 @@ class Run:
 
     def make_all(self):
         c = C.from_orders(self.spark, self.dir)
-        return C.Corpus(cut(c.interactions), cut(c.playlists), cut(c.tracks))
+        return replace(c, interactions=cut(c.interactions))
 
     def make_tracks(self):
         return self.all.tracks

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from segue.functions.text import char_grams, char_wb_grams, word_grams
 from segue.operators import dense, factors, hybrid, itemcf, ranking, routed, taste, title
 from segue.plans import corpus as C
-from segue.plans import studies
+from segue.plans import challenge, studies
 from segue.schema import AXES, GENRES
 from segue.sources import generate
 
@@ -267,3 +267,18 @@ def test_studies(spark, world):
     s = studies.spread(runs).collect()
     assert len(s) == 1 and s[0].r_precision_std >= 0
     assert studies.by_scale(runs, ["a", "b"]).count() == 2
+
+
+def test_challenge_is_answered_and_valid(spark, world, tmp_path):
+    c, inter, cases, seeds, pop = world
+    named = replace(c, interactions=inter.withColumn("track", F.concat(F.lit("spotify:"), F.col("track"))), tracks=c.tracks.withColumn("track", F.concat(F.lit("spotify:"), F.col("track"))))
+    some = [f"spotify:{r.track}" for r in inter.filter("pid = 3").orderBy("pos").limit(4).collect()]
+    asked = spark.createDataFrame([(1, "rap garage", some[:2]), (2, "folk dawn", []), (3, None, some), (4, None, []), (5, "x", ["spotify:track:gone"])], "pid long, title string, tracks array<string>")
+    meta = challenge.submit(named, asked, str(tmp_path / "s"), "team", "me@x.org", 20)
+    assert meta["cases"] == 5 and meta["tracks"] == 100 and meta["errors"] == 0 and meta["seed_coverage"] == round(2 / 3, 4)
+    got = {}
+    for r in challenge.answer(named, asked, 20).orderBy("case_id", "rank").collect():
+        got.setdefault(r.case_id, []).append(r.track)
+    assert all(len(set(x)) == 20 for x in got.values()) and not set(got[3]) & set(some)
+    p = {f"spotify:{r.track}": r["pop"] for r in pop.collect()}
+    assert got[4] == got[5] == sorted(p, key=lambda t: (-p[t], t))[:20] != got[2]
