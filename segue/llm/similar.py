@@ -181,7 +181,8 @@ def _split(members: DataFrame, edges: DataFrame) -> DataFrame:
 def link(docs: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
     """Edges (u, v) whose components are those of all linked pairs of nodes (node, row, fp, keys)."""
     alike = simhash.components(nodes.select(F.col("node").alias("doc_id"), "fp", F.col("fp").alias("node")), TAU)
-    by_bits = nodes.select("node", "fp").join(alike.select(F.col("node").alias("fp"), "component_id"), "fp")
+    sizes = nodes.groupBy("fp").agg(F.count("*").alias("c"))
+    by_bits = spread_join(nodes.select("node", "fp"), alike.select(F.col("node").alias("fp"), "component_id"), "fp", sizes, nodes.count(), "node")
     bands = nodes.select("node", F.explode("keys").alias("key")).unionByName(by_bits.select("node", F.xxhash64(F.lit("simhash"), "component_id").alias("key")))
     shared = bands.groupBy("key").agg(F.count("*").alias("c"), F.expr("bit_xor(xxhash64(node))").alias("who")).filter("c > 1")
     chosen = cut(shared.groupBy("c", "who").agg(F.min("key").alias("key")).select("key", "c", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")))
