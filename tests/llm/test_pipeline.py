@@ -3,7 +3,11 @@ import random
 import pytest
 
 import corpus_pipeline
-from segue.llm import bpe, chat, simhash
+from pyspark.sql import functions as F
+
+from segue.llm import bpe, chat, pii, simhash, toxicity
+from tests.llm.test_native import plain_hits, plain_surrogates
+from tests.llm.test_similar import brute
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -47,3 +51,35 @@ def test_stages_keep_columns_and_empty_tables(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     assert chat and simhash
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Stage by stage in plain Python: trees' scores, all pairs, all windows, entities one by one, the tokenizer's own ids.
+    With exact and near copies in number, a very long text, personal data and benchmark passages."""
+    r = random.Random(40)
+    rows = [(i, ("you moron " if i % 5 == 0 else "") + text(i)) for i in range(150)]
+    words = text(1000, 120).split()
+    rows += [(200 + i, " ".join(words)) for i in range(60)]  # one group of copies
+    for i in range(40):  # and of near copies
+        w = list(words)
+        w[r.randrange(120)] = f"own{i}"
+        rows.append((300 + i, " ".join(w)))
+    rows += [(400, "the start " + text(2000, 60_000)), (401, text(900, 30) + " tail " + text(401)), (402, text(402) + " by Maria Lopez, maria.lopez@mail.example.org; Lopez again")]
+    rows += [(403, "Anna Meier " + text(403, 9)), (404, "short item"), (405, "10.20.30.40 and 10.20.30.41")]
+    write(spark, str(tmp_path), [(i, t, "en", "s", len(t)) for i, t in rows])
+    out = {x.doc_id: (x.text, x.ids) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    left = [(i, t) for (i, t), s in zip(rows, model.score([t for _, t in rows])) if s < 0.5]
+    first = brute([(i, t) for i, t in left if i != 400], 0.8) | {400}
+    left = [(i, t) for i, t in left if i in first]
+    hits = plain_hits([t for _, t in left], [(1, text(900, 30)), (2, "short item")])
+    left = [(i, t) for (i, t), (_, n, _) in zip(left, hits) if n == 0]
+    d = spark.createDataFrame(left, "doc_id long, text string")
+    table = {x.entity: x.surrogate for x in pii.checked(d.select(F.explode(pii.entities(F.col("text"))).alias("entity")).distinct(), corpus_pipeline.PII_KEY).collect()}
+    enc = bpe.codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    want = {i: plain_surrogates(t, table) for i, t in left}
+    assert set(out) == set(want) and {200, 400, 402, 403, 405} <= set(out) and not {401, 404, 201, 300} & set(out)
+    assert all(out[i] == (t, enc.encode(t)) for i, t in want.items())
+    assert want[402] != dict(rows)[402]
