@@ -72,7 +72,8 @@ def spread_join(big: DataFrame, small: DataFrame, key: str, sizes: DataFrame, to
     n = F.coalesce("__parts", F.lit(1))
     left = big.join(hot, key, "left").withColumn("__part", F.pmod(F.xxhash64(salt), n).cast("int")).drop("__parts")
     right = small.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), n - 1))).drop("__parts")
-    return left.join(right, [key, "__part"], how).drop("__part")
+    # Merged, not broadcast: a table of two keys takes a page of memory in every executor however few rows it has.
+    return left.join(right.hint("merge"), [key, "__part"], how).drop("__part")
 
 
 def sha_hex(c: Column) -> Column:
