@@ -2,17 +2,15 @@
 
 Two texts are linked if their sets of shingles have a Jaccard similarity of `similarity` or more; the
 groups are the components of all links. Candidates are what the SimHash operator (simhash.py, by its
-pigeonhole partitions) puts into one component at `tau` differing bits. At a similarity of 0.8 the spread
+pigeonhole partitions) links at TAU differing bits. At a similarity of 0.8 the spread
 of that distance is so wide that a bound that loses no pairs takes in a share of all pairs of the corpus,
 and one that keeps them out loses pairs: so min-hash bands find the rest. Every node has BANDS keys of ROWS
 min-hashes; a pair of similarity s shares no key with probability (1 - s ** ROWS) ** BANDS: 2.7e-5 at 0.8,
 less above. Each candidate pair is compared shingle by shingle before it is linked.
 
-Texts of equal shingles are one node. Only nodes that share a key (a SimHash component or a band) are read
-again for their shingles, and keys with the same nodes are looked at once. Keys with more than BLOCK nodes
-are dealt into blocks: first each block is compared within itself, then one node of each group found so far
-with those of other blocks, and only keys whose nodes still are not one group are compared whole, each pair
-of blocks in a cell. So a large group of near-copies costs about its size, and no pair is left out.
+Texts of equal shingles are one node. Only nodes that share a key (a SimHash star or a band) are read again
+for their shingles, and keys with the same nodes are looked at once. Keys with more than BLOCK nodes are dealt
+into blocks; each pair of blocks is a task's cell, which reports a spanning forest of its links.
 
 Defined results: texts without words are one group; a text of fewer words than a shingle is one
 shingle; null ids and repeated rows are rows of their group, which keeps one row, that of its smallest
@@ -153,59 +151,24 @@ def _cells(similarity: float):
     return run
 
 
-def _compare(cells: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges (u, v) of cells (key, p, q, b, node): the nodes of block p with those of block q, or among themselves if p = q."""
-    order = ["key", "p", "q"]
-    full = cells.join(sets, "node").select(*order, "b", "node", "shingles")
-    return cut(full.repartition(*order).sortWithinPartitions(*order, "b", "node").mapInArrow(_cells(similarity), "u long, v long"))
-
-
-def _dealt(members: DataFrame, across: bool) -> DataFrame:
-    """Cells of members (key, blocks, node): the blocks, or all pairs of different ones."""
-    b = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    m = members.select("key", "node", "blocks", b.alias("b"))
-    if not across:
-        return m.select("key", F.col("b").alias("p"), F.col("b").alias("q"), "b", "node")
-    spread = m.select("key", "node", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x")).filter("b <> x")
-    return spread.select("key", F.least("b", "x").alias("p"), F.greatest("b", "x").alias("q"), "b", "node")
-
-
-def _split(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """key, node, root of those members (key, node) whose key has nodes of more than one group of the edges."""
-    roots = connected_components(edges)
-    own = cut(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
-    open_keys = own.groupBy("key").agg((F.min("root") != F.max("root")).alias("open")).filter("open").select("key")
-    return cut(own.join(open_keys, "key", "left_semi"))
-
-
 def link(docs: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
     """Edges (u, v) whose components are those of all linked pairs of nodes (node, row, fp, keys)."""
-    alike = simhash.components(nodes.select(F.col("node").alias("doc_id"), "fp", F.col("fp").alias("node")), TAU)
-    sizes = nodes.groupBy("fp").agg(F.count("*").alias("c"))
-    by_bits = spread_join(nodes.select("node", "fp"), alike.select(F.col("node").alias("fp"), "component_id"), "fp", sizes, nodes.count(), "node")
-    bands = nodes.select("node", F.explode("keys").alias("key")).unionByName(by_bits.select("node", F.xxhash64(F.lit("simhash"), "component_id").alias("key")))
+    # A SimHash edge leads to the centre of its star: the star is a key, without looking for components.
+    star = cut(simhash.link(nodes.select(F.col("fp").alias("node"), "fp").distinct(), TAU).distinct())
+    star = star.select(F.col("u").alias("fp"), "v").unionByName(star.select(F.col("v").alias("fp"), "v").distinct())
+    by_bits = nodes.select("node", "fp").join(star, "fp").select("node", F.xxhash64(F.lit("simhash"), "v").alias("key"))
+    bands = nodes.select("node", F.explode("keys").alias("key")).unionByName(by_bits)
     shared = bands.groupBy("key").agg(F.count("*").alias("c"), F.expr("bit_xor(xxhash64(node))").alias("who")).filter("c > 1")
     chosen = cut(shared.groupBy("c", "who").agg(F.min("key").alias("key")).select("key", "c", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")))
     n = chosen.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     members = cut(spread_join(bands, chosen.select("key", "blocks"), "key", chosen.select("key", "c"), n, "node"))
     wanted = members.select("node").distinct().join(nodes.select("node", "row"), "node").select("row")
-    sets = _sets(docs, wanted, width)
-    hot = members.filter("blocks > 1")
-    if hot.isEmpty():
-        return _compare(_dealt(members, False), sets, similarity)
-    sets = cut(sets)
-    edges = _compare(_dealt(members, False), sets, similarity)
-    # One node of each group found within the blocks stands for it; most large keys are one group after that.
-    left = _split(hot.select("key", "node"), edges)
-    few = left.groupBy("key", "root").agg(F.min("node").alias("node"))
-    sizes = few.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    few = cut(few.join(sizes, "key").select("key", "node", "blocks"))
-    edges = edges.unionByName(_compare(_dealt(few, False), sets, similarity))
-    still = _split(left.select("key", "node"), edges).select("key", "node")
-    if still.isEmpty():
-        return edges
-    whole = still.join(hot.select("key", "blocks").distinct(), "key")
-    return edges.unionByName(_compare(_dealt(whole, True), sets, similarity))
+    b = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    spread = members.select("key", "node", b.alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
+    cells = spread.select("key", F.least("b", "x").alias("p"), F.greatest("b", "x").alias("q"), "b", "node")
+    order = ["key", "p", "q"]
+    full = cells.join(_sets(docs, wanted, width), "node").select(*order, "b", "node", "shingles")
+    return full.repartition(*order).sortWithinPartitions(*order, "b", "node").mapInArrow(_cells(similarity), "u long, v long")
 
 
 def groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

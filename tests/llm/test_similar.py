@@ -50,8 +50,8 @@ def test_pairs_only(spark):
     assert kept == {2 * g for g in range(100)} | {2 * g + 1 for g in range(1, 100, 2)}
 
 
-def test_a_large_group_of_near_copies_costs_its_size(spark, monkeypatch):
-    """Chains and a dense group in one hot key: the cross cells are met only where blocks and their first nodes leave groups apart."""
+def test_a_large_group_of_near_copies_in_blocks(spark, monkeypatch):
+    """A dense group in one hot key, and a chain of texts whose ends are unlike each other."""
     monkeypatch.setattr(similar, "BLOCK", 8)
     r = random.Random(21)
     base = [f"w{r.randrange(10**6)}" for _ in range(200)]
