@@ -198,7 +198,7 @@ def bias(recs: DataFrame, holdout: DataFrame, bucket: DataFrame, vectors: DataFr
     covered = top.select("model", "track").distinct().groupBy("model").agg(F.round(F.count("*") / float(max(1, n_catalogue)), 6).alias("coverage"))
     # A case of a model is a case of its own for the lists' similarity.
     named = recs.select(F.struct("model", "case_id").alias("case_id"), "rank", "track")
-    alike = intra_list_similarity(named, vectors, size).groupBy(F.col("case_id.model").alias("model")).agg(F.round(F.avg("ils"), 6).alias("intra_list_sim"))
+    alike = intra_list_similarity(named, vectors, size).groupBy(F.col("case_id.model").alias("model")).agg(F.round(F.avg("ils"), 4).alias("intra_list_sim"))
     demand = holdout.select("case_id", "track").distinct().join(bucket, "track")
     hits = top.select("model", "case_id", "track").distinct().join(demand, ["case_id", "track"]).groupBy("model", "bucket").agg(F.count("*").alias("hits"))
     wanted = demand.groupBy("bucket").agg(F.count("*").alias("demand"))

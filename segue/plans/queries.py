@@ -906,7 +906,7 @@ _ILS = "SELECT model, case_id, round(CASE WHEN n < 2 THEN 0 ELSE (list_sum([x *
 
 
 @query("h17_popularity_bias", f"""SELECT model, coverage, intra_list_sim, coalesce(head_recall, 0.0) AS head_recall, coalesce(torso_recall, 0.0) AS torso_recall, coalesce(tail_recall, 0.0) AS tail_recall FROM
-  (SELECT model, round(count(DISTINCT track) / (SELECT count(*) FROM part), 6) AS coverage FROM {_ALLRECS} GROUP BY model) JOIN (SELECT model, round(avg(ils), 6) AS intra_list_sim FROM ({_ILS}) GROUP BY model) USING (model)
+  (SELECT model, round(count(DISTINCT track) / (SELECT count(*) FROM part), 6) AS coverage FROM {_ALLRECS} GROUP BY model) JOIN (SELECT model, round(avg(ils), 4) AS intra_list_sim FROM ({_ILS}) GROUP BY model) USING (model)
   LEFT JOIN (SELECT model, {", ".join(f"round(max(hits / demand) FILTER (bucket = '{b}'), 6) AS {b}_recall" for b in ("head", "torso", "tail"))} FROM
     (SELECT model, bucket, count(*) AS hits FROM {_ALLRECS} JOIN (SELECT DISTINCT case_id, track FROM holdout) USING (case_id, track) JOIN ({_BUCKETS}) USING (track) GROUP BY model, bucket)
     JOIN (SELECT bucket, count(*) AS demand FROM (SELECT DISTINCT case_id, track FROM holdout) JOIN ({_BUCKETS}) USING (track) GROUP BY bucket) USING (bucket) GROUP BY model) USING (model)""")
