@@ -5,9 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """The cluster names a shared folder; one is set here only where none is and all runs in one process (tests)."""
@@ -19,11 +23,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="segue-"))
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What runs inside leaves no shuffle files behind; they would stay until the driver collects its garbage."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows as written below the checkpoint folder: later steps neither plan nor compute them again, and know their size
     (a checkpoint keeps the estimate of the plan before it, which multiplies with each join of a loop)."""
     path = shared_folder(df.sparkSession, "cut")
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -139,8 +139,17 @@ def test_pids(corpus: Corpus, n_test: int, seed: int = 0) -> DataFrame:
 
 
 def split(corpus: Corpus, test: DataFrame | int, seed: int = 0) -> tuple[Corpus, Corpus]:
-    """(train, test) by the pids held out, or by how many of them; both keep the whole catalogue."""
-    test = test_pids(corpus, test, seed) if isinstance(test, int) else test
+    """(train, test) by the pids held out, or by how many of them; both keep the whole catalogue.
+
+    The first so many pids in hash order are those up to the last one of them, so a number needs no join with the interactions.
+    """
+    if isinstance(test, int):
+        at = F.struct(md5_order(seed, "pid").alias("h"), "pid")
+        last = test_pids(corpus, test, seed).agg(F.max(at).alias("m")).first()["m"] if test > 0 else None
+        held = at <= F.struct(F.lit(last["h"]).alias("h"), F.lit(last["pid"]).alias("pid")) if last else F.lit(False)
+        own = corpus.interactions.filter(held)
+        lists = lambda how: corpus.playlists.join(own.select("pid").distinct(), "pid", how)
+        return replace(corpus, interactions=corpus.interactions.filter(~held), playlists=lists("left_anti")), replace(corpus, interactions=own, playlists=lists("left_semi"))
     pick = lambda how: replace(corpus, interactions=corpus.interactions.join(test, "pid", how), playlists=corpus.playlists.join(test, "pid", how))
     return pick("left_anti"), pick("left_semi")
 

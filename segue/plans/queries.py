@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text, vectors
 from ..functions.sampling import md5_order, weighted_key
 from ..functions.tables import cut, shared_folder
-from ..operators import factors, hybrid, itemcf, ranking, routed, taste, title
+from ..operators import blocks, factors, hybrid, itemcf, ranking, routed, taste, title
 from ..schema import AXES, GENRES, SCALAR_AXES
 from ..sources import features as feature_sources
 from ..sources import generate, results, slices, submission
@@ -59,7 +59,7 @@ class Run:
         return self.all.interactions.select("pid").distinct().count()
 
     def make_parts(self):
-        return C.split(self.all, cut(C.test_pids(self.all, self.n_lists // TEST_SHARE, SEED)))
+        return tuple(replace(c, interactions=cut(c.interactions)) for c in C.split(self.all, self.n_lists // TEST_SHARE, SEED))
 
     def make_train(self):
         return self.parts[0]
@@ -100,11 +100,18 @@ class Run:
     def make_none(self):
         return self.seeds.select("case_id", "track", F.lit(0.0).alias("score")).limit(0)
 
+    def make_pop_lists(self):
+        none = self.none.groupBy("case_id").agg(F.collect_list(F.struct("track", "score")).alias("best"))
+        return cut(ranking.filled(none, self.cases, self.seeds, self.pop, K))
+
     def make_pop_recs(self):
-        return cut(ranking.with_backfill(self.none, self.cases, self.seeds, self.pop, K))
+        return ranking.rows(self.pop_lists)
+
+    def make_cf_lists(self):
+        return blocks.recommend(self.train.interactions, self.pop, self.cases, self.seeds, K, TOPK_SIM)
 
     def make_cf_recs(self):
-        return cut(itemcf.recommend(self.near, self.cases, self.seeds, self.pop, K))
+        return ranking.rows(self.cf_lists)
 
     def make_title_model(self):
         lists = self.train.playlists.join(self.train.interactions.select("pid").distinct(), "pid", "left_semi")

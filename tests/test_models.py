@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from segue.functions.text import char_grams, char_wb_grams, word_grams
-from segue.operators import dense, factors, hybrid, itemcf, ranking, routed, taste, title
+from segue.operators import blocks, dense, factors, hybrid, itemcf, ranking, routed, taste, title
 from segue.plans import corpus as C
 from segue.plans import challenge, studies
 from segue.schema import AXES, GENRES
@@ -44,6 +44,26 @@ def check(recs, seeds, n_cases=5, k=K):
     return {c: [t for _, t in xs] for c, xs in by.items()}
 
 
+@pytest.mark.parametrize("tracks, hot", [(1 << 15, 1 << 18), (20, 1 << 18), (20, 8)])
+def test_blocks_equal_the_table_of_neighbours(spark, world, monkeypatch, tracks, hot):
+    """One block, many blocks, and tracks that are no block's; text keys, repeats, unknown seeds, cases without seeds."""
+    _, inter, cases, seeds, pop = world
+    for name, v in (("TRACKS", tracks), ("HOT", hot), ("STEP", 64)):
+        monkeypatch.setattr(blocks, name, v)
+    got = blocks.recommend(inter, pop, cases, seeds, K, topk=20).cache()
+    near = itemcf.fit(inter, pop, topk=20)
+    rows = lambda df: {(r.case_id, r["rank"], r.track): round(r.score, 6) for r in df.collect()}
+    assert rows(ranking.rows(got)) == pytest.approx(rows(itemcf.recommend(near, cases, seeds, pop, K)), abs=2e-6)
+    n = {(r.case_id, t): s for r in got.collect() for t, s in zip(r.tracks, r.support) if s}
+    assert n == {(r.case_id, r.track): r.n for r in taste.support(ranking.rows(got), seeds, near).collect()}
+
+
+def test_best_keeps_the_first_of_equal_values():
+    x, at = np.array([1.0, 3, 1, 1, 2, 5, 5]), np.array([0, 5, 5, 7])
+    assert blocks.best(x, at, 3, True).tolist() == [True, True, False, False, True, True, True]
+    assert blocks.best(x, at, 3, False).tolist() == [True, True, True, True, True, True, True]
+
+
 def test_contract_and_item_cf_equals_brute_force(spark, world):
     c, inter, cases, seeds, pop = world
     p = {r.track: r["pop"] for r in pop.collect()}
