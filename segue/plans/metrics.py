@@ -58,6 +58,14 @@ def evaluate(recs: DataFrame, holdout: DataFrame, cases: DataFrame, tracks: Data
     )
 
 
+def relevant(lists: DataFrame, holdout: DataFrame) -> DataFrame:
+    """case_id, rank, track of lists (case_id, tracks) that a metric can count: held out, or among the first R, R the length of the hold-out."""
+    gt = holdout.groupBy("case_id").agg(F.collect_set("track").alias("gt"), F.count("*").cast("int").alias("R"))
+    placed = F.transform("tracks", lambda x, i: F.struct((i + 1).cast("long").alias("rank"), x.alias("track")))
+    few = F.filter(placed, lambda x: (x["rank"] <= F.col("R")) | F.array_contains("gt", x["track"]))
+    return lists.select("case_id", "tracks").join(gt, "case_id").select("case_id", F.explode(few).alias("x")).select("case_id", "x.*")
+
+
 def summarise(per_case: DataFrame) -> DataFrame:
     """model, scenario (and OVERALL, the mean over cases), n and mean metrics, in one pass of grouping sets."""
     grouped = per_case.rollup("model", "scenario").agg(F.count("*").alias("n"), F.grouping("scenario").alias("g"), F.grouping("model").alias("gm"), *[F.round(F.avg(c), 9).alias(c) for c in ("r_precision", "ndcg", "clicks")])

@@ -536,7 +536,7 @@ def e6(spark, d):
 @query("e9_first_hit", "SELECT case_id, min(rank) - 1 AS first FROM cfrecs JOIN holdout USING (case_id, track) GROUP BY case_id")
 def e9(spark, d):
     r = Run(spark, d)
-    return M.first_hits(r.cf_recs, r.holdout)
+    return M.first_hits(M.relevant(r.cf_lists, r.holdout), r.holdout)
 
 
 _PRODUCTS = "SELECT track, [z[i] * (i % 4 - 1.5) FOR i IN range(1, 16)] AS p FROM ({z})"

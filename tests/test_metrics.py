@@ -95,3 +95,16 @@ def test_assignment_equals_the_loop(spark):
         pool = [(i, r.choice([2, 3, 5, 9, 14, 35, 60, 130, 200])) for i in range(120)]
         got = {x.pid: x.scenario for x in S.assign(spark.createDataFrame(pool, "pid long, n long"), quota).collect()}
         assert got == greedy(pool, quota)
+
+
+def test_relevant_rows_give_the_same_metrics(spark):
+    """Rows that are neither held out nor among the first R change nothing; a hit after R does."""
+    lists = spark.createDataFrame([(1, list("abcdefgh")), (2, list("hgfedcba")), (3, list("abc"))], "case_id long, tracks array<string>")
+    holdout = spark.createDataFrame([(1, "b"), (1, "g"), (1, "g"), (2, "a"), (2, "x")], "case_id long, track string")
+    cases = spark.createDataFrame([(1, "s"), (2, "s"), (3, "s")], "case_id long, scenario string")
+    tracks = spark.createDataFrame([(c, "AB"[i % 2]) for i, c in enumerate("abcdefghx")], "track string, artist string")
+    each = lists.select("case_id", F.posexplode("tracks").alias("at", "track")).selectExpr("case_id", "at + 1L AS rank", "track")
+    few = M.relevant(lists, holdout)
+    assert few.count() < each.count()
+    assert sorted(M.evaluate(few, holdout, cases, tracks).collect()) == sorted(M.evaluate(each, holdout, cases, tracks).collect())
+    assert sorted(M.first_hits(few, holdout).collect()) == [(1, 1), (2, 7)]
