@@ -839,7 +839,7 @@ def h6(spark, d):
 @query("h11_intra_list", "SELECT case_id, round(CASE WHEN n < 2 THEN 0 ELSE (list_sum([x * x FOR x IN s]) - own) / (n * (n - 1)) END, 6) AS ils FROM (SELECT case_id, count(*) AS n, sum(CASE WHEN len > 0 THEN 1.0 ELSE 0 END) AS own, [" + ", ".join(f"sum(axes[{i}] / len)" for i in range(1, 16)) + "] AS s FROM (SELECT case_id, axes, sqrt(list_sum([x * x FOR x IN axes])) AS len FROM cfrecs JOIN feats USING (track) WHERE rank <= 100) GROUP BY case_id)")
 def h11(spark, d):
     r = Run(spark, d)
-    return M.intra_list_similarity(r.cf_recs, r.features, len(AXES))
+    return M.intra_list_similarity(r.cf_recs.filter("rank <= 100"), r.features, len(AXES))
 
 
 @query("h13_submission_build", f"SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY tier, o, track) AS rank, track FROM (SELECT case_id, track, 0 AS tier, rank AS o FROM cfrecs WHERE rank % 3 > 0 UNION ALL SELECT case_id, track, 1, pop_rank FROM cases, poprank WHERE (case_id, track) NOT IN (SELECT case_id, track FROM cfrecs WHERE rank % 3 > 0) AND (case_id, track) NOT IN (SELECT case_id, track FROM seeds)) QUALIFY rank <= {K}")
