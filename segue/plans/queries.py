@@ -294,8 +294,8 @@ def a12(spark, d):
 @query("a14_submission", f"""SELECT case_id, CAST(case_id AS VARCHAR) || ', ' || string_agg(CAST(track AS VARCHAR), ', ' ORDER BY rank) AS value FROM cfrecs GROUP BY case_id""")
 def a14(spark, d):
     r = Run(spark, d)
-    full = submission.build(r.cf_recs, r.cases, r.seeds, ranking.popular_top(r.pop, 2 * K + 200), K)
-    return submission.lines(full, "team", "a@b.c").filter("at >= 0").select(F.col("at").alias("case_id"), "value")
+    full = submission.listed(r.cf_lists, r.cases, r.seeds, ranking.popular_top(r.pop, 2 * K + 200), K)
+    return submission.lines_of(full, "team", "a@b.c").filter("at >= 0").select(F.col("at").alias("case_id"), "value")
 
 
 @query("a15_submission_files", f"""SELECT CAST(case_id AS VARCHAR) || ', ' || string_agg(CAST(track AS VARCHAR), ', ' ORDER BY rank) AS value, kind FROM cfrecs, (VALUES ('plain'), ('gzip')) AS v(kind) GROUP BY case_id, kind""")

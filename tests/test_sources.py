@@ -159,3 +159,12 @@ def test_reports(spark, tmp_path):
 def test_stream_of_slices(spark, folder, tmp_path):
     got = stream.run_available(stream.track_counts(spark, str(folder / "mpd.slice.*"), 1), "counts", str(tmp_path / "ck"))
     assert {r.track[-2:]: r["count"] for r in got.collect()} == {"t0": 1, "t1": 3, "t2": 1, "t3": 1, "t9": 1}
+
+
+def test_listed_drops_repeats_and_seeds_and_fills_up(spark):
+    lists = spark.createDataFrame([(1, ["a", "b", "a", "s"]), (2, ["d", "c", "b", "a"])], "case_id long, tracks array<string>")
+    cases = spark.createDataFrame([(1,), (2,), (3,)], "case_id long")
+    seeds = spark.createDataFrame([(1, "s"), (1, "p")], "case_id long, track string")
+    popular = spark.createDataFrame([("p", 1), ("b", 2), ("q", 3), ("r", 4)], "track string, pop_rank long")
+    got = {r.case_id: r.tracks for r in submission.listed(lists, cases, seeds, popular, 3).collect()}
+    assert got == {1: ["a", "b", "q"], 2: ["d", "c", "b"], 3: ["p", "b", "q"]}
