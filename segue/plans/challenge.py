@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import cut
-from ..operators import itemcf, ranking, routed, title
+from ..operators import blocks, ranking, routed, title
 from ..sources import results, submission
 from .corpus import Corpus
 from .metrics import seed_coverage
@@ -26,7 +26,7 @@ def answer(corpus: Corpus, challenge: DataFrame, k: int = submission.MOST, topk:
     part = lambda model: cases.join(route.filter(F.col("model") == model), "case_id", "left_semi")  # noqa: E731  only the model's own cases are answered by it
     by_seeds, by_title = cut(part("item_cf")), cut(part("title"))
     own = cut(seeds.join(by_seeds.select("case_id"), "case_id", "left_semi"))
-    cf = itemcf.recommend(itemcf.fit(corpus.interactions, pop, topk=topk), by_seeds, own, pop, k)
+    cf = ranking.rows(blocks.recommend(corpus.interactions, pop, by_seeds, own, k, topk))
     lists = corpus.playlists.join(corpus.interactions.select("pid").distinct(), "pid", "left_semi")
     named = title.recommend(tuple(cut(d) for d in title.fit(lists)), corpus.interactions, by_title, seeds.limit(0), pop, k, neighbours)
     recs = routed.fast_lists(route, cf, named, k)
