@@ -27,8 +27,10 @@ from .ranking import popular_top
 TRACKS, PLACES, HOT = 1 << 15, 1 << 20, 1 << 18
 #: Pairs that a block unfolds at a time; rows and bytes of a batch.
 STEP, ROWS, BYTES = 1 << 20, 2048, 16 << 20
+#: Numbers before a packed row, and bits of a label that travels with a track's popularity.
+HEAD, LABEL = 5, 31
 PARTS = "block int, side int, case_id {}, nos array<long>, pops array<long>, cnts array<long>, whole boolean"
-SUMS = "case_id {}, side int, nos array<long>, pops array<long>, sums array<double>, ns array<int>"
+SUMS = "case_id {}, side int, packed binary"
 
 
 @contextmanager
@@ -108,6 +110,50 @@ def summed(keys: np.ndarray, weights: np.ndarray | None) -> tuple[np.ndarray, np
     return keys[at], np.add.reduceat(weights[order], at) if len(at) else weights[:0]
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in as few bytes as hold them."""
+    if len(x) and x.min() < 0:
+        return x.astype(np.int64)
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def packed(nos: np.ndarray, pops: np.ndarray, sums: np.ndarray, ns: np.ndarray) -> bytes:
+    """Tracks with their sums in few bytes: what blocks send on is by far the most that is exchanged."""
+    cols = [narrow(x) for x in (np.diff(nos, prepend=0), pops, ns)]
+    body = b"".join([*[x.tobytes() for x in cols], sums.tobytes()])
+    head = np.array([len(nos), len(body), *[ord(x.dtype.char) for x in cols]], np.int64)
+    return head.tobytes() + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def unpacked(rows: pa.Array) -> tuple[np.ndarray, ...]:
+    """nos, pops, sums, ns of packed rows, one after another."""
+    out = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0), np.zeros(0, np.int64))]
+    for x in rows:
+        n, size, *chars = np.frombuffer(x.as_buffer(), np.int64, HEAD).tolist()
+        body, at, cols = pa.decompress(x.as_buffer()[8 * HEAD :], decompressed_size=size, codec="zstd"), 0, []
+        for t in [*map(chr, chars), "d"]:
+            cols.append(np.frombuffer(body, np.dtype(t), n, at))
+            at += cols[-1].nbytes
+        out.append((np.cumsum(cols[0], dtype=np.int64), cols[1].astype(np.int64), cols[3], cols[2].astype(np.int64)))
+    return tuple(np.concatenate([x[i] for x in out]) for i in range(4))
+
+
+def lengths_of(rows: pa.Array) -> np.ndarray:
+    return np.array([np.frombuffer(x.as_buffer(), np.int64, 1)[0] for x in rows], np.int64)
+
+
+def packed_rows(cols: list[np.ndarray], at: np.ndarray) -> pa.Array:
+    """A packed row for each of the ranges that begin at `at`."""
+    return pa.array([packed(*[x[a:z] for x in cols]) for a, z in zip(at[:-1], at[1:])], pa.binary())
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows case_id, side, nos, pops, sums, ns, packed."""
+    for b in batches:
+        cols, at = [flat(b.column(i))[0] for i in range(2, 6)], flat(b.column(2))[1]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed_rows(cols, at)], ["case_id", "side", "packed"])
+
+
 def rounded(x: np.ndarray) -> np.ndarray:
     return np.floor(x * 1e6 + 0.5) / 1e6
 
@@ -115,12 +161,12 @@ def rounded(x: np.ndarray) -> np.ndarray:
 class _Block:
     """The lists of one block; of some seeds, their neighbours."""
 
-    def __init__(self, k: int, topk: int, shrink: float):
-        self.k, self.topk, self.shrink, self.lists, self.seeds = k, topk, shrink, [], []
+    def __init__(self, k: int, topk: int, shrink: float, bits: int):
+        self.k, self.topk, self.shrink, self.bits, self.lists, self.seeds = k, topk, shrink, bits, [], []
 
     def rows(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(at, codes of neighbours, similarities) of the asked tracks (in order); at: where each one's begin."""
-        code, cnt = self.code, self.cnt
+        code, cnt, pop = self.code, self.cnt, self.pop >> self.bits
         at_u = np.searchsorted(self.u, asked)
         known = (at_u < len(self.u)) & (self.u[np.minimum(at_u, len(self.u) - 1)] == asked)
         row_of = np.full(len(self.u), -1, np.int64)
@@ -148,7 +194,7 @@ class _Block:
             keys, v = summed(keys[other], None if w is None else w[other])
             r, j = np.divmod(keys, max(1, len(self.u)))
             own = at_u[a:z][r]
-            sim = v / (np.sqrt(self.pop[own].astype(float) * self.pop[j]) + self.shrink)
+            sim = v / (np.sqrt(pop[own].astype(float) * pop[j]) + self.shrink)
             keep = best(sim, starts(np.bincount(r, minlength=z - a)), self.topk, True)
             found[a:z] = np.bincount(r[keep], minlength=z - a)
             n = int(found[a:z].sum())
@@ -195,12 +241,11 @@ class _Block:
                 keep = best(score, starts(np.bincount(r, minlength=z - a)), self.k, False) & ~mine | ~whole[a:z][r]
                 r, j, total, n = r[keep], j[keep], total[keep], n[keep]
             to = starts(np.bincount(r, minlength=z - a))
-            parts = [lists_of(x, to) for x in (self.u[j], self.pop[j], total, n.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([ids.slice(a, z - a), pa.array(np.ones(z - a, np.int32)), *parts], ["case_id", "side", "nos", "pops", "sums", "ns"])
+            yield pa.RecordBatch.from_arrays([ids.slice(a, z - a), pa.array(np.ones(z - a, np.int32)), packed_rows([self.u[j], self.pop[j], total, n], to)], ["case_id", "side", "packed"])
             a = z
 
 
-def _answered(k: int, topk: int, shrink: float):
+def _answered(k: int, topk: int, shrink: float, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, block = None, None
         for b in batches:
@@ -212,7 +257,7 @@ def _answered(k: int, topk: int, shrink: float):
                 if own != at[a]:
                     if block:
                         yield from block.answers()
-                    own, block = at[a], _Block(k, topk, shrink)
+                    own, block = at[a], _Block(k, topk, shrink, bits)
                 part = b.slice(a, z - a)
                 nos, of = flat(part.column(3))
                 cnts = flat(part.column(5))[0]
@@ -286,15 +331,24 @@ def _news(b: pa.RecordBatch) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy(zero_copy_only=False)) + 1])
 
 
+def _some(b: pa.RecordBatch, place: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The cases of a batch, so many at a time that their tracks fit when unpacked."""
+    new = np.append(changes(place), len(place))
+    work, a = starts(lengths_of(b.column(2)))[new], 0
+    while a < len(new) - 1:
+        z = max(a + 1, int(np.searchsorted(work, work[a] + STEP, side="right")) - 1)
+        yield b.slice(new[a], new[z] - new[a]), place[new[a] : new[z]] - place[new[a]]
+        a = z
+
+
 def _places(new: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(np.arange(len(new)), np.diff(np.append(new, n)))
 
 
 def _merged(b: pa.RecordBatch, place: np.ndarray) -> tuple[np.ndarray, ...]:
     """case, no, pop, sum, n, whether a seed: one row for each track of a case, in their order."""
-    nos, at = flat(b.column(2))
-    pops, sums, ns = (flat(b.column(i))[0] for i in (3, 4, 5))
-    length = np.diff(at)
+    length = lengths_of(b.column(2))
+    nos, pops, sums, ns = unpacked(b.column(2))
     case, seed = np.repeat(place, length), np.repeat(b.column(1).to_numpy() == 0, length)
     order = np.lexsort((nos, case))
     case, nos = case[order], nos[order]
@@ -303,37 +357,43 @@ def _merged(b: pa.RecordBatch, place: np.ndarray) -> tuple[np.ndarray, ...]:
     return case[one], nos[one], add(np.maximum, pops), add(np.add, sums), add(np.add, ns), add(np.maximum, seed)
 
 
-def _filled(k: int, head: np.ndarray):
+def _filled(k: int, head: np.ndarray, pops: np.ndarray, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, place in _cases(batches):
+        for b, place in (x for whole in _cases(batches) for x in _some(*whole)):
             ids = b.column(0).take(pa.array(changes(place)))
             case, no, pop, total, n, seed = _merged(b, place)
             score = rounded(total)
             use = np.flatnonzero((score > 0) & ~seed)
-            use = use[np.lexsort((no[use], -pop[use], -score[use], case[use]))]
+            use = use[np.lexsort((no[use], -(pop[use] >> bits), -score[use], case[use]))]
             have = np.bincount(case[use], minlength=len(ids))
             rank = unfolded(np.ones(len(ids), np.int64), have)
             use, rank = use[rank <= k], rank[rank <= k]
-            out = [(case[use], rank, no[use], score[use], n[use])]
+            out = [(case[use], rank, no[use], score[use], n[use], pop[use])]
             of = starts(np.bincount(case, minlength=len(ids)))
             for c in np.flatnonzero(have < k):
                 mine = slice(of[c], of[c + 1])
                 gone = seed[mine] | (score[mine] > 0)
-                more = head[~np.isin(head, no[mine][gone])][: k - have[c]]
+                take = np.flatnonzero(~np.isin(head, no[mine][gone]))[: k - have[c]]
+                more = head[take]
                 # Tracks whose score is 0 when rounded rank as popular ones do, but have their seeds.
                 low = dict(zip(no[mine][~gone].tolist(), n[mine][~gone].tolist()))
                 near = np.array([low.get(x, 0) for x in more.tolist()] if low else np.zeros(len(more)), np.int64)
-                out.append((np.full(len(more), c), np.arange(have[c] + 1, have[c] + 1 + len(more)), more, np.zeros(len(more)), near))
-            case, rank, no, score, n = (np.concatenate([x[i] for x in out]) for i in range(5))
+                out.append((np.full(len(more), c), np.arange(have[c] + 1, have[c] + 1 + len(more)), more, np.zeros(len(more)), near, pops[take]))
+            case, rank, no, score, n, pop = (np.concatenate([x[i] for x in out]) for i in range(6))
             order = np.lexsort((rank, case))
             at = starts(np.bincount(case, minlength=len(ids)))
-            yield pa.RecordBatch.from_arrays([ids, *[lists_of(x[order], at) for x in (no.astype(np.int64), score, n.astype(np.int64))]], ["case_id", "nos", "scores", "support"])
+            lists = [no.astype(np.int64), score, n.astype(np.int64), *([pop >> bits, pop & (1 << bits) - 1] if bits else [])]
+            yield pa.RecordBatch.from_arrays([ids, *[lists_of(x[order], at) for x in lists]], ["case_id", "nos", "scores", "support", *(["pops", "labels"] if bits else [])])
 
     return run
 
 
-def recommend(interactions: DataFrame, pop: DataFrame, cases: DataFrame, seeds: DataFrame, k: int, topk: int = 200, shrink: float = 10.0) -> DataFrame:
-    """case_id, tracks, scores, support (seeds that have the track among their neighbours), in order of rank: itemcf.recommend of itemcf.fit with cosines, without the table of neighbours between."""
+def recommend(interactions: DataFrame, pop: DataFrame, cases: DataFrame, seeds: DataFrame, k: int, topk: int = 200, shrink: float = 10.0, labels: DataFrame | None = None) -> DataFrame:
+    """case_id, tracks, scores, support (seeds that have the track among their neighbours), in order of rank: itemcf.recommend of itemcf.fit with cosines, without the table of neighbours between.
+
+    With labels (track, label: a whole number below 2^31) the lists also have the popularity and the label of each track (pops, labels; 0 without one),
+    which come along with the tracks and need no join with the lists.
+    """
     spark = pop.sparkSession
     case_t, track_t = cases.schema["case_id"].dataType, pop.schema["track"].dataType
     numbers = isinstance(track_t, IntegralType)
@@ -343,12 +403,16 @@ def recommend(interactions: DataFrame, pop: DataFrame, cases: DataFrame, seeds:
         # Numbers in the tracks' order, whatever their type.
         parts = max(1, -(-pop.count() // TRACKS))
         known = cut(pop.repartitionByRange(parts, "track").sortWithinPartitions("track").select("track", "pop", F.monotonically_increasing_id().alias("no")))
+    bits = LABEL if labels is not None else 0
     n, places = known.agg(F.count("*"), F.coalesce(F.sum("pop"), F.lit(0))).first()
     blocks = max(1, -(-n // TRACKS), -(-places // PLACES), min(spark.sparkContext.defaultParallelism, n >> 12))
     bounds = np.array(known.approxQuantile("no", [i / blocks for i in range(1, blocks)], 0.1 / blocks) if blocks > 1 else []).astype(np.int64)
     often = known.filter(F.col("pop") > HOT)
     hot = np.sort(np.array([r["no"] for r in often.select("no").collect()], np.int64))  # at most places / HOT tracks
 
+    if bits:
+        known = cut(known.join(labels.select("track", "label"), "track", "left").withColumn("pop", F.shiftleft("pop", LABEL) + F.coalesce("label", F.lit(0))).drop("label"))
+        often = known.filter(F.shiftright("pop", LABEL) > HOT)
     placed = interactions.select("pid", "track").join(known, "track")
     lists = placed.groupBy("pid").agg(F.collect_list(F.struct("no", "pop")).alias("x")).select(F.col("x.no").alias("nos"), F.col("x.pop").alias("pops"))
     lists = cut(lists)  # its shuffles go before those of the blocks come
@@ -358,32 +422,35 @@ def recommend(interactions: DataFrame, pop: DataFrame, cases: DataFrame, seeds:
     parts_t = PARTS.format(case_t.simpleString())
     dealt = lists.mapInArrow(_dealt(bounds, hot, arrow_t, False), parts_t).unionByName(own.filter(F.size("nos") > 0).select("case_id", "nos", F.col("nos").alias("pops")).mapInArrow(_dealt(bounds, hot, arrow_t, True), parts_t))
     sums_t = SUMS.format(case_t.simpleString())
-    sums = dealt.repartition(blocks, "block").sortWithinPartitions("block", "side").mapInArrow(_answered(k, topk, shrink), sums_t)
+    sums = dealt.repartition(blocks, "block").sortWithinPartitions("block", "side").mapInArrow(_answered(k, topk, shrink, bits), sums_t)
     if len(hot):
-        sums = sums.unionByName(_often(placed, often, seeds.join(known.select("track", "no"), "track"), topk, shrink))
+        sums = sums.unionByName(_often(placed, often, seeds.join(known.select("track", "no"), "track"), topk, shrink, bits).mapInArrow(_pack, sums_t))
     nothing = lambda t: F.transform("nos", lambda x: F.lit(0).cast(t))
-    asked = own.select("case_id", F.lit(0).alias("side"), "nos", nothing("long").alias("pops"), nothing("double").alias("sums"), nothing("int").alias("ns"))
+    asked = own.select("case_id", F.lit(0).alias("side"), "nos", nothing("long").alias("pops"), nothing("double").alias("sums"), nothing("int").alias("ns")).mapInArrow(_pack, sums_t)
     most = own.agg(F.coalesce(F.max(F.size("nos")), F.lit(0))).first()[0]
-    head = np.array([r["no"] for r in popular_top(pop, 2 * k + int(most)).join(known.select("track", "no"), "track").orderBy("pop_rank").select("no").collect()], np.int64)  # bounded: 2k + seeds of a case
-    out = sums.unionByName(asked).repartition("case_id").sortWithinPartitions("case_id", "side").mapInArrow(_filled(k, head), f"case_id {case_t.simpleString()}, nos array<long>, scores array<double>, support array<long>")
+    top = popular_top(pop, 2 * k + int(most)).select("track", "pop_rank").join(known, "track").orderBy("pop_rank").select("no", "pop").collect()  # bounded: 2k + seeds of a case
+    head, pops = (np.array([r[c] for r in top], np.int64) for c in ("no", "pop"))
+    each = {"scores": "double", "support": "long", **({"pops": "long", "labels": "long"} if bits else {})}
+    rows_t = ", ".join([f"case_id {case_t.simpleString()}, nos array<long>", *[f"{c} array<{t}>" for c, t in each.items()]])
+    out = sums.unionByName(asked).repartition("case_id").sortWithinPartitions("case_id", "side").mapInArrow(_filled(k, head, pops, bits), rows_t)
     if numbers:
         out = out.withColumn("tracks", F.col("nos").cast(f"array<{track_t.simpleString()}>"))
     else:
-        rows = out.select("case_id", F.posexplode(F.arrays_zip("nos", "scores", "support")).alias("at", "x")).select("case_id", "at", "x.*").join(known.select("track", F.col("no").alias("nos")), "nos")
-        rows = rows.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("at", "track", "scores", "support"))).alias("x"))
-        out = rows.select("case_id", F.col("x.track").alias("tracks"), "x.scores", "x.support")
+        rows = out.select("case_id", F.posexplode(F.arrays_zip("nos", *each)).alias("at", "x")).select("case_id", "at", "x.*").join(known.select("track", F.col("no").alias("nos")), "nos")
+        rows = rows.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("at", "track", *each))).alias("x"))
+        out = rows.select("case_id", F.col("x.track").alias("tracks"), *[f"x.{c}" for c in each])
     with small_batches(spark):
-        done = cut(out.select("case_id", "tracks", "scores", "support"))
+        done = cut(out.select("case_id", "tracks", *each))
     remove_folder(spark, lists.inputFiles()[0].rpartition("/")[0])
     return done
 
 
-def _often(placed: DataFrame, often: DataFrame, seeds: DataFrame, topk: int, shrink: float) -> DataFrame:
+def _often(placed: DataFrame, often: DataFrame, seeds: DataFrame, topk: int, shrink: float, bits: int = 0) -> DataFrame:
     """What the seeds in very many lists give to their cases: pairs of these tracks alone, by an aggregate."""
     c = placed.groupBy("pid", "no", "pop").agg(F.count("*").alias("cnt"))
     a = c.join(F.broadcast(often.select("no")), "no", "left_semi").select("pid", F.col("no").alias("i"), F.col("pop").alias("p"), F.col("cnt").alias("n"))
     pairs = c.join(a, "pid").filter("i <> no").groupBy("i", "p", "no", "pop").agg(F.sum(F.col("n") * F.col("cnt")).alias("v"))
-    sim = pairs.select("i", "no", "pop", (F.col("v") / (F.sqrt(F.col("p").cast("double") * F.col("pop")) + shrink)).alias("sim"))
+    sim = pairs.select("i", "no", "pop", (F.col("v") / (F.sqrt(F.shiftright("p", bits).cast("double") * F.shiftright("pop", bits)) + shrink)).alias("sim"))
     near = sim.withColumn("r", F.row_number().over(W.partitionBy("i").orderBy(F.desc("sim"), "no"))).filter(F.col("r") <= topk).drop("r")
     s = seeds.groupBy("case_id", F.col("no").alias("i")).agg(F.count("*").alias("times"))
     hit = s.join(near, "i").groupBy("case_id", "no", "pop").agg(F.sum(F.col("times") * F.col("sim")).alias("sum"), F.count("*").cast("int").alias("n"))

@@ -302,3 +302,13 @@ def test_challenge_is_answered_and_valid(spark, world, tmp_path):
     assert all(len(set(x)) == 20 for x in got.values()) and not set(got[3]) & set(some)
     p = {f"spotify:{r.track}": r["pop"] for r in pop.collect()}
     assert got[4] == got[5] == sorted(p, key=lambda t: (-p[t], t))[:20] != got[2]
+
+
+def test_what_blocks_send_on_is_packed():
+    rows = [(np.array([-5, 3, 9]), np.array([1, 70_000, 2]), np.array([0.1, 1 / 3, 2.0]), np.array([1, 2, 300])), (np.array([], int), np.array([], int), np.array([]), np.array([], int)), (np.array([1 << 40]), np.array([7 << 31 | 5]), np.array([1e-9]), np.array([1]))]
+    every, at = [np.concatenate([r[i] for r in rows]) for i in range(4)], blocks.starts([len(r[0]) for r in rows])
+    packed = blocks.packed_rows(every, at)
+    assert blocks.lengths_of(packed).tolist() == [3, 0, 1]
+    assert all((a == b).all() for a, b in zip(blocks.unpacked(packed), every))
+    many = [np.arange(0, 20_000, 4), np.full(5000, 24), np.tile([1 / 34, 2 / 35], 2500), np.ones(5000, int)]
+    assert len(blocks.packed(*many)) < 5000 * 28 / 4
