@@ -312,3 +312,16 @@ def test_what_blocks_send_on_is_packed():
     assert all((a == b).all() for a, b in zip(blocks.unpacked(packed), every))
     many = [np.arange(0, 20_000, 4), np.full(5000, 24), np.tile([1 / 34, 2 / 35], 2500), np.ones(5000, int)]
     assert len(blocks.packed(*many)) < 5000 * 28 / 4
+
+
+@pytest.mark.parametrize("name", ["h13_submission_build"])
+def test_queries_of_whole_lists_make_no_rows_to_join(spark, monkeypatch, name):
+    """Neither the rows of whole lists nor the table of neighbours is made: both outgrow the disk over larger tables."""
+    from segue.plans import queries as Q
+
+    def refused(*args, **kw):
+        raise AssertionError("made rows of whole lists or the table of neighbours")
+
+    monkeypatch.setattr(ranking, "rows", refused)
+    monkeypatch.setattr(itemcf, "fit", refused)
+    assert Q.QUERIES[name](spark, "/root/testdata/sf0.001").columns
