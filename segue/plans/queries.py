@@ -624,7 +624,9 @@ _FAST = f"SELECT case_id, rank, track FROM cfrecs WHERE case_id IN (SELECT case_
 @query("g8_lists", _FAST)
 def g8l(spark, d):
     r = Run(spark, d)
-    return routed.fast_lists(routed.fast_route(r.cases, r.seeds), r.cf_recs, r.title_recs, K)
+    route = cut(routed.fast_route(r.cases, r.seeds))
+    named = r.cases.join(route.filter("model = 'title'"), "case_id", "left_semi")
+    return ranking.tracks_of(routed.fast_lists_of(route, r.cf_lists, r.title_lists_of(named)))
 
 
 _CAND = f"SELECT DISTINCT case_id, track FROM (SELECT * FROM cfrecs WHERE rank <= {PER_SOURCE} UNION ALL SELECT * FROM trecs WHERE rank <= {PER_SOURCE} UNION ALL SELECT * FROM poprecs WHERE rank <= {PER_SOURCE})"

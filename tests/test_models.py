@@ -314,7 +314,7 @@ def test_what_blocks_send_on_is_packed():
     assert len(blocks.packed(*many)) < 5000 * 28 / 4
 
 
-@pytest.mark.parametrize("name", ["h13_submission_build"])
+@pytest.mark.parametrize("name", ["g8_lists", "h13_submission_build"])
 def test_queries_of_whole_lists_make_no_rows_to_join(spark, monkeypatch, name):
     """Neither the rows of whole lists nor the table of neighbours is made: both outgrow the disk over larger tables."""
     from segue.plans import queries as Q
