@@ -609,7 +609,9 @@ def g7w(spark, d):
   FROM cfrecs h FULL JOIN trecs t USING (case_id, track) JOIN ({_ALPHA}) USING (case_id) WHERE NOT (alpha <= 0 AND h.rank IS NULL) AND NOT (alpha >= 1 AND t.rank IS NULL)) QUALIFY rank <= {K}""")
 def g7(spark, d):
     r = Run(spark, d)
-    return routed.fuse(r.cf_recs, r.title_recs, routed.weights(r.cases, r.seeds), K)
+    w = cut(routed.weights(r.cases, r.seeds))
+    named = r.cases.join(w.filter("alpha > 0"), "case_id", "left_semi")
+    return ranking.tracks_of(routed.fuse_lists(r.cf_lists, r.title_lists_of(named), w, K))
 
 
 @query("g8_fast_router", "SELECT case_id, CASE WHEN coalesce(title, '') <> '' AND case_id NOT IN (SELECT case_id FROM seeds) THEN 'title' ELSE 'item_cf' END AS model FROM cases")

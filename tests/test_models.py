@@ -314,7 +314,17 @@ def test_what_blocks_send_on_is_packed():
     assert len(blocks.packed(*many)) < 5000 * 28 / 4
 
 
-@pytest.mark.parametrize("name", ["g8_lists", "h13_submission_build"])
+def test_lists_are_fused_as_rows_are(spark):
+    r = np.random.default_rng(1)
+    lists = lambda: [(c, [f"t{x}" for x in r.permutation(40)[: r.integers(0, 25)]]) for c in range(30)]
+    h, t = (spark.createDataFrame(lists(), "case_id long, tracks array<string>") for _ in range(2))
+    w = spark.createDataFrame([(c, [0.0, 0.35, 0.6, 1.0][c % 4]) for c in range(30)], "case_id long, alpha double")
+    want = routed.fuse(ranking.tracks_of(h), ranking.tracks_of(t), w, 12)
+    got = ranking.tracks_of(routed.fuse_lists(h, t, w, 12))
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(x) for x in want.select("case_id", "rank", "track").collect())
+
+
+@pytest.mark.parametrize("name", ["g7_routed", "g8_lists", "h13_submission_build"])
 def test_queries_of_whole_lists_make_no_rows_to_join(spark, monkeypatch, name):
     """Neither the rows of whole lists nor the table of neighbours is made: both outgrow the disk over larger tables."""
     from segue.plans import queries as Q
