@@ -313,7 +313,8 @@ def a15(spark, d):
     """Both files of a submission, read back."""
     r = Run(spark, d)
     folder = shared_folder(spark, "submission")
-    submission.write_both(submission.build(r.cf_recs, r.cases, r.seeds, ranking.popular_top(r.pop, 2 * K + 200), K), folder, "team", "a@b.c", K if r.tracks.count() >= 2 * K else None)
+    full = submission.listed(r.cf_lists, r.cases, r.seeds, ranking.popular_top(r.pop, 2 * K + 200), K)
+    submission.write_lists(full, folder, "team", "a@b.c", K if r.tracks.count() >= 2 * K else None)
     read = lambda kind: spark.read.text(f"{folder}/{kind}").withColumn("kind", F.lit(kind))
     return read("plain").unionByName(read("gzip")).filter("value <> '' and not startswith(value, 'team_info')")
 

@@ -324,7 +324,7 @@ def test_lists_are_fused_as_rows_are(spark):
     assert sorted(map(tuple, got.collect())) == sorted(tuple(x) for x in want.select("case_id", "rank", "track").collect())
 
 
-@pytest.mark.parametrize("name", ["g7_routed", "g8_lists", "h13_submission_build"])
+@pytest.mark.parametrize("name", ["a15_submission_files", "g7_routed", "g8_lists", "h13_submission_build"])
 def test_queries_of_whole_lists_make_no_rows_to_join(spark, monkeypatch, name):
     """Neither the rows of whole lists nor the table of neighbours is made: both outgrow the disk over larger tables."""
     from segue.plans import queries as Q
