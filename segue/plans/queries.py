@@ -775,7 +775,9 @@ def g9e(spark, d):
 
 def _explained(r: Run) -> DataFrame:
     w = r.learned.select("case_id", F.col("learned").alias("w"))
-    return taste.explain(r.cf_recs.filter(F.col("rank") <= ranking.clamped(24)), r.seeds, r.near, r.tracks, r.flavours, r.features, r.z, w)
+    shown = ranking.first(r.cf_lists, ranking.clamped(24), "scores", "support").select("case_id", F.posexplode(F.arrays_zip("tracks", "scores", "support")).alias("at", "x"))
+    shown = cut(shown.select("case_id", (F.col("at") + 1).cast("long").alias("rank"), F.col("x.tracks").alias("track"), F.col("x.scores").alias("score"), F.col("x.support").alias("support")))
+    return taste.explain(shown, r.seeds, None, r.tracks, r.flavours, r.features, r.z, w)
 
 
 @query("g9i_explain")

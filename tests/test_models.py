@@ -324,7 +324,18 @@ def test_lists_are_fused_as_rows_are(spark):
     assert sorted(map(tuple, got.collect())) == sorted(tuple(x) for x in want.select("case_id", "rank", "track").collect())
 
 
-@pytest.mark.parametrize("name", ["a15_submission_files", "g7_routed", "g8_lists", "h13_submission_build"])
+def test_many_cases_are_fitted_as_one_is():
+    r = np.random.default_rng(3)
+    x = r.random((40, 9, 15))
+    x[3] = x[3][0]  # all rows alike
+    x[4, 1:] = x[4, 0]
+    x[4, 5] += 1
+    assert [taste.kmeans_of(x, 3)[i].tolist() for i in range(40)] == [taste.kmeans(v, 3).tolist() for v in x]
+    y = np.append(np.ones(4), np.zeros(5))
+    assert np.allclose(taste.logistics(x, y), [taste.logistic(v, y) for v in x], atol=1e-7)
+
+
+@pytest.mark.parametrize("name", ["a15_submission_files", "g7_routed", "g8_lists", "g9i_explain", "h13_submission_build"])
 def test_queries_of_whole_lists_make_no_rows_to_join(spark, monkeypatch, name):
     """Neither the rows of whole lists nor the table of neighbours is made: both outgrow the disk over larger tables."""
     from segue.plans import queries as Q
