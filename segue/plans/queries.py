@@ -640,7 +640,11 @@ _FEATS = f"""SELECT case_id, track, round(CASE WHEN max(coalesce(cf, 0)) OVER (P
 
 
 def _three(r: Run) -> DataFrame:
-    return r.hybrid_features({"cf": r.cf_recs, "title": r.title_recs, "pop": r.pop_recs}, r.cases, r.seeds)
+    labels = cut(hybrid.artist_labels(r.tracks))
+    lists = blocks.recommend(r.train.interactions, r.pop, r.cases, r.seeds, K, TOPK_SIM, labels=labels)
+    most = r.seeds.groupBy("case_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    best = title.best_of(title.asked_titles(r.cases), r.title_model, r.train.interactions, r.pop, K + int(most), NEIGHBOURS)
+    return hybrid.features_of_lists(lists, best, r.cases, r.seeds, r.pop, labels, K, PER_SOURCE)
 
 
 @query("g6a_masked_features", _FEATS)

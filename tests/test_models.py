@@ -324,6 +324,28 @@ def test_lists_are_fused_as_rows_are(spark):
     assert sorted(map(tuple, got.collect())) == sorted(tuple(x) for x in want.select("case_id", "rank", "track").collect())
 
 
+def test_features_of_lists_are_those_of_rows(spark):
+    r = np.random.default_rng(2)
+    lists = [(p, i, f"t{x:03d}") for p in range(60) for i, x in enumerate(r.zipf(1.4, 14) % 90)]
+    inter = spark.createDataFrame(lists, "pid long, pos long, track string").cache()
+    tracks = spark.createDataFrame([(f"t{x:03d}", None if x % 11 == 0 else f"a{x % 7}") for x in range(95)], "track string, artist string")
+    names = spark.createDataFrame([(p, f"song {'abc'[p % 3]} mix") for p in range(60)], "pid long, title string")
+    pop = ranking.popularity(inter, tracks).cache()
+    cases = spark.createDataFrame([(c, [None, "", "song a mix", " Song B"][c % 4]) for c in range(12)], "case_id long, title string")
+    seeds = spark.createDataFrame([(c, i, f"t{x:03d}") for c in range(12) if c % 5 for i, x in enumerate(r.integers(0, 99, c))], "case_id long, ord long, track string").cache()
+    k, part, model = 30, 20, title.fit(names)
+    cf = itemcf.recommend(itemcf.fit(inter, pop, topk=10), cases, seeds, pop, k)
+    named = title.recommend(model, inter, cases, seeds, pop, k, 6)
+    popular = ranking.with_backfill(cf.limit(0).select("case_id", "track", "score"), cases, seeds, pop, k)
+    sources = {"cf": cf, "title": named, "pop": popular}
+    want = hybrid.features(hybrid.candidates(sources, seeds, part), {"cf": cf, "title": named}, cases, seeds, pop, tracks)
+    labels = hybrid.artist_labels(tracks)
+    best = title.best_of(title.asked_titles(cases), model, inter, pop, k + 11, 6)
+    got = hybrid.features_of_lists(blocks.recommend(inter, pop, cases, seeds, k, 10, labels=labels), best, cases, seeds, pop, labels, k, part)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_many_cases_are_fitted_as_one_is():
     r = np.random.default_rng(3)
     x = r.random((40, 9, 15))
@@ -335,7 +357,7 @@ def test_many_cases_are_fitted_as_one_is():
     assert np.allclose(taste.logistics(x, y), [taste.logistic(v, y) for v in x], atol=1e-7)
 
 
-@pytest.mark.parametrize("name", ["a15_submission_files", "g7_routed", "g8_lists", "g9i_explain", "h13_submission_build"])
+@pytest.mark.parametrize("name", ["a15_submission_files", "g6a_masked_features", "g7_routed", "g8_lists", "g9i_explain", "h13_submission_build"])
 def test_queries_of_whole_lists_make_no_rows_to_join(spark, monkeypatch, name):
     """Neither the rows of whole lists nor the table of neighbours is made: both outgrow the disk over larger tables."""
     from segue.plans import queries as Q
