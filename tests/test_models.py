@@ -357,7 +357,7 @@ def test_many_cases_are_fitted_as_one_is():
     assert np.allclose(taste.logistics(x, y), [taste.logistic(v, y) for v in x], atol=1e-7)
 
 
-@pytest.mark.parametrize("name", ["a15_submission_files", "g6a_masked_features", "g7_routed", "g8_lists", "g9i_explain", "h13_submission_build"])
+@pytest.mark.parametrize("name", ["a15_submission_files", "g6_masked_equal", "g6a_masked_features", "g7_routed", "g8_lists", "g9i_explain", "h13_submission_build"])
 def test_queries_of_whole_lists_make_no_rows_to_join(spark, monkeypatch, name):
     """Neither the rows of whole lists nor the table of neighbours is made: both outgrow the disk over larger tables."""
     from segue.plans import queries as Q
