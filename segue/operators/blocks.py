@@ -1,10 +1,13 @@
 """Item-to-item recommendations by blocks of the catalogue, fitted and answered in one pass.
 
 A block is a range of tracks. It gets every list that has one of its tracks, and of each case the seeds that it has. It
-makes the rows of the similarity of those seeds alone, cuts them to their neighbours and adds them up by case, so neither
-the pairs of tracks nor the neighbours are ever exchanged. What a case got from its blocks is added up, ranked and filled
-with popular tracks. A track that is in very many lists has its row made by a plain aggregate instead, so that no block
-holds all lists.
+makes the rows of the similarity of those seeds alone, a bounded number at a time, cuts them to their neighbours and sends
+these to the cases: tracks, popularities and counts, from which a case makes the similarities again, so that a neighbour
+takes few bytes. Pairs of tracks are never exchanged. What a case got is added up, ranked and filled with popular tracks. A
+track that is in very many lists has its row made by a plain aggregate instead.
+
+Lists may have tracks of all blocks. So they travel packed, many at a time, and a block keeps four bytes for a place; the
+number of blocks follows from the places that blocks get if no two tracks of a list are in one block.
 """
 
 from __future__ import annotations
@@ -23,14 +26,17 @@ from pyspark.sql.types import IntegralType
 from ..functions.tables import cut, remove_folder
 from .ranking import popular_top
 
-#: Tracks and places in lists that a block has on average, and places from which a track is no block's.
-TRACKS, PLACES, HOT = 1 << 15, 1 << 20, 1 << 18
+#: Tracks and their places that a block has on average, and places from which a track is no block's.
+TRACKS, PLACES, HOT = 1 << 17, 1 << 22, 1 << 18
+#: Places that a block gets at most on average, with all tracks of its lists.
+ENTRIES = 1 << 25
 #: Pairs that a block unfolds at a time; rows and bytes of a batch.
-STEP, ROWS, BYTES = 1 << 20, 2048, 16 << 20
+STEP, ROWS, BYTES = 1 << 19, 2048, 16 << 20
 #: Numbers before a packed row, and bits of a label that travels with a track's popularity.
-HEAD, LABEL = 5, 31
-PARTS = "block int, side int, case_id {}, nos array<long>, pops array<long>, cnts array<long>, whole boolean"
-SUMS = "case_id {}, side int, packed binary"
+HEAD, LABEL = 6, 31
+PARTS = "block int, side int, packed binary, case_id {}, nos array<long>, cnts array<long>"
+PART_NAMES = ["block", "side", "packed", "case_id", "nos", "cnts"]
+SUMS = "case_id {}, side int, seed long, pop long, times long, packed binary"
 
 
 @contextmanager
@@ -117,12 +123,26 @@ def narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
 
+def squeezed(cols: list[np.ndarray]) -> tuple[list[str], int, bytes]:
+    """Types of columns, bytes of them, and these in few bytes: first the first byte of all values of a column, then the second."""
+    body = b"".join([x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes() for x in cols])
+    return [x.dtype.char for x in cols], len(body), pa.compress(body, codec="zstd", asbytes=True)
+
+
+def columns(n: list[int], chars: list[str], size: int, body: pa.Buffer) -> list[np.ndarray]:
+    """The columns of `squeezed`, of so many values each."""
+    body, at, cols = pa.decompress(body, decompressed_size=size, codec="zstd"), 0, []
+    for n_x, t in zip(n, map(np.dtype, chars)):
+        raw = np.frombuffer(body, np.uint8, n_x * t.itemsize, at)
+        cols.append(np.ascontiguousarray(raw.reshape(t.itemsize, n_x).T).view(t).reshape(n_x))
+        at += raw.nbytes
+    return cols
+
+
 def packed(nos: np.ndarray, pops: np.ndarray, sums: np.ndarray, ns: np.ndarray) -> bytes:
-    """Tracks with their sums in few bytes: what blocks send on is by far the most that is exchanged."""
-    cols = [narrow(x) for x in (np.diff(nos, prepend=0), pops, ns)]
-    body = b"".join([*[x.tobytes() for x in cols], sums.tobytes()])
-    head = np.array([len(nos), len(body), *[ord(x.dtype.char) for x in cols]], np.int64)
-    return head.tobytes() + pa.compress(body, codec="zstd", asbytes=True)
+    """Tracks with their sums (or counts) in few bytes: what blocks send on is by far the most that is exchanged."""
+    chars, size, body = squeezed([narrow(np.diff(nos, prepend=0)), narrow(pops), narrow(ns), sums if sums.dtype.kind == "f" else narrow(sums)])
+    return np.array([len(nos), size, *map(ord, chars)], np.int64).tobytes() + body
 
 
 def unpacked(rows: pa.Array) -> tuple[np.ndarray, ...]:
@@ -130,12 +150,9 @@ def unpacked(rows: pa.Array) -> tuple[np.ndarray, ...]:
     out = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0), np.zeros(0, np.int64))]
     for x in rows:
         n, size, *chars = np.frombuffer(x.as_buffer(), np.int64, HEAD).tolist()
-        body, at, cols = pa.decompress(x.as_buffer()[8 * HEAD :], decompressed_size=size, codec="zstd"), 0, []
-        for t in [*map(chr, chars), "d"]:
-            cols.append(np.frombuffer(body, np.dtype(t), n, at))
-            at += cols[-1].nbytes
-        out.append((np.cumsum(cols[0], dtype=np.int64), cols[1].astype(np.int64), cols[3], cols[2].astype(np.int64)))
-    return tuple(np.concatenate([x[i] for x in out]) for i in range(4))
+        nos, pops, ns, sums = columns([n] * 4, list(map(chr, chars)), size, x.as_buffer()[8 * HEAD :])
+        out.append((np.cumsum(nos, dtype=np.int64), pops, sums, ns))
+    return tuple(np.concatenate([x[i] for x in out], dtype=out[0][i].dtype) for i in range(4))
 
 
 def lengths_of(rows: pa.Array) -> np.ndarray:
@@ -147,11 +164,28 @@ def packed_rows(cols: list[np.ndarray], at: np.ndarray) -> pa.Array:
     return pa.array([packed(*[x[a:z] for x in cols]) for a, z in zip(at[:-1], at[1:])], pa.binary())
 
 
+def packed_lists(nos: np.ndarray, pops: np.ndarray, cnts: np.ndarray, lengths: np.ndarray) -> bytes:
+    """Many lists as one value; no list is empty."""
+    steps, at = np.diff(nos, prepend=0), starts(lengths)[:-1]
+    steps[at] = nos[at]
+    chars, size, body = squeezed([narrow(x) for x in (lengths, steps, pops, cnts)])
+    return np.array([len(lengths), len(nos), nos.min(), nos.max(), size, *map(ord, chars)], np.int64).tobytes() + body
+
+
+def unpacked_lists(x: pa.Buffer) -> tuple[np.ndarray, ...]:
+    n, places, _, _, size, *chars = np.frombuffer(x, np.int64, 9).tolist()
+    lengths, steps, pops, cnts = columns([n, places, places, places], list(map(chr, chars)), size, x[72:])
+    lengths, total = lengths.astype(np.int64), np.cumsum(steps, dtype=np.int64)
+    first = starts(lengths)[:-1]
+    return total - np.repeat(total[first] - steps[first].astype(np.int64), lengths), pops, cnts, lengths
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows case_id, side, nos, pops, sums, ns, packed."""
+    """Rows case_id, side, seed, pop, times, nos, pops, vs, packed."""
     for b in batches:
-        cols, at = [flat(b.column(i))[0] for i in range(2, 6)], flat(b.column(2))[1]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed_rows(cols, at)], ["case_id", "side", "packed"])
+        cols, at = [flat(b.column(i))[0] for i in range(5, 8)], flat(b.column(5))[1]
+        rows = packed_rows([*cols, np.ones(len(cols[0]), np.int64)], at)
+        yield pa.RecordBatch.from_arrays([*b.columns[:5], rows], [*b.schema.names[:5], "packed"])
 
 
 def rounded(x: np.ndarray) -> np.ndarray:
@@ -161,91 +195,102 @@ def rounded(x: np.ndarray) -> np.ndarray:
 class _Block:
     """The lists of one block; of some seeds, their neighbours."""
 
-    def __init__(self, k: int, topk: int, shrink: float, bits: int):
-        self.k, self.topk, self.shrink, self.bits, self.lists, self.seeds = k, topk, shrink, bits, [], []
-
-    def rows(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(at, codes of neighbours, similarities) of the asked tracks (in order); at: where each one's begin."""
+    def __init__(self, topk: int, shrink: float, bits: int):
+        self.topk, self.shrink, self.bits, self.lists, self.seeds = topk, shrink, bits, [], []
+
+    def read(self) -> None:
+        """Lists as codes of their tracks (places in u), which are unpacked twice, so that no wider numbers are held."""
+        heads = np.array([np.frombuffer(x, np.int64, 4) for x in self.lists])
+        places, low, high = int(heads[:, 1].sum()), heads[:, 2].min(), heads[:, 3].max()
+        dense = int(high) - int(low) < max(places // 4, 1)
+        if dense:
+            seen = np.zeros(high - low + 1, bool)
+            for x in self.lists:
+                seen[unpacked_lists(x)[0] - low] = True
+            self.u, code_of = np.flatnonzero(seen) + low, (np.cumsum(seen) - 1).astype(np.int32)
+        else:
+            self.u, new, at = np.zeros(0, np.int64), [], 0
+            for x in self.lists:
+                new.append(np.unique(unpacked_lists(x)[0]))
+                at += len(new[-1])
+                if at > STEP or x is self.lists[-1]:
+                    self.u, new, at = np.unique(np.concatenate([self.u, *new])), [], 0
+        self.code, self.cnt, self.pop, lengths, at = np.empty(places, np.int32), None, np.zeros(len(self.u), np.int64), [], 0
+        for i, x in enumerate(self.lists):
+            nos, pops, cnts, n = unpacked_lists(x)
+            code = code_of[nos - low] if dense else np.searchsorted(self.u, nos)
+            self.pop[code] = pops
+            if cnts.max() > 1 and (self.cnt is None or self.cnt.itemsize < cnts.itemsize):
+                self.cnt = (self.cnt if self.cnt is not None else np.ones(places, np.uint8)).astype(cnts.dtype)
+            if self.cnt is not None:
+                self.cnt[at : at + len(nos)] = cnts
+            self.code[at : at + len(nos)] = code
+            at += len(nos)
+            lengths.append(n)
+            self.lists[i] = None
+        self.at, self.lists = starts(np.concatenate(lengths)), None
+
+    def rows(self, asked: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of the asked tracks (in order), some at a time: first and last, where each one's neighbours begin, codes of these, counts."""
         code, cnt, pop = self.code, self.cnt, self.pop >> self.bits
         at_u = np.searchsorted(self.u, asked)
         known = (at_u < len(self.u)) & (self.u[np.minimum(at_u, len(self.u) - 1)] == asked)
-        row_of = np.full(len(self.u), -1, np.int64)
+        row_of = np.full(len(self.u), -1, np.int32)
         row_of[at_u[known]] = np.flatnonzero(known)
-        row = row_of[code]
-        occ = np.flatnonzero(row >= 0)
-        occ = occ[np.argsort(row[occ], kind="stable")]
-        row = row[occ]
-        own_list = np.searchsorted(self.at, occ, side="right") - 1
-        begin, length = self.at[own_list], np.diff(self.at)[own_list]
-        work = starts(np.bincount(row, weights=length, minlength=len(asked)).astype(np.int64))
+        narrow_t = np.int32 if len(code) < 1 << 31 else np.int64
+        occ = np.concatenate([(a + np.flatnonzero(row_of[code[a : a + STEP]] >= 0)).astype(narrow_t) for a in range(0, len(code), STEP)])
+        occ = occ[np.argsort(row_of[code[occ]], kind="stable")]
+        row = row_of[code[occ]]
+        own_list = np.searchsorted(self.at, occ, side="right").astype(narrow_t) - 1
+        lengths = np.diff(self.at)
+        work = starts(np.bincount(row, weights=lengths[own_list], minlength=len(asked)).astype(np.int64))
         first = np.searchsorted(row, np.arange(len(asked) + 1))
-        # Filled in place: parts put together later would be held twice.
-        size = int(np.minimum(np.diff(work), self.topk).sum())
-        found, js, sims = np.zeros(len(asked), np.int64), np.empty(size, np.int32), np.empty(size)
-        a = done = 0
+        a = 0
         while a < len(asked):
             z = max(a + 1, int(np.searchsorted(work, work[a] + STEP, side="right")) - 1)
             s = slice(first[a], first[z])
-            idx = unfolded(begin[s], length[s])
-            j, keys = code[idx], np.repeat(row[s] - a, length[s]) * len(self.u)
-            w = None if self.once else cnt[idx] * np.repeat(cnt[occ[s]], length[s])
+            length = lengths[own_list[s]]
+            idx = unfolded(self.at[own_list[s]], length)
+            j, keys = code[idx], np.repeat(row[s].astype(np.int64) - a, length) * len(self.u)
+            w = None if cnt is None else cnt[idx].astype(np.int64) * np.repeat(cnt[occ[s]].astype(np.int64), length)
             keys += j
-            other = np.repeat(code[occ[s]], length[s]) != j
+            other = np.repeat(code[occ[s]], length) != j
             keys, v = summed(keys[other], None if w is None else w[other])
             r, j = np.divmod(keys, max(1, len(self.u)))
             own = at_u[a:z][r]
-            sim = v / (np.sqrt(pop[own].astype(float) * pop[j]) + self.shrink)
+            sim = similarity(v, pop[own], pop[j], self.shrink)
             keep = best(sim, starts(np.bincount(r, minlength=z - a)), self.topk, True)
-            found[a:z] = np.bincount(r[keep], minlength=z - a)
-            n = int(found[a:z].sum())
-            js[done : done + n], sims[done : done + n] = j[keep], sim[keep]
-            a, done = z, done + n
-        return starts(found), js[:done], sims[:done]
+            yield a, z, starts(np.bincount(r[keep], minlength=z - a)), j[keep], v[keep]
+            a = z
 
     def answers(self) -> Iterator[pa.RecordBatch]:
+        """A row for each seed of a case that has neighbours."""
         if not self.lists or not self.seeds:
             return
-        nos, self.cnt = (np.concatenate([x[i] for x in self.lists]) for i in (0, 2))
-        self.at = starts(np.concatenate([x[3] for x in self.lists]))
-        self.u, where, self.code = np.unique(nos, return_index=True, return_inverse=True)
-        self.pop = np.concatenate([x[1] for x in self.lists])[where]
-        self.once = bool((self.cnt == 1).all())
-        self.lists = None
-        ids = pa.concat_arrays([x[0] for x in self.seeds])
+        self.read()
         nos, times = (np.concatenate([x[i] for x in self.seeds]) for i in (1, 2))
-        of = starts(np.concatenate([x[3] for x in self.seeds]))
-        whole = np.concatenate([x[4] for x in self.seeds])
+        place = np.repeat(np.arange(sum(len(x[0]) for x in self.seeds)), np.concatenate([x[3] for x in self.seeds]))
+        ids = pa.concat_arrays([x[0] for x in self.seeds])
+        self.seeds = None
         asked, seed = np.unique(nos, return_inverse=True)
-        at, js, sims = self.rows(asked)
-        length = np.diff(at)[seed]
-        work = starts(length)[of]
-        a = 0
-        while a < len(ids):
-            z = max(a + 1, int(np.searchsorted(work, work[a] + STEP, side="right")) - 1)
-            s = slice(of[a], of[z])
-            idx = unfolded(at[:-1][seed[s]], length[s])
-            case = np.repeat(np.arange(z - a), np.diff(of[a : z + 1]))
-            keys = np.repeat(case, length[s]) * len(self.u) + js[idx]
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
-            one = changes(keys)
-            total = np.add.reduceat((np.repeat(times[s], length[s]) * sims[idx])[order], one) if len(one) else np.zeros(0)
-            n = np.diff(np.append(one, len(keys)))
-            r, j = np.divmod(keys[one], len(self.u))
-            if self.k and whole[a:z].any():
-                # All seeds of such a case are here: what its list can't hold need not be sent on.
-                at_u = np.minimum(np.searchsorted(self.u, nos[s]), len(self.u) - 1)
-                seeds = np.sort((case * len(self.u) + at_u)[self.u[at_u] == nos[s]])
-                mine = np.isin(keys[one], seeds)
-                score = np.where(mine, -1.0, rounded(total))
-                keep = best(score, starts(np.bincount(r, minlength=z - a)), self.k, False) & ~mine | ~whole[a:z][r]
-                r, j, total, n = r[keep], j[keep], total[keep], n[keep]
-            to = starts(np.bincount(r, minlength=z - a))
-            yield pa.RecordBatch.from_arrays([ids.slice(a, z - a), pa.array(np.ones(z - a, np.int32)), packed_rows([self.u[j], self.pop[j], total, n], to)], ["case_id", "side", "packed"])
-            a = z
+        order = np.argsort(seed, kind="stable")
+        seed, times, place = seed[order], times[order], place[order]
+        for a, z, at, js, vs in self.rows(asked):
+            own = self.pop[np.minimum(np.searchsorted(self.u, asked[a:z]), len(self.u) - 1)]
+            rows = packed_rows([self.u[js], self.pop[js], vs, np.ones(len(js), np.int64)], at)
+            some = np.arange(*np.searchsorted(seed, [a, z]))
+            some = some[np.diff(at)[seed[some] - a] > 0]
+            for i in range(0, len(some), ROWS):
+                m = some[i : i + ROWS]
+                t = seed[m]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(place[m])), pa.array(np.ones(len(m), np.int32)), pa.array(asked[t]), pa.array(own[t - a]), pa.array(times[m]), rows.take(pa.array(t - a))], ["case_id", "side", "seed", "pop", "times", "packed"])
+
+
+def similarity(v: np.ndarray, pop_i: np.ndarray, pop_j: np.ndarray, shrink: float) -> np.ndarray:
+    return v / (np.sqrt(pop_i.astype(float) * pop_j) + shrink)
 
 
-def _answered(k: int, topk: int, shrink: float, bits: int):
+def _answered(topk: int, shrink: float, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, block = None, None
         for b in batches:
@@ -257,14 +302,13 @@ def _answered(k: int, topk: int, shrink: float, bits: int):
                 if own != at[a]:
                     if block:
                         yield from block.answers()
-                    own, block = at[a], _Block(k, topk, shrink, bits)
+                    own, block = at[a], _Block(topk, shrink, bits)
                 part = b.slice(a, z - a)
-                nos, of = flat(part.column(3))
-                cnts = flat(part.column(5))[0]
                 if side[a] == 0:
-                    block.lists.append((nos, flat(part.column(4))[0], cnts, np.diff(of)))
+                    block.lists += [x.as_buffer() for x in part.column(2)]
                 else:
-                    block.seeds.append((part.column(2), nos, cnts, np.diff(of), part.column(6).to_numpy(zero_copy_only=False).astype(bool)))
+                    nos, of = flat(part.column(4))
+                    block.seeds.append((part.column(3), nos, flat(part.column(5))[0], np.diff(of)))
         if block:
             yield from block.answers()
 
@@ -293,19 +337,23 @@ def _dealt(bounds: np.ndarray, hot: np.ndarray, case_t: str, seeds: bool):
             to, who = block[new], row[free][new]
             if seeds:
                 off = np.append(new, len(free))
-                whole = (np.bincount(who, minlength=b.num_rows) == 1) & (np.bincount(row[free], minlength=b.num_rows) == np.diff(at))
-                parts = [lists_of(x[free], off) for x in (nos, pops, cnts)]
-                ids, whole = b.column(0).take(pa.array(who)), pa.array(whole[who])
-            else:
-                parts = [lists_of(x, at) for x in (nos, pops, cnts)]
-            for a in range(0, len(to), ROWS):
-                some = slice(a, a + ROWS)
-                n = len(to[some])
-                if seeds:
-                    got = [ids.slice(a, n), *[p.slice(a, n) for p in parts], whole.slice(a, n)]
-                else:
-                    got = [pa.nulls(n, case_t), *[p.take(pa.array(who[some])) for p in parts], pa.nulls(n, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([pa.array(to[some].astype(np.int32)), pa.array(np.full(n, int(seeds), np.int32)), *got], ["block", "side", "case_id", "nos", "pops", "cnts", "whole"])
+                parts, ids = [lists_of(x[free], off) for x in (nos, cnts)], b.column(0).take(pa.array(who))
+                for a in range(0, len(to), ROWS):
+                    n = len(to[a : a + ROWS])
+                    got = [pa.nulls(n, pa.binary()), ids.slice(a, n), *[p.slice(a, n) for p in parts]]
+                    yield pa.RecordBatch.from_arrays([pa.array(to[a : a + n].astype(np.int32)), pa.array(np.ones(n, np.int32)), *got], PART_NAMES)
+                continue
+            for x in np.unique(to):
+                mine = who[to == x]
+                # As many lists at a time as are read at a time, whatever their lengths.
+                length = np.diff(at)[mine]
+                work, a = starts(length), 0
+                while a < len(mine):
+                    z = max(a + 1, int(np.searchsorted(work, work[a] + (STEP >> 2), side="right")) - 1)
+                    idx = unfolded(at[:-1][mine[a:z]], length[a:z])
+                    got = [pa.array([packed_lists(nos[idx], pops[idx], cnts[idx], length[a:z])], pa.binary()), pa.nulls(1, case_t), *[pa.nulls(1, pa.list_(pa.int64()))] * 2]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()), pa.array([0], pa.int32()), *got], PART_NAMES)
+                    a = z
 
     return run
 
@@ -334,7 +382,7 @@ def _news(b: pa.RecordBatch) -> np.ndarray:
 def _some(b: pa.RecordBatch, place: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """The cases of a batch, so many at a time that their tracks fit when unpacked."""
     new = np.append(changes(place), len(place))
-    work, a = starts(lengths_of(b.column(2)))[new], 0
+    work, a = starts(lengths_of(b.column("packed")))[new], 0
     while a < len(new) - 1:
         z = max(a + 1, int(np.searchsorted(work, work[a] + STEP, side="right")) - 1)
         yield b.slice(new[a], new[z] - new[a]), place[new[a] : new[z]] - place[new[a]]
@@ -345,23 +393,28 @@ def _places(new: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(np.arange(len(new)), np.diff(np.append(new, n)))
 
 
-def _merged(b: pa.RecordBatch, place: np.ndarray) -> tuple[np.ndarray, ...]:
+def _merged(b: pa.RecordBatch, place: np.ndarray, shrink: float, bits: int) -> tuple[np.ndarray, ...]:
     """case, no, pop, sum, n, whether a seed: one row for each track of a case, in their order."""
-    length = lengths_of(b.column(2))
-    nos, pops, sums, ns = unpacked(b.column(2))
-    case, seed = np.repeat(place, length), np.repeat(b.column(1).to_numpy() == 0, length)
-    order = np.lexsort((nos, case))
+    length = lengths_of(b.column("packed"))
+    nos, pops, vs, _ = unpacked(b.column("packed"))
+    side, own, times = (np.repeat(b.column(c).to_numpy(), length) for c in ("side", "pop", "times"))
+    sums = times * similarity(vs, own >> bits, pops >> bits, shrink)
+    case = np.repeat(place, length)
+    # Rows are sorted, so one key is sorted faster than two.
+    low, span = (int(nos.min()), int(nos.max()) - int(nos.min()) + 1) if len(nos) else (0, 1)
+    fits = (int(case.max(initial=0)) + 1) * span < 1 << 62
+    order = np.argsort(case * span + (nos - low), kind="stable") if fits else np.lexsort((nos, case))
     case, nos = case[order], nos[order]
     one = changes(case, nos)
     add = lambda f, x: f.reduceat(x[order], one) if len(one) else x[:0]
-    return case[one], nos[one], add(np.maximum, pops), add(np.add, sums), add(np.add, ns), add(np.maximum, seed)
+    return case[one], nos[one], add(np.maximum, pops), add(np.add, sums), add(np.add, side.astype(np.int64)), add(np.maximum, side == 0)
 
 
-def _filled(k: int, head: np.ndarray, pops: np.ndarray, bits: int):
+def _filled(k: int, head: np.ndarray, pops: np.ndarray, shrink: float, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, place in (x for whole in _cases(batches) for x in _some(*whole)):
             ids = b.column(0).take(pa.array(changes(place)))
-            case, no, pop, total, n, seed = _merged(b, place)
+            case, no, pop, total, n, seed = _merged(b, place, shrink, bits)
             score = rounded(total)
             use = np.flatnonzero((score > 0) & ~seed)
             use = use[np.lexsort((no[use], -(pop[use] >> bits), -score[use], case[use]))]
@@ -405,10 +458,10 @@ def recommend(interactions: DataFrame, pop: DataFrame, cases: DataFrame, seeds:
         known = cut(pop.repartitionByRange(parts, "track").sortWithinPartitions("track").select("track", "pop", F.monotonically_increasing_id().alias("no")))
     bits = LABEL if labels is not None else 0
     n, places = known.agg(F.count("*"), F.coalesce(F.sum("pop"), F.lit(0))).first()
-    blocks = max(1, -(-n // TRACKS), -(-places // PLACES), min(spark.sparkContext.defaultParallelism, n >> 12))
-    bounds = np.array(known.approxQuantile("no", [i / blocks for i in range(1, blocks)], 0.1 / blocks) if blocks > 1 else []).astype(np.int64)
     often = known.filter(F.col("pop") > HOT)
     hot = np.sort(np.array([r["no"] for r in often.select("no").collect()], np.int64))  # at most places / HOT tracks
+    # A track counts once, and once more for each so many places as a track has on average: at most 2n rows.
+    weighed = known.filter(F.col("pop") <= HOT).select("no", F.explode(F.array_repeat(F.lit(0), (1 + F.col("pop") * n / max(1, places)).cast("int"))))
 
     if bits:
         known = cut(known.join(labels.select("track", "label"), "track", "left").withColumn("pop", F.shiftleft("pop", LABEL) + F.coalesce("label", F.lit(0))).drop("label"))
@@ -416,23 +469,28 @@ def recommend(interactions: DataFrame, pop: DataFrame, cases: DataFrame, seeds:
     placed = interactions.select("pid", "track").join(known, "track")
     lists = placed.groupBy("pid").agg(F.collect_list(F.struct("no", "pop")).alias("x")).select(F.col("x.no").alias("nos"), F.col("x.pop").alias("pops"))
     lists = cut(lists)  # its shuffles go before those of the blocks come
+    met = lists.agg(F.coalesce(F.sum(F.size("nos").cast("double") * F.size("nos")), F.lit(0.0))).first()[0] if places > ENTRIES else 0
+    tasks = spark.sparkContext.defaultParallelism
+    blocks = max(1, -(-n // TRACKS), -(-places // PLACES), -(-int(met) // ENTRIES), min(tasks, n >> 12))
+    blocks = -(-blocks // tasks) * tasks if blocks > tasks else blocks
+    bounds = np.array(weighed.approxQuantile("no", [i / blocks for i in range(1, blocks)], 0.1 / blocks) if blocks > 1 else []).astype(np.int64)
     own = seeds.select("case_id", "track").join(known.select("track", "no"), "track").groupBy("case_id").agg(F.collect_list("no").alias("nos"))
     own = cases.select("case_id").join(own, "case_id", "left").select("case_id", F.coalesce("nos", F.array().cast("array<long>")).alias("nos"))
     arrow_t = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[case_t.simpleString()]
     parts_t = PARTS.format(case_t.simpleString())
     dealt = lists.mapInArrow(_dealt(bounds, hot, arrow_t, False), parts_t).unionByName(own.filter(F.size("nos") > 0).select("case_id", "nos", F.col("nos").alias("pops")).mapInArrow(_dealt(bounds, hot, arrow_t, True), parts_t))
     sums_t = SUMS.format(case_t.simpleString())
-    sums = dealt.repartition(blocks, "block").sortWithinPartitions("block", "side").mapInArrow(_answered(k, topk, shrink, bits), sums_t)
+    sums = dealt.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "side").mapInArrow(_answered(topk, shrink, bits), sums_t)
     if len(hot):
         sums = sums.unionByName(_often(placed, often, seeds.join(known.select("track", "no"), "track"), topk, shrink, bits).mapInArrow(_pack, sums_t))
     nothing = lambda t: F.transform("nos", lambda x: F.lit(0).cast(t))
-    asked = own.select("case_id", F.lit(0).alias("side"), "nos", nothing("long").alias("pops"), nothing("double").alias("sums"), nothing("int").alias("ns")).mapInArrow(_pack, sums_t)
+    asked = own.select("case_id", F.lit(0).alias("side"), *[F.lit(0).cast("long").alias(c) for c in ("seed", "pop", "times")], "nos", nothing("long").alias("pops"), nothing("long").alias("vs")).mapInArrow(_pack, sums_t)
     most = own.agg(F.coalesce(F.max(F.size("nos")), F.lit(0))).first()[0]
     top = popular_top(pop, 2 * k + int(most)).select("track", "pop_rank").join(known, "track").orderBy("pop_rank").select("no", "pop").collect()  # bounded: 2k + seeds of a case
     head, pops = (np.array([r[c] for r in top], np.int64) for c in ("no", "pop"))
     each = {"scores": "double", "support": "long", **({"pops": "long", "labels": "long"} if bits else {})}
     rows_t = ", ".join([f"case_id {case_t.simpleString()}, nos array<long>", *[f"{c} array<{t}>" for c, t in each.items()]])
-    out = sums.unionByName(asked).repartition("case_id").sortWithinPartitions("case_id", "side").mapInArrow(_filled(k, head, pops, bits), rows_t)
+    out = sums.unionByName(asked).repartition("case_id").sortWithinPartitions("case_id", "side", "seed").mapInArrow(_filled(k, head, pops, shrink, bits), rows_t)
     if numbers:
         out = out.withColumn("tracks", F.col("nos").cast(f"array<{track_t.simpleString()}>"))
     else:
@@ -450,9 +508,8 @@ def _often(placed: DataFrame, often: DataFrame, seeds: DataFrame, topk: int, shr
     c = placed.groupBy("pid", "no", "pop").agg(F.count("*").alias("cnt"))
     a = c.join(F.broadcast(often.select("no")), "no", "left_semi").select("pid", F.col("no").alias("i"), F.col("pop").alias("p"), F.col("cnt").alias("n"))
     pairs = c.join(a, "pid").filter("i <> no").groupBy("i", "p", "no", "pop").agg(F.sum(F.col("n") * F.col("cnt")).alias("v"))
-    sim = pairs.select("i", "no", "pop", (F.col("v") / (F.sqrt(F.shiftright("p", bits).cast("double") * F.shiftright("pop", bits)) + shrink)).alias("sim"))
-    near = sim.withColumn("r", F.row_number().over(W.partitionBy("i").orderBy(F.desc("sim"), "no"))).filter(F.col("r") <= topk).drop("r")
-    s = seeds.groupBy("case_id", F.col("no").alias("i")).agg(F.count("*").alias("times"))
-    hit = s.join(near, "i").groupBy("case_id", "no", "pop").agg(F.sum(F.col("times") * F.col("sim")).alias("sum"), F.count("*").cast("int").alias("n"))
-    rows = hit.groupBy("case_id").agg(F.collect_list(F.struct("no", "pop", "sum", "n")).alias("x"))
-    return rows.select("case_id", F.lit(1).alias("side"), *[F.col(f"x.{c}").alias(n) for c, n in (("no", "nos"), ("pop", "pops"), ("sum", "sums"), ("n", "ns"))])
+    sim = pairs.select("i", "p", "no", "pop", "v", (F.col("v") / (F.sqrt(F.shiftright("p", bits).cast("double") * F.shiftright("pop", bits)) + shrink)).alias("sim"))
+    near = sim.withColumn("r", F.row_number().over(W.partitionBy("i").orderBy(F.desc("sim"), "no"))).filter(F.col("r") <= topk)
+    rows = near.groupBy("i", "p").agg(F.array_sort(F.collect_list(F.struct("no", "pop", "v"))).alias("x"))
+    s = seeds.groupBy("case_id", F.col("no").alias("i")).agg(F.count("*").alias("times")).join(rows, "i")
+    return s.select("case_id", F.lit(1).alias("side"), F.col("i").alias("seed"), F.col("p").alias("pop"), "times", F.col("x.no").alias("nos"), F.col("x.pop").alias("pops"), F.col("x.v").alias("vs"))

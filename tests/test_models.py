@@ -5,6 +5,7 @@ from collections import Counter
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -368,3 +369,31 @@ def test_queries_of_whole_lists_make_no_rows_to_join(spark, monkeypatch, name):
     monkeypatch.setattr(ranking, "rows", refused)
     monkeypatch.setattr(itemcf, "fit", refused)
     assert Q.QUERIES[name](spark, "/root/testdata/sf0.001").columns
+
+
+def test_lists_with_tracks_of_all_blocks_travel_packed():
+    r = np.random.default_rng(4)
+    n, blocks_n, k = 600, 12, 40
+    nos = np.concatenate([np.sort(r.choice(1_200_000, k, replace=False)) for _ in range(n)]) - 7
+    pops = r.integers(10, 60, n * k)
+    batch = pa.RecordBatch.from_arrays([blocks.lists_of(x, np.arange(0, n * k + 1, k)) for x in (nos, pops)], ["nos", "pops"])
+    got = list(blocks._dealt(np.arange(100_000, 1_200_000, 100_000), np.zeros(0, np.int64), pa.int64(), False)([batch]))
+    assert sum(b.nbytes for b in got) < 4 * n * k * blocks_n  # 24 bytes a place before
+    assert sorted(set(x for b in got for x in b.column(0).to_pylist())) == list(range(blocks_n))
+    back = blocks.unpacked_lists(blocks.packed_lists(nos, pops, np.ones(n * k, np.int64), np.full(n, k)))
+    assert all((a == b).all() for a, b in zip(back, (nos, pops, 1, k)))
+
+
+def test_a_neighbour_takes_few_bytes_on_its_way_to_a_case():
+    """Counts travel, of which a case makes the similarity: neighbours spread over the catalogue took 11 bytes before."""
+    r = np.random.default_rng(5)
+    js = np.sort(r.choice(1_200_000, 200, replace=False))
+    (row,) = blocks.packed_rows([js, r.integers(10, 40, 200), np.where(r.random(200) < 0.01, 2, 1), np.ones(200, int)], np.array([0, 200]))
+    assert len(row.as_buffer()) < 200 * 4
+    block = blocks._Block(2, 10.0, 0)
+    block.lists = [pa.py_buffer(blocks.packed_lists(np.array([-3, 5, 9, 5, 9, 40]), np.array([1, 4, 2, 4, 2, 1]), np.array([1, 2, 1, 1, 1, 1]), np.array([3, 3])))]
+    block.seeds = [(pa.array(["a", "b"]), np.array([5, 77, 5]), np.array([3, 1, 1]), np.array([2, 1]))]
+    (out,) = block.answers()
+    assert out.to_pydict() | {"packed": None} == {"case_id": ["a", "b"], "side": [1, 1], "seed": [5, 5], "pop": [4, 4], "times": [3, 1], "packed": None}
+    got = blocks.unpacked(out.column("packed").slice(0, 1))
+    assert got[0].tolist() == [-3, 9] and got[2].tolist() == [2, 3]  # 40 has 1: a smaller similarity
